@@ -138,7 +138,7 @@ def trim_ends(text: Column) -> Column:
 def decode_unicode(text: Column) -> Column:
     r"""Turn `\uXXXX` into the character; any other backslash stays as it is."""
     lower = F.regexp_replace(text, r"\\U(?=[0-9a-fA-F]{4})", r"\\u")
-    kept = F.regexp_replace(lower, r"\\(?!u[0-9a-fA-F]{4})", r"\\\\\\\\")
+    kept = F.regexp_replace(lower, r"\\(?!u[0-9a-fA-F]{4})", r"\\\\")
     quoted = F.replace(kept, F.lit('"'), F.lit('\\"'))
     record = F.concat(F.lit('{"v":"'), quoted, F.lit('"}'))
     return F.from_json(record, "v string", {"allowUnquotedControlChars": "true"})["v"]

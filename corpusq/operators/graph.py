@@ -83,18 +83,16 @@ def without_stop_words(df: DataFrame, text: str, stop_words: DataFrame | None, l
             keep = keep.where(~F.contains(F.col(text), F.lit(row["word"])))
         return keep
     lengths = [r[0] for r in wanted.select(F.length("word")).distinct().collect()]  # at most the longest word
-    size = F.length(text)
-    pieces = F.flatten(
-        F.array(*[
-            F.when(
-                size >= n,
-                F.transform(F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.substring(text, i, F.lit(n))),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in sorted(lengths)
-        ])
-    )
+
+    def pieces(n: int) -> Column:
+        """All substrings of `n` characters."""
+        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+        cut = F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    substrings = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in sorted(lengths)])))
     texts = df.select(text).distinct()
-    hit = texts.select(text, F.explode(F.array_distinct(pieces)).alias("word")).join(wanted, "word", "left_semi")
+    hit = texts.select(text, F.explode(substrings).alias("word")).join(wanted, "word", "left_semi")
     return df.join(hit.select(text), text, "left_anti")
 
 

@@ -305,7 +305,7 @@ def _sliced(df: DataFrame, own: DataFrame, other: DataFrame, own_id: Sequence[st
     return (
         df.join(F.broadcast(both), "cell")  # one row per cell
         .withColumn(own_slice, F.pmod(F.xxhash64(*own_id), F.col("_own")).cast("int"))
-        .withColumn(other_slice, F.explode(F.sequence(F.lit(0), F.col("_other") - 1)).cast("int"))
+        .withColumn(other_slice, F.explode(F.sequence(F.lit(0), F.col("_other") - 1)))
         .drop("_own", "_other")
     )
 

@@ -4,8 +4,10 @@ before anything is broadcast."""
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +83,15 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner") -> Dat
     count, checked first, is within `BROADCAST_ROWS`; beyond that the join is
     left to AQE (sort-merge, with skewed partitions split)."""
     return left.join(F.broadcast(right) if at_most(right, BROADCAST_ROWS) else right, on, how)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per session. The
+    archive is built on the driver and copied to the executors by Spark."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusq_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='corpusq-')}/corpusq", "zip", root.parent, root.name)
+    sc.addPyFile(archive)
+    sc._corpusq_shipped = True
