@@ -3,7 +3,7 @@ becomes an array of chunks, then rows; nothing is shuffled."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,7 +114,21 @@ def rejected(sections: DataFrame, content: str = "content") -> DataFrame:
     return sections.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
-def chunk_sizes(texts: DataFrame, sizes: Column, content: str = "content") -> DataFrame:
-    """Chunk every text once per size in the array `sizes`, from one scan."""
-    sized = texts.withColumn("split_length", F.explode(sizes))
-    return chunk(sized, content, split_length=F.col("split_length"), max_tokens=None)
+def chunk_sizes(
+    texts: DataFrame, sizes: Sequence[int], content: str = "content",
+    tokens: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Chunk every text once per size: `split_length`, `split_id`, `split`,
+    `tokens` instead of the text. A text is read, cleaned and cut into sentences
+    once, whatever the number of sizes."""
+    count = tokens or default_tokens()
+    cleaned = let(clean(drop_numeric_lines(F.col(content))), lambda c: F.when(c != "", sentences(c)))
+    carried = [c for c in texts.columns if c != content]
+    sents = F.col("_sents")
+    cut = texts.select(*carried, cleaned.alias("_sents")).where(sents.isNotNull())
+    sized = cut.select("*", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("split_length"))
+    rows = sized.select(
+        *carried, "split_length",
+        F.posexplode(sentence_groups(sents, F.col("split_length"))).alias("split_id", "split"),
+    )
+    return rows.withColumn("tokens", count(F.col("split")))

@@ -13,7 +13,7 @@ from corpusq.operators import sections as sec
 from corpusq.operators.rowid import with_batches, with_row_id
 from corpusq.plans import corpus, tables
 from corpusq.plans.evaluation import evaluate_bank
-from corpusq.session import scratch_path
+from corpusq.session import scratch_path, spread
 from corpusq.sources import readers, sinks
 
 TOPIC = "Contamination"
@@ -113,7 +113,7 @@ def chunk_words(spark: SparkSession, sf: str) -> DataFrame:
 
 def numeric_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a line of numbers in front and one at the end."""
-    texts = tables.table(spark, sf, "documents")
+    texts = spread(tables.table(spark, sf, "documents"))
     digits = F.concat_ws(" ", F.col("n_chars").cast("string"), F.lit("chars"), F.col("doc_id").cast("string"))
     text = F.concat(digits, F.lit("\n"), "text", F.lit("\n"), digits, F.lit("."))
     return texts.select("doc_id", tx.clean(tx.drop_numeric_lines(text)).alias("cleaned"))
@@ -135,8 +135,7 @@ def token_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_size_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """Token counts for chunks of one to seven sentences, side by side."""
-    sizes = F.array(*[F.lit(n) for n in range(1, 8)])
-    rows = chunking.chunk_sizes(_texts(spark, sf), sizes)
+    rows = chunking.chunk_sizes(_texts(spark, sf), range(1, 8))
     return evaluation.histogram(rows, "tokens", bins=20, by="split_length").select(
         "split_length", "bin", *_rounded("low", "high"), "n"
     )

@@ -7,14 +7,13 @@ revision of the page of its user, benchmark items are questions.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.operators import graph
 from corpusq.operators.chunking import chunk
 from corpusq.operators.embedding import embed
+from corpusq.session import spread
 from corpusq.sources.readers import stop_words
 
 SITE = "https://corpus.example/wiki/"
@@ -22,54 +21,78 @@ SITE = "https://corpus.example/wiki/"
 LEFT_OUT = (" As. ", " Le. ", " Is. ", " See also ", " References ", " External links ")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Stated, so that no job reads footers to find them out.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
-def _category(name: Column | str) -> Column:
-    return F.concat(F.lit("Category:"), name)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+_TRIPLES = f"""
+WITH ids AS (
+  SELECT 'Category:' || r_name AS s FROM {{region}}
+  UNION ALL SELECT 'Category:' || n_name FROM {{nation}}
+  UNION ALL SELECT 'Category:' || c_name FROM {{customer}}
+  UNION ALL SELECT 'Category:' || s_name FROM {{supplier}}
+  UNION ALL SELECT 'Category:Part ' || p_partkey FROM {{part}}
+),
+labels AS (
+  SELECT 'Category:' || r_name AS s, r_name AS o, 'en' AS lang FROM {{region}}
+  UNION ALL SELECT 'Category:' || n_name, n_name, 'en' FROM {{nation}}
+  UNION ALL SELECT 'Category:' || n_name, n_name || ' nation', 'en' FROM {{nation}}
+  UNION ALL SELECT 'Category:' || n_name, n_name || ' Land', 'de' FROM {{nation}}
+  UNION ALL SELECT 'Category:' || c_name, c_name || ' ' || lower(c_mktsegment), 'en' FROM {{customer}}
+  UNION ALL SELECT 'Category:' || s_name, s_name || ' ' || p_name, 'en' FROM {{supplier}} JOIN {{part}} ON s_suppkey = p_partkey
+  UNION ALL SELECT 'Category:Part ' || p_partkey, p_name, 'en' FROM {{part}}
+),
+broader AS (
+  SELECT 'Category:' || n_name AS s, 'Category:' || r_name AS o FROM {{nation}} JOIN {{region}} ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'Category:' || c_name, 'Category:' || n_name FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'Category:' || s_name, 'Category:' || n_name FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'Category:Part ' || l_partkey, 'Category:' || s_name
+    FROM (SELECT DISTINCT l_partkey, l_suppkey FROM {{lineitem}}) JOIN {{supplier}} ON l_suppkey = s_suppkey
+),
+subjects AS (
+  SELECT 'Order_' || o_orderkey AS s, 'Category:' || c_name AS o FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey
+  UNION ALL SELECT 'Order_' || l_orderkey, 'Category:Part ' || l_partkey
+    FROM (SELECT DISTINCT l_orderkey, l_partkey FROM {{lineitem}})
+)
+SELECT s, '{graph.TYPE}' AS p, '{graph.CONCEPT}' AS o, CAST(NULL AS string) AS lang FROM ids
+UNION ALL SELECT s, '{graph.LABEL}', o, lang FROM labels
+UNION ALL SELECT s, '{graph.BROADER}', o, NULL FROM broader
+UNION ALL SELECT s, '{graph.SUBJECT}', o, NULL FROM subjects
+UNION ALL SELECT 'Order_' || o_orderkey, '{graph.TOPIC_OF}', '{SITE}Order_' || o_orderkey, NULL FROM {{orders}}
+UNION ALL SELECT 'Order_' || o_orderkey, '{graph.PAGE_ID}', CAST(o_orderkey AS string), NULL FROM {{orders}}
+"""
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The category graph as `(s, p, o, lang)`."""
-    region, nation, customer, supplier, part, orders, lineitem = (
-        table(spark, sf_dir, t)
-        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-    )
-    region_id, nation_id = _category(F.col("r_name")), _category(F.col("n_name"))
-    customer_id, supplier_id = _category(F.col("c_name")), _category(F.col("s_name"))
-
-    def part_id(key: str) -> Column:
-        return _category(F.concat(F.lit("Part "), F.col(key).cast("string")))
-
-    def page(key: str) -> Column:
-        return F.concat(F.lit("Order_"), F.col(key).cast("string"))
-
-    def rows(df: DataFrame, s: Column, p: str, o: Column, lang: str | None = None) -> DataFrame:
-        return df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(lang).cast("string").alias("lang"))
-
-    named = supplier.join(part, F.col("s_suppkey") == F.col("p_partkey"))
-    pairs = lineitem.select("l_suppkey", "l_partkey").distinct()
-    ids = [(region, region_id), (nation, nation_id), (customer, customer_id), (supplier, supplier_id), (part, part_id("p_partkey"))]
-    parts = [rows(df, s, graph.TYPE, F.lit(graph.CONCEPT)) for df, s in ids]
-    parts += [
-        rows(region, region_id, graph.LABEL, F.col("r_name"), "en"),
-        rows(nation, nation_id, graph.LABEL, F.col("n_name"), "en"),
-        rows(nation, nation_id, graph.LABEL, F.concat("n_name", F.lit(" nation")), "en"),
-        rows(nation, nation_id, graph.LABEL, F.concat("n_name", F.lit(" Land")), "de"),
-        rows(customer, customer_id, graph.LABEL, F.concat("c_name", F.lit(" "), F.lower("c_mktsegment")), "en"),
-        rows(named, supplier_id, graph.LABEL, F.concat("s_name", F.lit(" "), "p_name"), "en"),
-        rows(part, part_id("p_partkey"), graph.LABEL, F.col("p_name"), "en"),
-        rows(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")), nation_id, graph.BROADER, region_id),
-        rows(customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")), customer_id, graph.BROADER, nation_id),
-        rows(supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")), supplier_id, graph.BROADER, nation_id),
-        rows(pairs.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")), part_id("l_partkey"), graph.BROADER, supplier_id),
-        rows(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), page("o_orderkey"), graph.SUBJECT, customer_id),
-        rows(lineitem.select("l_orderkey", "l_partkey").distinct(), page("l_orderkey"), graph.SUBJECT, part_id("l_partkey")),
-        rows(orders, page("o_orderkey"), graph.TOPIC_OF, F.concat(F.lit(SITE), page("o_orderkey"))),
-        rows(orders, page("o_orderkey"), graph.PAGE_ID, F.col("o_orderkey").cast("string")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+    return spark.sql(_TRIPLES, **{name: table(spark, sf_dir, name) for name in names})
+
+
+def _category(name: Column | str) -> Column:
+    return F.concat(F.lit("Category:"), name)
 
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +115,7 @@ def rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def markup(text: Column) -> Column:
@@ -119,7 +142,7 @@ def web_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
         (r"<[^>]*>", ""),
     ):
         text = F.regexp_replace(text, found, wanted)
-    return table(spark, sf_dir, "pages").select("page_id", "url", text.alias("content"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", text.alias("content"))
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,22 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner") -> Dat
     return left.join(F.broadcast(right) if at_most(right, BROADCAST_ROWS) else right, on, how)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a small input to all cores before row-local text work.
+
+    An input that the cores would read in less than one wave of splits (few
+    files, or one big row group) keeps most of them idle, so its rows are moved
+    once. A larger input is left where it lies: no shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB")
+    )
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per session. The
     archive is built on the driver and copied to the executors by Spark."""
