@@ -536,7 +536,7 @@ rows AS (
     coalesce(subsection, '') AS subsection, unnest(parts) AS split, creation_date, last_modified FROM parts
 )
 SELECT *, {_count('split')} AS tokens,
-  CASE WHEN {_count('split')} > 0 THEN 1.0 ELSE 0.0 END AS length FROM rows
+  CASE WHEN {_count('split')} > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM rows
 """,
     "metadata_fill": """
 SELECT doc_id, source, lang, coalesce(quality::VARCHAR, '') AS quality, coalesce(toxic::VARCHAR, '') AS toxic

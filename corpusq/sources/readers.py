@@ -19,13 +19,14 @@ _REVISIONS = "struct<query:struct<pages:map<string,struct<revisions:array<struct
 
 # One CSV dialect for reading and writing, so that texts with quotes, commas,
 # line ends and backslashes come back as they were.
+# An empty field is null, a quoted empty one is an empty text.
 CSV_DIALECT = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "lineSep": "\n"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """CSV with a stated schema. A missing path or a malformed row fails the job."""
     return (
-        spark.read.schema(schema).options(**CSV_DIALECT).option("mode", "FAILFAST")
+        spark.read.schema(schema).options(**CSV_DIALECT).option("mode", "FAILFAST").option("nullValue", "\0")
         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
     )
 
@@ -51,7 +52,7 @@ def stop_words(lines: DataFrame, column: str) -> DataFrame:
 def read_texts(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Files as documents: `(path, content)`. `path` may be one file or a folder."""
     return (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=recursive)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
 
