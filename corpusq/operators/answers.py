@@ -38,25 +38,20 @@ def attach(hits: DataFrame, chunks: DataFrame, keys: Sequence[str], small: bool)
     return chunks.join(F.broadcast(hits) if small else hits, list(keys))
 
 
-def retrieve(
-    questions: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int = HITS, sep: str = SERVICE_SEPARATOR,
-    keys: Sequence[str] = ("id",), question_id: str = "question_id", **search,
+def gather(
+    questions: DataFrame, hits: DataFrame, chunks: DataFrame, small: bool, sep: str = SERVICE_SEPARATOR,
+    keys: Sequence[str] = ("id",), question_id: str = "question_id",
 ) -> DataFrame:
-    """`(question_id, question, context, best, urls, titles)` for every question.
+    """`(question_id, question, context, best, urls, titles)` from ranked hits.
 
-    `questions` has an `embedding`, `vectors` has keys and `embedding`, `chunks`
-    has keys, `split`, `page_url` and `title`. Lists are in rank order and keep
-    repeats; the group of a question is at most k rows. A question without hits
-    has an empty context.
+    Lists are in rank order and keep repeats; the group of a question is at most
+    k rows. A question without hits has an empty context.
     """
-    hits = top_k(questions, vectors, k, question_id=question_id, keys=keys, **search)
-    small = fits_broadcast(questions)
     found = attach(hits, chunks.select(*keys, "split", "page_url", "title"), keys, small)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "split", "page_url", "title")))
     lists = found.groupBy(question_id).agg(ordered.alias("_hits"))
-    asked = questions.select(question_id, "question")
     none = F.array().cast("array<string>")
-    return asked.join(lists, question_id, "left").select(
+    return questions.select(question_id, "question").join(lists, question_id, "left").select(
         question_id,
         "question",
         F.array_join(F.coalesce(F.col("_hits.split"), none), sep).alias("context"),
@@ -66,6 +61,17 @@ def retrieve(
     )
 
 
+def retrieve(
+    questions: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int = HITS, sep: str = SERVICE_SEPARATOR,
+    keys: Sequence[str] = ("id",), question_id: str = "question_id", **search,
+) -> DataFrame:
+    """Search and gather. `questions` has an `embedding`, `vectors` has keys and
+    `embedding`, `chunks` has keys, `split`, `page_url` and `title`."""
+    small = fits_broadcast(questions)
+    hits = top_k(questions, vectors, k, question_id=question_id, keys=keys, small=small, **search)
+    return gather(questions, hits, chunks, small, sep, keys, question_id)
+
+
 def with_prompt(retrieved: DataFrame, topic: str, template: str = INSTRUCTION_PROMPT, context: str = "context") -> DataFrame:
     """Add the prompt of each question."""
     return retrieved.withColumn(
@@ -76,13 +82,20 @@ def with_prompt(retrieved: DataFrame, topic: str, template: str = INSTRUCTION_PR
     )
 
 
-def answer(
+def with_answer(
     retrieved: DataFrame, topic: str, template: str = INSTRUCTION_PROMPT,
     generate_hook: Callable[[Column, Column], Column] | None = None,
     extract: Callable[[Column], Column] = tx.answer_after, context: str = "context",
 ) -> DataFrame:
-    """`(question_id, question, answer, urls, titles)`: prompt, model hook, extraction."""
+    """Add the answer of each question: prompt, model hook, extraction."""
     generate = generate_hook or default_generate
     prompted = with_prompt(retrieved, topic, template, context)
     raw = prompted.withColumn("raw", generate(F.col("prompt"), F.col("best")))
-    return raw.select("question_id", "question", extract(F.col("raw")).alias("answer"), "urls", "titles")
+    return raw.withColumn("answer", extract(F.col("raw"))).drop("prompt", "raw")
+
+
+def answer(retrieved: DataFrame, topic: str, template: str = INSTRUCTION_PROMPT, **options) -> DataFrame:
+    """`(question_id, question, answer, urls, titles)`; options as in `with_answer`."""
+    return with_answer(retrieved, topic, template, **options).select(
+        "question_id", "question", "answer", "urls", "titles"
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.functions.hooks import default_tokens
-from corpusq.functions.text import clean, drop_numeric_lines, let, sentences, words
+from corpusq.functions.text import clean, drop_numeric_lines, let, sentences, word_count, words
 
 # Token limit and sentences per chunk of the service.
 MAX_TOKENS = 512
@@ -21,12 +21,16 @@ def sentence_groups(sents: Column, length: int | Column) -> Column:
     length = F.lit(length) if isinstance(length, int) else length
 
     def cut(s: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(s), length)
-        return F.transform(starts, lambda i: F.array_join(F.slice(s, i, length), " "))
+        return F.transform(_starts(s, length), lambda i: F.array_join(F.slice(s, i, length), " "))
 
     return let(sents, cut)
 
 
+def _starts(items: Column, length: Column) -> Column:
+    """Places where groups of `length` items begin; null without items."""
+    return F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), length))
+
+
 def word_groups(sents: Column, length: int) -> Column:
     """Whole sentences packed up to `length` words per group, in order. A
     sentence with more words than that stands alone."""
@@ -118,17 +122,27 @@ def chunk_sizes(
     texts: DataFrame, sizes: Sequence[int], content: str = "content",
     tokens: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Chunk every text once per size: `split_length`, `split_id`, `split`,
-    `tokens` instead of the text. A text is read, cleaned and cut into sentences
-    once, whatever the number of sizes."""
-    count = tokens or default_tokens()
-    cleaned = let(clean(drop_numeric_lines(F.col(content))), lambda c: F.when(c != "", sentences(c)))
+    """Token counts of the chunks of every text, cut once per size:
+    `split_length`, `split_id`, `tokens` in place of the text.
+
+    A text is read, cleaned and cut into sentences once, whatever the number of
+    sizes. Words do not cross sentences, so the default count is taken once per
+    sentence and added up; a token hook sees the text of each chunk.
+    """
+    def cut(cleaned: Column) -> Column:
+        return F.when(cleaned != "", sentences(cleaned))
+
+    sents = let(clean(drop_numeric_lines(F.col(content))), cut)
     carried = [c for c in texts.columns if c != content]
-    sents = F.col("_sents")
-    cut = texts.select(*carried, cleaned.alias("_sents")).where(sents.isNotNull())
-    sized = cut.select("*", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("split_length"))
-    rows = sized.select(
-        *carried, "split_length",
-        F.posexplode(sentence_groups(sents, F.col("split_length"))).alias("split_id", "split"),
-    )
-    return rows.withColumn("tokens", count(F.col("split")))
+    length, items = F.col("split_length"), F.col("_items")
+
+    def add_up(counts: Column) -> Column:
+        return F.transform(
+            _starts(counts, length), lambda i: F.aggregate(F.slice(counts, i, length), F.lit(0), lambda a, n: a + n)
+        )
+
+    cuts = texts.select(*carried, (sents if tokens else F.transform(sents, word_count)).alias("_items"))
+    sized = cuts.select("*", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("split_length"))
+    groups = sentence_groups(items, length) if tokens else let(items, add_up)
+    rows = sized.select(*carried, "split_length", F.posexplode(groups).alias("split_id", "tokens"))
+    return rows.withColumn("tokens", tokens(F.col("tokens"))) if tokens else rows

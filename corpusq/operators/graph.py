@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.operators.rowid import with_batches
-from corpusq.session import at_most, join_small, materialize
+from corpusq.session import BROADCAST_ROWS, at_most, join_small, materialize
 
 # Predicates of the graph, language and thresholds of the two searches.
 TYPE = "rdf:type"
@@ -155,10 +155,11 @@ def options(found: DataFrame, by_text: bool = False) -> DataFrame:
 
 
 def allowed_edges(triples: DataFrame, stop_words: DataFrame | None = None, lang: str = LANGUAGE) -> DataFrame:
-    """Distinct `(parent, child)` whose child has a label in the language
-    without any stop word."""
+    """`(parent, child)` whose child has a label in the language without any
+    stop word. A triple is held once, and the semi join repeats no pair for a
+    second label, so the pairs are distinct."""
     named = without_stop_words(labels(triples).where(F.col("lang") == lang), "label", stop_words)
-    return broader(triples).join(named, F.col("child") == F.col("id"), "left_semi").distinct()
+    return broader(triples).join(named, F.col("child") == F.col("id"), "left_semi")
 
 
 def narrower(
@@ -188,13 +189,15 @@ def expand(
     if dedupe:
         frontier = frontier.distinct()
     seen, levels = frontier, []
+    rows = frontier.limit(BROADCAST_ROWS + 1).count()
     for level in range(depth):
-        step = join_small(edges, frontier.withColumnRenamed("category", "parent"), "parent")
+        step = join_small(edges, frontier.withColumnRenamed("category", "parent"), "parent", small=rows <= BROADCAST_ROWS)
         step = step.select(F.col("child").alias("category"))
         if dedupe:
             step = step.distinct().join(seen, "category", "left_anti")
         frontier = materialize(step, f"level{level}")
-        if frontier.isEmpty():
+        rows = frontier.limit(BROADCAST_ROWS + 1).count()
+        if not rows:
             break
         levels.append(frontier.select(F.lit(level).alias("level"), "category"))
         seen = seen.unionByName(frontier) if dedupe else seen

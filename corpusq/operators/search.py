@@ -231,7 +231,7 @@ def _gaps(matrix: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 def build_cells(
     vectors: DataFrame, n_cells: int, metric: str = "cosine", keys: Sequence[str] = ("id",),
-    embedding: str = "embedding", train_rows: int = 200_000, seed: int = 0, max_iter: int = 10,
+    embedding: str = "embedding", train_rows: int = 200_000, seed: int = 0, max_iter: int = 5,
 ) -> Cells:
     """Fit `n_cells` centroids and put every vector in the cell of the nearest one.
 
@@ -371,16 +371,19 @@ def fits_broadcast(questions: DataFrame, embedding: str = "embedding", limit: in
 def top_k(
     questions: DataFrame, vectors: DataFrame, k: int = 2, offset: int = 0, metric: str = "cosine",
     question_id: str = "question_id", keys: Sequence[str] = ("id",), embedding: str = "embedding",
-    broadcast_bytes: int = BROADCAST_BYTES, n_cells: int = 1024,
+    broadcast_bytes: int = BROADCAST_BYTES, n_cells: int = 1024, small: bool | None = None,
 ) -> DataFrame:
     """The k nearest vectors of every question: `(question_id, rank, keys, score)`.
 
     Exact, ties by key. With `offset` the hits after the first `offset` are
-    given. The way is chosen by the checked size of the question table.
+    given. The way is chosen by the size of the question table, which is checked
+    here unless the caller has done so (`small`).
     """
     if metric not in _HIGHER_IS_BETTER:
         raise ValueError(f"unknown metric {metric!r}")
-    if fits_broadcast(questions, embedding, broadcast_bytes):
+    if small is None:
+        small = fits_broadcast(questions, embedding, broadcast_bytes)
+    if small:
         return top_k_scan(questions, vectors, k, offset, metric, question_id, keys, embedding)
     cells = build_cells(vectors, n_cells, metric, keys, embedding)
     return top_k_cells(questions, cells, k, None, offset, question_id, embedding)

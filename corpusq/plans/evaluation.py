@@ -6,26 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.functions import text as tx
-from corpusq.operators.answers import EVALUATION_SEPARATOR, answer, retrieve
+from corpusq.operators.answers import with_answer
 from corpusq.operators.evaluation import with_answers
 
 
 def evaluate_bank(
-    bank: DataFrame, vectors: DataFrame, chunks: DataFrame, topic: str, best_only: bool = False,
-    generate_hook=None, **search,
+    bank: DataFrame, retrieved: DataFrame, topic: str, best_only: bool = False, generate_hook=None
 ) -> DataFrame:
     """The bank with `answer_retreiver`, `retreiver_answers12` and
-    `qasystem_answers`. The context is the best chunk alone, or the k best
-    joined. Both retrieval columns hold the same text, as both come from one search."""
-    found = retrieve(bank, vectors, chunks, sep=EVALUATION_SEPARATOR, **search)
+    `qasystem_answers`. `retrieved` comes from one search, so both retrieval
+    columns hold the same text: the k best chunks joined, or the best alone."""
     if best_only:
-        found = found.withColumn("context", F.col("best"))
-    answered = answer(found, topic, generate_hook=generate_hook, extract=tx.answer_matched)
-    columns = found.select("question_id", F.col("context").alias("answer_retreiver")).join(
-        answered.select("question_id", F.col("answer").alias("qasystem_answers")), "question_id"
-    )
-    carried = bank.drop("embedding")
-    return with_answers(carried, columns).select(
-        *carried.columns, "answer_retreiver", F.col("answer_retreiver").alias("retreiver_answers12"),
-        "qasystem_answers",
+        retrieved = retrieved.withColumn("context", F.col("best"))
+    answered = with_answer(retrieved, topic, generate_hook=generate_hook, extract=tx.answer_matched)
+    columns = answered.select(
+        "question_id", F.col("context").alias("answer_retreiver"), F.col("context").alias("retreiver_answers12"),
+        F.col("answer").alias("qasystem_answers"),
     )
+    return with_answers(bank.drop("embedding"), columns)

@@ -13,7 +13,7 @@ from corpusq.operators import sections as sec
 from corpusq.operators.rowid import with_batches, with_row_id
 from corpusq.plans import corpus, tables
 from corpusq.plans.evaluation import evaluate_bank
-from corpusq.session import scratch_path, spread
+from corpusq.session import materialize, scratch_path, spread
 from corpusq.sources import readers, sinks
 
 TOPIC = "Contamination"
@@ -352,10 +352,14 @@ def vector_append_plain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _retrieved(spark: SparkSession, sf: str, sep: str = answers.SERVICE_SEPARATOR) -> DataFrame:
-    return answers.retrieve(
-        tables.questions(spark, sf), tables.chunk_vectors(spark, sf), tables.document_chunks(spark, sf),
-        sep=sep, keys=DOC_KEYS,
+    """Search over all chunks; then only documents with hits are cut again for
+    their texts."""
+    asked = tables.questions(spark, sf)
+    small = search.fits_broadcast(asked)
+    hits = materialize(
+        search.top_k(asked, tables.chunk_vectors(spark, sf), answers.HITS, keys=DOC_KEYS, small=small), "hits"
     )
+    return answers.gather(asked, hits, tables.document_chunks(spark, sf, only=hits), small, sep, DOC_KEYS)
 
 
 def chunk_top2(spark: SparkSession, sf: str) -> DataFrame:
@@ -380,10 +384,8 @@ def retrieve_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evaluation_run(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate_bank(
-        tables.questions(spark, sf), tables.chunk_vectors(spark, sf), tables.document_chunks(spark, sf), TOPIC,
-        keys=DOC_KEYS,
-    )
+    found = _retrieved(spark, sf, answers.EVALUATION_SEPARATOR)
+    return evaluate_bank(tables.questions(spark, sf), found, TOPIC)
 
 
 def prompt_build(spark: SparkSession, sf: str) -> DataFrame:

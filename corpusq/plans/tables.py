@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusq.operators import graph
 from corpusq.operators.chunking import chunk
 from corpusq.operators.embedding import embed
-from corpusq.session import spread
+from corpusq.session import join_small, spread
 from corpusq.sources.readers import stop_words
 
 SITE = "https://corpus.example/wiki/"
@@ -145,9 +145,13 @@ def web_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", text.alias("content"))
 
 
-def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all documents: `(doc_id, split_id, split, tokens, page_url, title)`."""
-    texts = documents(spark, sf_dir).select(
+def document_chunks(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Chunks of the documents: `(doc_id, split_id, split, tokens, page_url, title)`.
+    `only` is a small table whose `doc_id`s are wanted; other texts are not cut."""
+    rows = documents(spark, sf_dir)
+    if only is not None:
+        rows = join_small(table(spark, sf_dir, "documents"), only.select("doc_id"), "doc_id", "left_semi")
+    texts = rows.select(
         "doc_id",
         F.col("text").alias("content"),
         F.concat(F.lit(SITE), F.lit("Order_"), F.col("doc_id").cast("string")).alias("page_url"),

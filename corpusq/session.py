@@ -78,11 +78,14 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", small: bool | None = None) -> DataFrame:
     """Join with a side that is usually small. It is broadcast only if its row
-    count, checked first, is within `BROADCAST_ROWS`; beyond that the join is
-    left to AQE (sort-merge, with skewed partitions split)."""
-    return left.join(F.broadcast(right) if at_most(right, BROADCAST_ROWS) else right, on, how)
+    count, checked here unless the caller has done so, is within
+    `BROADCAST_ROWS`; beyond that the join is left to AQE (sort-merge, with
+    skewed partitions split)."""
+    if small is None:
+        small = at_most(right, BROADCAST_ROWS)
+    return left.join(F.broadcast(right) if small else right, on, how)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -50,11 +50,12 @@ def test_role_prompt(spark, store):
 
 
 def test_evaluation_columns(spark, store):
-    asked, vectors, chunks = store
-    joined = {r["question_id"]: r for r in evaluate_bank(asked, vectors, chunks, "t").collect()}
+    asked = store[0]
+    found = answers.retrieve(*store, sep=answers.EVALUATION_SEPARATOR)
+    joined = {r["question_id"]: r for r in evaluate_bank(asked, found, "t").collect()}
     assert joined[1]["answer_retreiver"] == joined[1]["retreiver_answers12"] == "first. second"
     assert joined[1]["qasystem_answers"] == "first"
-    best = {r["question_id"]: r for r in evaluate_bank(asked, vectors, chunks, "t", best_only=True).collect()}
+    best = {r["question_id"]: r for r in evaluate_bank(asked, found, "t", best_only=True).collect()}
     assert best[1]["answer_retreiver"] == "first" and best[3]["answer_retreiver"] is None
 
 
