@@ -31,125 +31,16 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusq.functions.blocks import Best, distances, hit_batch, keys_of, nearest, prepared, to_matrix
 from corpusq.session import materialize
 
 # Bytes the broadcast question matrix may have (8 bytes per value).
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Scores computed at once inside a task (8 bytes each).
-BLOCK_SCORES = 4_000_000
 # Rows of one side of a cell group.
 SLICE_ROWS = 8_192
-# Scores are compared at this many decimals, so that copies of a vector tie
-# whatever order their products were summed in; ties go to the smaller key.
-SCORE_DECIMALS = 9
-
 _HIGHER_IS_BETTER = {"cosine": True, "l2": False}
 
 
-# --- blocks of vectors inside a task ---------------------------------------
-
-
-def _matrix(column) -> np.ndarray:
-    """Rows of an Arrow list column as a float64 matrix."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    sizes = np.diff(column.offsets.to_numpy())
-    if len(sizes) == 0:
-        return np.zeros((0, 0))
-    if (sizes != sizes[0]).any():
-        raise ValueError("vectors of different lengths")
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
-
-
-def _prepared(matrix: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors ready for `_scores`, and which of them can be scored at all. A
-    vector without length has no direction, so cosine cannot place it."""
-    usable = np.ones(len(matrix), dtype=bool)
-    if metric == "cosine" and len(matrix):
-        size = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
-        usable = size > 0
-        matrix = matrix / np.where(usable, size, 1.0)[:, None]
-    return matrix, usable
-
-
-def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
-    """Scores of all pairs of a block, higher is better."""
-    if metric == "cosine":
-        raw = q @ v.T
-    else:
-        raw = np.empty((len(q), len(v)))
-        for i in range(len(q)):
-            gap = v - q[i]
-            raw[i] = -np.sqrt(np.einsum("ij,ij->i", gap, gap))
-    return np.round(raw, SCORE_DECIMALS)
-
-
-def _first_per_question(q: np.ndarray, keys: np.ndarray, s: np.ndarray, k: int):
-    """The k best rows of every question, by score, then by key."""
-    order = np.lexsort(tuple(keys[:, j] for j in range(keys.shape[1] - 1, -1, -1)) + (-s, q))
-    q, keys, s = q[order], keys[order], s[order]
-    opens = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=np.int64)
-    rank = np.arange(len(q)) - np.repeat(opens, np.diff(np.r_[opens, len(q)]))
-    keep = rank < k
-    return q[keep], keys[keep], s[keep]
-
-
-class _Best:
-    """The k best hits seen so far for each row of a question matrix."""
-
-    def __init__(self, questions: np.ndarray, k: int, n_keys: int, metric: str):
-        self.matrix, self.usable = _prepared(questions, metric)
-        self.k, self.metric = k, metric
-        self.q = np.zeros(0, dtype=np.int64)
-        self.keys = np.zeros((0, n_keys), dtype=np.int64)
-        self.s = np.zeros(0)
-        self.floor = np.full(len(questions), -np.inf)  # score of the k-th hit so far
-
-    def add(self, keys: np.ndarray, vectors: np.ndarray) -> None:
-        vectors, usable = _prepared(vectors, self.metric)
-        keys, vectors = keys[usable], vectors[usable]
-        rows = max(1, BLOCK_SCORES // max(1, len(self.matrix)))
-        for at in range(0, len(vectors), rows):
-            self._add_block(keys[at:at + rows], vectors[at:at + rows])
-
-    def _add_block(self, keys: np.ndarray, vectors: np.ndarray) -> None:
-        order = np.lexsort(tuple(keys[:, j] for j in range(keys.shape[1] - 1, -1, -1)))
-        keys, vectors = keys[order], vectors[order]
-        step = max(1, BLOCK_SCORES // len(vectors))
-        found = [(self.q, self.keys, self.s)]
-        for at in range(0, len(self.matrix), step):
-            s = _scores(self.matrix[at:at + step], vectors, self.metric)
-            rows = np.flatnonzero(self.usable[at:at + step])
-            for _ in range(min(self.k, len(vectors))):
-                # the first of equal scores is the one with the smallest key
-                vi = s[rows].argmax(axis=1) if len(rows) < len(s) else s.argmax(axis=1)
-                top = s[rows, vi]
-                good = top >= self.floor[at + rows]
-                rows, vi, top = rows[good], vi[good], top[good]
-                if not len(rows):
-                    break
-                found.append((rows + at, keys[vi], top))
-                s[rows, vi] = -np.inf
-        self.q, self.keys, self.s = _first_per_question(
-            np.concatenate([f[0] for f in found]),
-            np.concatenate([f[1] for f in found]),
-            np.concatenate([f[2] for f in found]),
-            self.k,
-        )
-        count = np.bincount(self.q, minlength=len(self.matrix))
-        full = count == self.k
-        self.floor[full] = self.s[np.cumsum(count)[full] - 1]
-
-
-def _keys_of(batch, names: Sequence[str]) -> np.ndarray:
-    return np.stack([np.asarray(batch.column(n)).astype(np.int64) for n in names], axis=1)
-
-
-def _hit_batch(best: _Best, question_ids: np.ndarray, question_id: str, keys: Sequence[str]) -> pa.RecordBatch:
-    columns = [pa.array(question_ids[best.q])] + [pa.array(best.keys[:, j]) for j in range(len(keys))]
-    return pa.RecordBatch.from_arrays(columns + [pa.array(best.s)], names=[question_id, *keys, "score"])
-
-
 # --- the operators ----------------------------------------------------------
 
 
@@ -158,6 +49,12 @@ def _narrow(df: DataFrame, keys: Sequence[str], embedding: str) -> DataFrame:
     return df.select(*[F.col(c).cast("bigint").alias(c) for c in keys], embedding).where(F.col(embedding).isNotNull())
 
 
+def _usable(df: DataFrame, metric: str, embedding: str) -> DataFrame:
+    """Rows whose vector can be scored: finite, and for cosine not without length."""
+    finite = df.where(F.forall(embedding, lambda x: F.abs(x) < float("inf")))
+    return finite.where(F.exists(embedding, lambda x: x != 0)) if metric == "cosine" else finite
+
+
 def _columns(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -186,16 +83,16 @@ def top_k_scan(
     spark = questions.sparkSession
     table = _narrow(questions, [question_id], embedding).toArrow()
     ids = np.asarray(table.column(0)).astype(np.int64)
-    shared = spark.sparkContext.broadcast((ids, _matrix(table.column(1))))
+    shared = spark.sparkContext.broadcast((ids, to_matrix(table.column(1))))
     wanted = k + offset
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         question_ids, matrix = shared.value
-        best = _Best(matrix, wanted, len(keys), metric)
+        best = Best(matrix, wanted, len(keys), metric)
         for batch in batches:
             if batch.num_rows and len(matrix):
-                best.add(_keys_of(batch, keys), _matrix(batch.column(embedding)))
-        yield _hit_batch(best, question_ids, question_id, keys)
+                best.add(keys_of(batch, keys), to_matrix(batch.column(embedding)))
+        yield hit_batch(best, question_ids, question_id, keys)
 
     hits = _narrow(vectors, keys, embedding).mapInArrow(scan, _schema(question_id, keys))
     return _ranked(hits, question_id, keys, k, offset, metric)
@@ -213,22 +110,6 @@ class Cells:
     metric: str
 
 
-def _nearest(matrix: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    gaps = _gaps(matrix, centroids)
-    cell = gaps.argmin(axis=1)
-    return cell, gaps[np.arange(len(matrix)), cell]
-
-
-def _gaps(matrix: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """Distances of all rows to all centroids."""
-    square = (
-        np.einsum("ij,ij->i", matrix, matrix)[:, None]
-        + np.einsum("ij,ij->i", centroids, centroids)[None, :]
-        - 2.0 * matrix @ centroids.T
-    )
-    return np.sqrt(np.maximum(square, 0.0))
-
-
 def build_cells(
     vectors: DataFrame, n_cells: int, metric: str = "cosine", keys: Sequence[str] = ("id",),
     embedding: str = "embedding", train_rows: int = 200_000, seed: int = 0, max_iter: int = 5,
@@ -244,23 +125,24 @@ def build_cells(
     total = data.count()
     fraction = min(1.0, train_rows / max(1, total))
     sample = data.select(embedding) if fraction == 1.0 else data.select(embedding).sample(fraction, seed)
-    if metric == "cosine":  # a vector without direction is no training point
-        sample = sample.where(F.exists(embedding, lambda x: x != 0))
+    sample = _usable(sample, metric, embedding)
+    if sample.isEmpty():
+        raise ValueError("no vector to build cells from")
     points = sample.select(array_to_vector(F.col(embedding).cast("array<double>")).alias("features"))
     fit = KMeans(
         k=n_cells, seed=seed, maxIter=max_iter, distanceMeasure="cosine" if metric == "cosine" else "euclidean"
     ).fit(points)
     centroids = np.array(fit.clusterCenters())
     if metric == "cosine":
-        centroids = _prepared(centroids, metric)[0]
+        centroids = prepared(centroids, metric)[0]
     shared = data.sparkSession.sparkContext.broadcast(centroids)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            matrix, usable = _prepared(_matrix(batch.column(embedding)), metric)
-            cell, gap = _nearest(matrix, shared.value)
+            matrix, usable = prepared(to_matrix(batch.column(embedding)), metric)
+            cell, gap = nearest(matrix, shared.value)
             out = batch.append_column("cell", pa.array(cell.astype(np.int32))).append_column("gap", pa.array(gap))
             yield out.filter(pa.array(usable))
 
@@ -276,7 +158,7 @@ def _visits(cells: Cells, wanted: int, n_probe: int | None) -> Callable[[np.ndar
     centroids, counts, radii = cells.centroids, cells.counts, cells.radii
 
     def choose(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        gaps = _gaps(matrix, centroids)
+        gaps = distances(matrix, centroids)
         gaps[:, counts == 0] = np.inf
         if n_probe is not None:
             order = np.argsort(gaps, axis=1, kind="stable")[:, :n_probe]
@@ -323,7 +205,7 @@ def top_k_cells(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            matrix, usable = _prepared(_matrix(batch.column(embedding)), metric)
+            matrix, usable = prepared(to_matrix(batch.column(embedding)), metric)
             rows, cell = choose(matrix)
             keep = usable[rows]
             rows, cell = rows[keep], cell[keep]
@@ -349,10 +231,10 @@ def top_k_cells(
         if not asked.num_rows or not held.num_rows:
             empty = [pa.array([], pa.int64())] * (len(names) - 1) + [pa.array([], pa.float64())]
             return pa.Table.from_arrays(empty, names=names)
-        best = _Best(_matrix(asked.column(embedding)), wanted, len(keys), metric)
-        best.add(_keys_of(held, keys), _matrix(held.column(embedding)))
+        best = Best(to_matrix(asked.column(embedding)), wanted, len(keys), metric)
+        best.add(keys_of(held, keys), to_matrix(held.column(embedding)))
         ids = np.asarray(asked.column(question_id)).astype(np.int64)
-        return pa.Table.from_batches([_hit_batch(best, ids, question_id, keys)])
+        return pa.Table.from_batches([hit_batch(best, ids, question_id, keys)])
 
     by = ["cell", "v_slice", "q_slice"]
     hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(score, _schema(question_id, keys))
@@ -385,6 +267,9 @@ def top_k(
         small = fits_broadcast(questions, embedding, broadcast_bytes)
     if small:
         return top_k_scan(questions, vectors, k, offset, metric, question_id, keys, embedding)
+    if _usable(_narrow(vectors, keys, embedding), metric, embedding).isEmpty():
+        hits = questions.sparkSession.createDataFrame([], _schema(question_id, keys))
+        return _ranked(hits, question_id, list(keys), k, offset, metric)
     cells = build_cells(vectors, n_cells, metric, keys, embedding)
     return top_k_cells(questions, cells, k, None, offset, question_id, embedding)
 

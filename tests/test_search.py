@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from corpusq.functions import blocks
 from corpusq.functions import vectors as vx
 from corpusq.operators import embedding as emb
 from corpusq.operators import search
@@ -53,8 +54,8 @@ def test_scan_is_exact(spark, metric, k, offset):
 
 def test_blocks_give_the_same_hits(spark, monkeypatch):
     asked, held = data(1)
-    best = search._Best(np.float32(asked).astype(float), 3, 1, "cosine")
-    monkeypatch.setattr(search, "BLOCK_SCORES", 50)
+    best = blocks.Best(np.float32(asked).astype(float), 3, 1, "cosine")
+    monkeypatch.setattr(blocks, "BLOCK_SCORES", 50)
     best.add(np.arange(len(held))[:, None], np.float32(held).astype(float))
     found = {}
     for q, key, s in zip(best.q, best.keys[:, 0], best.s):
@@ -98,6 +99,12 @@ def test_probing_all_cells_is_exact_and_recall_is_reported(spark):
     assert 0.3 < one["recall"] <= 1.0 and one["expected"] == 46
 
 
+def test_vectors_with_nan_are_no_hits(spark):
+    held = spark.createDataFrame([(1, [float("nan"), 1.0]), (2, [0.5, 1.0])], "id bigint, embedding array<float>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, [float("inf"), 0.0])], "question_id bigint, embedding array<float>")
+    assert [(r["question_id"], r["id"]) for r in search.top_k(asked, held, 2).collect()] == [(7, 2)]
+
+
 def test_two_part_keys_break_ties(spark):
     held = spark.createDataFrame([(2, 0, [1.0, 0.0]), (1, 5, [1.0, 0.0]), (1, 3, [2.0, 0.0])], "d bigint, s int, embedding array<float>")
     asked = spark.createDataFrame([(7, [1.0, 0.0])], "question_id bigint, embedding array<float>")
@@ -109,6 +116,7 @@ def test_empty_sides(spark):
     asked, held = data()
     none = frame(spark, held).where("id < 0")
     assert search.top_k(frame(spark, asked, "question_id"), none, 2).count() == 0
+    assert search.top_k(frame(spark, asked, "question_id"), none, 2, small=False).count() == 0
     assert search.top_k(none.withColumnRenamed("id", "question_id"), frame(spark, held), 2).count() == 0
 
 
