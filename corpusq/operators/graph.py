@@ -93,7 +93,8 @@ def without_stop_words(df: DataFrame, text: str, stop_words: DataFrame | None, l
     substrings = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in sorted(lengths)])))
     texts = df.select(text).distinct()
     hit = texts.select(text, F.explode(substrings).alias("word")).join(wanted, "word", "left_semi")
-    return df.join(hit.select(text), text, "left_anti")
+    found = hit.select(text).distinct().withColumn("_found", F.lit(True))
+    return df.join(found, text, "left").where(F.col("_found").isNull()).drop("_found")
 
 
 # --- search -----------------------------------------------------------------
@@ -137,8 +138,8 @@ def concept_search(
         per_concept = per_label.groupBy("id").agg(F.max("names").alias("names"))
         floor = MIN_CHILDREN_BY_LABEL if min_children is None else min_children
     return (
-        per_concept.join(types, "id", "left_semi")
-        .join(children, "id")
+        per_concept.join(children, "id")
+        .join(types, "id")
         .select("id", (F.col("children") * F.col("names")).alias("n"))
         .where(F.col("n") > floor)
         .orderBy(F.desc("n"), "id")
@@ -156,10 +157,15 @@ def options(found: DataFrame, by_text: bool = False) -> DataFrame:
 
 def allowed_edges(triples: DataFrame, stop_words: DataFrame | None = None, lang: str = LANGUAGE) -> DataFrame:
     """`(parent, child)` whose child has a label in the language without any
-    stop word. A triple is held once, and the semi join repeats no pair for a
-    second label, so the pairs are distinct."""
+    stop word. A triple is held once and labelled ids are made distinct, so the
+    pairs are distinct.
+
+    The distinct needs the same partitioning as the join. A semi join would be
+    pushed into the parts of a table of triples that is a union, and would read
+    the labels once for each of them.
+    """
     named = without_stop_words(labels(triples).where(F.col("lang") == lang), "label", stop_words)
-    return broader(triples).join(named, F.col("child") == F.col("id"), "left_semi")
+    return broader(triples).join(named.select(F.col("id").alias("child")).distinct(), "child").select("parent", "child")
 
 
 def narrower(
