@@ -12,11 +12,14 @@ from corpusq.functions.hooks import default_generate
 from corpusq.operators.search import fits_broadcast, top_k
 
 # Prompt formats, context separators and hits per question.
-INSTRUCTION_PROMPT = """[INST] <<SYS>>
-You are an assistant that always answer concisely, without introductory sentences and be helpfully as possible, while being safe. Your answers should not include any harmful, unethical, racist, sexist, toxic, dangerous, or illegal content. Please ensure that your responses are socially unbiased and positive in nature. If a question does not make any sense, or is not factually coherent, explain why instead of answering something not correct. If you don't know the answer to a question, please don't share false information.
-also you are a {topic} expert, answer questions about {topic} as best as you can with this context {context}.
-</SYS>>
-{question}[/INST]"""
+OPENINGS = {
+    "concise": "You are an assistant that always answer concisely, without introductory sentences and be helpfully as possible, while being safe.",
+    "helpful": "You are a helpful, respectful and honest assistant. Always answer as helpfully as possible, while being safe.",
+    "brief": "You are a helpful, respectful and honest assistant. Always answer briefly and concisely, without introductory sentences and be helpfully as possible, while being safe.",
+    "plain": "You are a helpful, respectful and honest assistant be helpfully as possible, while being safe.",
+}
+RULES = "Your answers should not include any harmful, unethical, racist, sexist, toxic, dangerous, or illegal content. Please ensure that your responses are socially unbiased and positive in nature. If a question does not make any sense, or is not factually coherent, explain why instead of answering something not correct. If you don't know the answer to a question, please don't share false information."
+EXPERT = "also you are a {topic} expert, answer questions about {topic} as best as you can with this context {context}."
 ROLE_PROMPT = """SYSTEM: You are an assistant expert on {topic}.
 
 CONTEXT: {context}
@@ -31,6 +34,17 @@ EVALUATION_SEPARATOR = ". "
 HITS = 2
 
 
+def instruction_prompt(opening: str = "concise", indent: str = "") -> str:
+    """The instruction template with one of the openings. The service indents
+    its system lines by four spaces, the evaluation does not."""
+    system = "".join(f"\n{indent}{line}" for line in (f"{OPENINGS[opening]} {RULES}", EXPERT, "</SYS>>"))
+    return f"[INST] <<SYS>>{system}\n{{question}}[/INST]"
+
+
+INSTRUCTION_PROMPT = instruction_prompt(indent="    ")
+EVALUATION_PROMPT = instruction_prompt()
+
+
 def attach(hits: DataFrame, chunks: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
     """Hits with the text columns of their chunk. Ranking was done on keys and
     vectors alone; texts are read only here. `small` says that the number of

@@ -16,9 +16,12 @@ from corpusq.session import at_most, materialize
 EXACT_QUANTILE_VALUES = 1_000_000
 
 
-def pair_scores(df: DataFrame, a: str, b: str, question: str | None = None) -> DataFrame:
-    """Add the cosine of two vector columns, and of each with the question's."""
+def pair_scores(df: DataFrame, a: str, b: str, question: str | None = None, manhattan: bool = False) -> DataFrame:
+    """Add the cosine of two vector columns, and of each with the question's;
+    if asked for, also the Manhattan distance of the two."""
     scored = df.withColumn("cosine_similarity", vx.cosine(F.col(a), F.col(b)))
+    if manhattan:
+        scored = scored.withColumn("manhattan_distance", vx.manhattan(F.col(a), F.col(b)))
     if question:
         scored = scored.withColumn("cosine_similarity_question_a", vx.cosine(F.col(a), F.col(question)))
         scored = scored.withColumn("cosine_similarity_question_b", vx.cosine(F.col(b), F.col(question)))
@@ -89,13 +92,25 @@ def histogram(df: DataFrame, column: str, bins: int | str = 20, by: str | None =
     )
 
 
-def density(df: DataFrame, column: str, points: Sequence[float], bandwidth: float) -> DataFrame:
-    """Gaussian kernel density at the given points: `(point, density)`.
+def density(
+    df: DataFrame, column: str, points: Sequence[float] | int = 200, bandwidth: float | None = None
+) -> DataFrame:
+    """Gaussian kernel density: `(point, density)`.
 
-    Every task adds up its own part of each point, so only one sum per task and
-    point is shuffled.
+    `points` are given, or their number between the smallest and the largest
+    value. Without a bandwidth Scott's rule is used. Every task adds up its own
+    part of each point, so only one sum per task and point is shuffled.
     """
     counts = _counted(df, column)
+    if isinstance(points, int) or bandwidth is None:
+        total, ones, squares = F.sum("n"), F.sum(F.col("n") * F.col("value")), F.sum(F.col("n") * F.col("value") ** 2)
+        row = counts.agg(F.min("value"), F.max("value"), total, ones, squares).first()
+        low, high, n = row[0] or 0.0, row[1] or 0.0, row[2] or 0
+        if isinstance(points, int):
+            points = [low + (high - low) * i / max(1, points - 1) for i in range(points)]
+        if bandwidth is None:
+            spread = math.sqrt(max(0.0, (row[4] - row[3] ** 2 / n) / (n - 1))) if n > 1 else 0.0
+            bandwidth = spread * n ** -0.2 if spread else 1.0
     grid = F.array(*[F.lit(float(p)) for p in points])
     at = counts.select("value", "n", F.explode(grid).alias("point"))
     gap = (F.col("point") - F.col("value")) / F.lit(float(bandwidth))

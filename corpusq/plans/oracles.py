@@ -271,6 +271,7 @@ _TALK = f"""
 WITH talk AS ({_vector('conversations', 'conv_id, turn, role', 'text')}),
 cosines AS (
   SELECT q.conv_id, q.turn,
+    list_sum(list_transform(range(1, 65), lambda i: abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) AS manhattan_distance,
     list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine_similarity,
     list_cosine_similarity(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS cosine_similarity_question_a,
     list_cosine_similarity(b.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS cosine_similarity_question_b
@@ -427,6 +428,17 @@ counts AS (SELECT tokens AS v, count(*) AS n FROM counted GROUP BY tokens)
 SELECT point::DOUBLE AS point,
   round(sum(n * exp(-((point - v) / 15.0) * ((point - v) / 15.0) / 2)) / (sum(n) * 15.0 * sqrt(2 * pi())), 9) AS density
 FROM counts, range(0, 520, 20) t(point) GROUP BY point
+""",
+    "token_density_by_rule": f"""
+WITH {_CHUNKS},
+counts AS (SELECT tokens AS v, count(*) AS n FROM counted GROUP BY tokens),
+rule AS (
+  SELECT min(tokens) AS lo, max(tokens) AS hi, stddev_samp(tokens) * power(count(*), -0.2) AS h FROM counted
+),
+grid AS (SELECT lo + (hi - lo) * i / 49.0::DOUBLE AS point, h FROM rule, range(50) t(i))
+SELECT round(point, 6) AS point,
+  round(sum(n * exp(-((point - v) / h) * ((point - v) / h) / 2)) / (sum(n) * any_value(h) * sqrt(2 * pi())), 9) AS density
+FROM counts, grid GROUP BY point
 """,
     "sections_from_markup": f"WITH {_sections(_MARKUP, 'title', LEFT_OUT)} SELECT * FROM parsed",
     "sections_from_web_pages": (
@@ -592,7 +604,7 @@ SELECT doc_id, source || ' nan' AS split, quality, toxic FROM documents LEFT JOI
 SELECT conv_id, turn, {_class('text')} AS label, {_class("text || ' ?'")} AS asked_label FROM conversations
 """,
     "pair_eval": _TALK + """
-SELECT conv_id, turn, round(cosine_similarity, 6) AS cosine_similarity,
+SELECT conv_id, turn, round(cosine_similarity, 6) AS cosine_similarity, round(manhattan_distance, 6) AS manhattan_distance,
   round(cosine_similarity_question_a, 6) AS cosine_similarity_question_a,
   round(cosine_similarity_question_b, 6) AS cosine_similarity_question_b
 FROM cosines

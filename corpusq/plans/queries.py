@@ -148,6 +148,12 @@ def token_density(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def token_density_by_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """Over the range of the data, bandwidth by Scott's rule."""
+    found = evaluation.density(tables.document_chunks(spark, sf), "tokens", points=50)
+    return found.select(*_rounded("point"), F.round("density", 9).alias("density"))
+
+
 # --- sections ---------------------------------------------------------------
 
 
@@ -458,8 +464,9 @@ def _pair_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pair_eval(spark: SparkSession, sf: str) -> DataFrame:
-    names = ("cosine_similarity", "cosine_similarity_question_a", "cosine_similarity_question_b")
-    return evaluation.pair_scores(_pair_vectors(spark, sf), "a", "b", "q").select("conv_id", "turn", *_rounded(*names))
+    names = ("cosine_similarity", "manhattan_distance", "cosine_similarity_question_a", "cosine_similarity_question_b")
+    scored = evaluation.pair_scores(_pair_vectors(spark, sf), "a", "b", "q", manhattan=True)
+    return scored.select("conv_id", "turn", *_rounded(*names))
 
 
 def score_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -490,7 +497,8 @@ QUERIES = {
     for f in (
         vector_top2, vector_top1_offset, vector_top2_l2, vector_top2_by_cells, vector_topk_cells, vector_distances,
         vector_predicate_scan, text_vectors, chunk_documents, chunk_documents_no_limit, chunk_words, numeric_lines,
-        chunk_rows, token_histogram, chunk_size_histogram, token_density, sections_from_markup,
+        chunk_rows, token_histogram, chunk_size_histogram, token_density,
+        token_density_by_rule, sections_from_markup,
         sections_from_web_pages, revision_bounds, revision_json, revision_row_bounds, concept_search_id,
         concept_search_label, concept_options, stop_word_filter, narrower, expand,
         expand_all_paths, category_pages, category_pages_batched, category_batches, sparql_bindings,

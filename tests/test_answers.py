@@ -49,6 +49,13 @@ def test_role_prompt(spark, store):
     assert found["prompt"] == "SYSTEM: You are an assistant expert on air.\n\nCONTEXT: first second\n\nUSER: q one\n\nASSISTANT:\n\n"
 
 
+def test_instruction_prompts():
+    service, plain = answers.INSTRUCTION_PROMPT.split("\n"), answers.EVALUATION_PROMPT.split("\n")
+    assert [line.removeprefix("    ") for line in service] == plain and service[1].startswith("    You")
+    assert plain[0] == "[INST] <<SYS>>" and plain[-2:] == ["</SYS>>", "{question}[/INST]"]
+    assert len({answers.instruction_prompt(o) for o in answers.OPENINGS}) == 4
+
+
 def test_evaluation_columns(spark, store):
     asked = store[0]
     found = answers.retrieve(*store, sep=answers.EVALUATION_SEPARATOR)

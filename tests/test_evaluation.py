@@ -50,10 +50,22 @@ def test_density(spark, kind):
         assert found[p] == pytest.approx(expected)
 
 
+def test_density_by_rule(spark):
+    values = np.random.default_rng(3).normal(size=60)
+    found = {r["point"]: r["density"] for r in ev.density(column(spark, [float(v) for v in values]), "v", 7).collect()}
+    h = values.std(ddof=1) * 60 ** -0.2
+    for p in np.linspace(values.min(), values.max(), 7):
+        near = min(found, key=lambda x: abs(x - p))
+        expected = np.exp(-((p - values) / h) ** 2 / 2).sum() / (60 * h * math.sqrt(2 * math.pi))
+        assert near == pytest.approx(p) and found[near] == pytest.approx(expected)
+    assert ev.density(column(spark, [2.0, 2.0]), "v", [2.0]).first()["density"] == pytest.approx(1 / math.sqrt(2 * math.pi))
+
+
 def test_stats_and_pairs(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0], [1.0, 1.0])], "a array<float>, b array<float>, q array<float>")
-    scored = ev.pair_scores(rows, "a", "b", "q")
+    scored = ev.pair_scores(rows, "a", "b", "q", manhattan=True)
     first = scored.first()
+    assert first["manhattan_distance"] == 2.0
     assert first["cosine_similarity"] == 0.0 and first["cosine_similarity_question_a"] == pytest.approx(0.5 ** 0.5)
     stats = {r["column"]: r for r in ev.score_stats(scored, "cosine_similarity", "cosine_similarity_question_a").collect()}
     assert stats["cosine_similarity"]["mean"] == 0.0 and stats["cosine_similarity_question_a"]["n"] == 1
