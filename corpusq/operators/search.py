@@ -36,8 +36,8 @@ from corpusq.session import materialize
 
 # Bytes the broadcast question matrix may have (8 bytes per value).
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Rows of one side of a cell group.
-SLICE_ROWS = 8_192
+# Bytes of vectors on one side of a cell group (8 bytes per value).
+SLICE_BYTES = 32 * 1024 * 1024
 _HIGHER_IS_BETTER = {"cosine": True, "l2": False}
 
 
@@ -194,9 +194,10 @@ def _sliced(df: DataFrame, own: DataFrame, other: DataFrame, own_id: Sequence[st
 
 def top_k_cells(
     questions: DataFrame, cells: Cells, k: int, n_probe: int | None = None, offset: int = 0,
-    question_id: str = "question_id", embedding: str = "embedding", slice_rows: int = SLICE_ROWS,
+    question_id: str = "question_id", embedding: str = "embedding", slice_rows: int | None = None,
 ) -> DataFrame:
     """Search by cells: exact without `n_probe`, approximate with it."""
+    slice_rows = slice_rows or max(1, SLICE_BYTES // (8 * cells.centroids.shape[1]))
     keys, metric, wanted = list(cells.keys), cells.metric, k + offset
     spark = questions.sparkSession
     choose = _visits(cells, wanted, n_probe)
@@ -209,11 +210,12 @@ def top_k_cells(
             rows, cell = choose(matrix)
             keep = usable[rows]
             rows, cell = rows[keep], cell[keep]
-            out = batch.take(pa.array(rows))
-            yield out.append_column("cell", pa.array(cell.astype(np.int32)))
+            asking = batch.column(question_id).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([asking, pa.array(cell.astype(np.int32))], names=[question_id, "cell"])
 
     asked = _narrow(questions, [question_id], embedding)
-    visits = materialize(asked.mapInArrow(visit, _columns(asked) + ", cell int"), "visits")
+    # only pairs of ids are written; vectors join them where they are needed
+    visits = materialize(asked.mapInArrow(visit, f"{question_id} bigint, cell int"), "visits")
 
     def slices(counts: DataFrame) -> DataFrame:
         return counts.select("cell", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"))
@@ -223,7 +225,7 @@ def top_k_cells(
     )
     vector_slices = slices(sizes)
     question_slices = slices(visits.groupBy("cell").agg(F.count("*").alias("n")))
-    left = _sliced(visits, question_slices, vector_slices, [question_id], "q_slice", "v_slice")
+    left = _sliced(visits.join(asked, question_id), question_slices, vector_slices, [question_id], "q_slice", "v_slice")
     right = _sliced(cells.assigned, vector_slices, question_slices, keys, "v_slice", "q_slice")
 
     def score(asked: pa.Table, held: pa.Table) -> pa.Table:
