@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import SPACES, let, one_space, text_or_empty, without, words
+from corpusq.llm.common import let, one_space, text_or_empty, without
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -94,38 +94,36 @@ def _repeated(hashes: Column) -> Column:
 def measure(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keys` and the measurements of every whole text, all row by row: nothing is shuffled.
 
-    Window equality is equality of 64-bit hashes of the eight words' hashes inside one text.
+    Window equality is equality of 64-bit hashes inside one text: hashes of two, four, then eight words,
+    each made from two of the level before.
     """
-    blank = " " + "".join(SPACES)
     own = docs.select(*keys, text_or_empty(F.col(text)).alias("_t"))
-    cut = own.select(*keys, "_t", words(F.col("_t")).alias("_w"))
-    length = F.char_length
-    lines = F.filter(F.split("_t", "\n"), lambda line: F.replace(one_space(line), F.lit(" "), F.lit("")) != "")
-    first = cut.select(
+    spaced = own.select(*keys, "_t", one_space(F.col("_t")).alias("_s"))
+    cut = spaced.select(
         *keys,
-        F.size("_w").cast("long").alias("n_words"),
-        length(without(F.col("_t"), blank)).cast("long").alias("word_chars"),
-        (length("_t") - length(without(F.col("_t"), SYMBOLS))).cast("long").alias("n_symbols"),
-        (length("_t") - length(without(F.col("_t"), "!"))).cast("long").alias("n_exclamations"),
+        F.char_length(without(F.col("_s"), " ")).cast("long").alias("word_chars"),
+        F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.regexp_count("_t", F.lit("!")).cast("long").alias("n_exclamations"),
         F.regexp_count("_t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        lines.alias("_lines"),
-        F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
+        F.filter(F.split("_t", "\n"), lambda x: without(one_space(x), " ") != "").alias("_lines"),
+        F.array_remove(F.split("_s", " "), "").alias("_w"),
     )
-    h = F.col("_h")
-    windows = F.when(
-        F.size(h) >= WINDOW,
-        F.transform(
-            F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])
-        ),
-    ).otherwise(F.array().cast("array<long>"))
-    same = F.filter(h, lambda x, i: F.coalesce(x == F.get(h, i - 1), F.lit(False)))
-    second = first.withColumns({
+
+    def joined(level: str, step: int) -> Column:
+        return F.transform(level, lambda x, i: F.xxhash64(x, F.get(F.col(level), i + step)))
+
+    counted = cut.withColumns({
+        "n_words": F.size("_w").cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_adjacent": F.size(same).cast("long"),
-        "_windows": windows,
+        "n_adjacent": F.size(F.filter("_w", lambda w, i: F.coalesce(w == F.get("_w", i - 1), F.lit(False)))).cast("long"),
+        "_h": joined("_w", 1),
     })
-    return second.withColumn("n_repeat_words", _repeated(F.col("_windows"))).select(*keys, *MEASURES)
+    for step in (2, 4):
+        counted = counted.withColumn("_h", joined("_h", step))
+    whole = F.slice("_h", F.lit(1), F.greatest(F.lit(0), F.size("_h") - (WINDOW - 1)))
+    windows = counted.withColumn("_h", whole)
+    return windows.withColumn("n_repeat_words", _repeated(F.col("_h"))).select(*keys, *MEASURES)
 
 
 def ledger(
