@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import quality_rules
+from corpusq.llm import quality_rules, simhash_vp
 from corpusq.llm.common import read
 
 
@@ -19,6 +19,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_vp.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op7_simhash_vp": op7_simhash_vp,
 }
