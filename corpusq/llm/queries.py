@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import quality_rules, simhash_vp
+from corpusq.llm import bpe_tree, quality_rules, simhash_vp, token_store
 from corpusq.llm.common import read
 
 
@@ -19,11 +19,23 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.digests(read(spark, sf_dir, "documents"))
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    store = token_store.write_store(docs)
+    return token_store.read_digests(store, docs.select("doc_id").distinct())
+
+
 def op7_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op5_bpe_tree": op5_bpe_tree,
+    "op6_token_store": op6_token_store,
     "op7_simhash_vp": op7_simhash_vp,
 }
