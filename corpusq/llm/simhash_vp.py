@@ -33,7 +33,7 @@ SHINGLE = 3
 RADIUS = 3
 SAMPLE_PART = 64  # one entry of so many is a candidate for the sample
 SAMPLE_MOST = 65_536  # and the sample has no more than these
-LEAF_SAMPLE = 16  # sample entries of a leaf: about 1,000 entries until the sample is full
+LEAF_SAMPLE = 64  # sample entries of a leaf: about 4,000 entries until the sample is full
 BLOCK = 4_096
 _ROWS = 256  # rows of a block compared at once: 8 MB of distances
 
