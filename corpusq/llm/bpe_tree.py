@@ -21,7 +21,7 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from corpusq.session import materialize
 
 PIECE = 32_768  # characters of a leaf
-CACHE = 1_000_000  # different words a worker remembers
+CACHE = 300_000  # different words a worker remembers
 LOOK_AHEAD = 3
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 _SAFE = re.compile(r"(?<=[A-Za-z0-9.,;:!?])[ \n]")
@@ -233,39 +233,44 @@ def concatenate(encoder: Encoder, parts: list[tuple[str, np.ndarray]]) -> np.nda
     )
 
 
-RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-
-def encoded(docs: DataFrame, text: str = "text", path: str | None = None, piece: int = PIECE) -> DataFrame:
-    """`doc_id` and `ids` (little-endian unsigned 32-bit integers as binary) of every whole text."""
+def encoded(
+    docs: DataFrame, text: str = "text", path: str | None = None, piece: int = PIECE,
+    fields: str = "ids binary", work: Callable[[Encoder, bytes], tuple] = lambda tool, ids: (ids,),
+) -> DataFrame:
+    """`doc_id` and `fields` of every whole text. `work` makes the fields from the document's ids (little-endian unsigned 32-bit
+    integers) in the worker that encoded them; without it the ids are returned."""
     config = tokenizer_json(path)
     own = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def row(doc_id, values: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": doc_id, **{n: [v[k] for v in values] for k, n in enumerate(names)}})
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = encoder(config)
         for batch in batches:
-            yield from _by_size(batch, lambda p: pd.DataFrame({"doc_id": p["doc_id"], "ids": tool.encode(list(p["_t"]))}))
+            for part in _by_size(batch):
+                yield row(part["doc_id"], [work(tool, ids) for ids in tool.encode(list(part["_t"]))])
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = encoder(config)
         for batch in batches:
-            yield from _by_size(batch, lambda p: p.assign(ids=tool.encode(list(p["_t"]))))
+            for part in _by_size(batch):
+                yield part.assign(ids=tool.encode(list(part["_t"])))
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("leaf")
+        tool, group = encoder(config), group.sort_values("leaf")
         parts = [(t, np.frombuffer(i, dtype="<u4")) for t, i in zip(group["_t"], group["ids"])]
-        ids = concatenate(encoder(config), parts).astype("<u4").tobytes()
-        return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1], "ids": [ids]})
+        return row(group["doc_id"].iloc[:1], [work(tool, concatenate(tool, parts).astype("<u4").tobytes())])
 
-    brief = own.where(F.char_length("_t") <= piece).mapInPandas(short, "doc_id long, ids binary")
+    brief = own.where(F.char_length("_t") <= piece).mapInPandas(short, f"doc_id long, {fields}")
     numbered = own.where(F.char_length("_t") > piece).withColumn("_row", F.monotonically_increasing_id())
     cut = numbered.select("doc_id", "_row", F.posexplode(_leaf_spans(F.char_length("_t"), piece)).alias("leaf", "s"), "_t")
     cut = cut.select("doc_id", "_row", "leaf", F.substring("_t", F.col("s.a") + 1, F.col("s.b") - F.col("s.a")).alias("_t"))
     # the cut is written once: row numbers stay what they are when a task is lost, and leaves are dealt out evenly
     dealt = materialize(cut, "leaves").repartition("_row", "leaf")
     done = dealt.mapInPandas(leaves, "doc_id long, _row long, leaf int, _t string, ids binary")
-    joined = done.groupBy("_row").applyInPandas(tree, "doc_id long, ids binary")
-    return brief.union(joined)
+    return brief.union(done.groupBy("_row").applyInPandas(tree, f"doc_id long, {fields}"))
 
 
 def _leaf_spans(n: Column, piece: int) -> Column:
@@ -279,24 +284,18 @@ def _leaf_spans(n: Column, piece: int) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: F.struct(at(i).alias("a"), at(i + 1).alias("b")))
 
 
-def _by_size(batch: pd.DataFrame, work, characters: int = 2_000_000) -> Iterator[pd.DataFrame]:
-    """Slices of a batch that hold a bounded amount of text, each worked on alone."""
-    size = batch["_t"].str.len().to_numpy().cumsum() // characters if len(batch) else np.array([])
-    for _, part in batch.groupby(size, sort=True) if len(batch) else []:
-        yield work(part)
+def _by_size(batch: pd.DataFrame, characters: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """Slices of a batch that hold a bounded amount of text."""
+    if len(batch):
+        for _, part in batch.groupby(batch["_t"].str.len().to_numpy().cumsum() // characters):
+            yield part
 
 
-def digests(docs: DataFrame, text: str = "text", path: str | None = None, piece: int = PIECE) -> DataFrame:
-    """Per row: doc_id, n_tokens, digest of the ids, digest of the decoded text."""
-    config = tokenizer_json(path)
+def digest(tool: Encoder, ids: bytes) -> tuple[int, str, str]:
+    """Number of tokens, digest of the ids, digest of the decoded text."""
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(tool.decode(ids).encode()).hexdigest()
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = encoder(config)
-        for batch in batches:
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n_tokens": [len(i) // 4 for i in batch["ids"]],
-                "ids_sha256": [hashlib.sha256(i).hexdigest() for i in batch["ids"]],
-                "decoded_sha256": [hashlib.sha256(tool.decode(i).encode()).hexdigest() for i in batch["ids"]],
-            })
 
-    return encoded(docs, text, path, piece).mapInPandas(digest, RESULT)
+def digests(docs: DataFrame, text: str = "text", path: str | None = None, piece: int = PIECE) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return encoded(docs, text, path, piece, "n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
