@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import bpe_tree, credentials, quality_rules, simhash_vp, token_store
+from corpusq.llm import bpe_tree, credentials, decontaminate, quality_rules, simhash_vp, token_store
 from corpusq.llm.common import read
 
 
@@ -33,6 +33,10 @@ def op7_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find(read(spark, sf_dir, "documents"))
 
@@ -42,5 +46,6 @@ QUERIES = {
     "op5_bpe_tree": op5_bpe_tree,
     "op6_token_store": op6_token_store,
     "op7_simhash_vp": op7_simhash_vp,
+    "op8_spaced_seeds": op8_spaced_seeds,
     "op9_credentials": op9_credentials,
 }
