@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from corpusq.session import materialize
 
 PIECE = 32_768  # characters of a leaf
-CACHE = 300_000  # different words a worker remembers
+CACHE = 600_000  # different words a worker remembers
 LOOK_AHEAD = 3
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 _SAFE = re.compile(r"(?<=[A-Za-z0-9.,;:!?])[ \n]")

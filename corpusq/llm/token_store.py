@@ -2,8 +2,8 @@
 
 A store is a folder with two files for each shard:
 
-* `.ids`: the ids of its documents one after another, little-endian unsigned 32-bit integers, each
-  document closed by the end id. Shards hold ascending ranges of doc_id (nulls first).
+* `.ids`: the ids of its documents one after another, each document closed by the end id, as little-endian unsigned
+  integers of 16 bits if the vocabulary has at most 65,536 entries, else of 32 bits. Shards hold ascending ranges of doc_id (nulls first).
 * `.mph`: a minimal perfect hash over the shard's keys (bit arrays, one for each level; a key's slot is the rank of
   its bit), and for each slot a 32-bit fingerprint of the key, the number of its first document and
   how many documents carry the key; then the offsets of all documents. No key is stored: a key that is not in the shard is told by its
@@ -37,7 +37,7 @@ ROWS_PER_SHARD = 8_192
 MOST_SHARDS = 16_384  # beyond it shards get longer, so that the manifest stays small
 _GAMMA = 2  # bits of a level for each key
 _MAGIC = b"TOKMPH01"
-MANIFEST = "shard int, path string, docs long, ids long, nulls long, first long, last long"
+MANIFEST = "shard int, path string, width int, docs long, ids long, nulls long, first long, last long"
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -159,24 +159,25 @@ def write_store(
         shard = TaskContext.get().partitionId()
         name = f"{base}/shard-{shard:05d}-{uuid.uuid4().hex}"
         keys, nulls, sizes = [], 0, []
-        end = np.array([end_id], dtype="<u4").tobytes()
         tool = encoder(config)
+        width = 2 if max(len(tool.bytes) - 1, end_id) < 65_536 else 4
         with fs.open_output_stream(f"{name}.ids") as out:
             for batch in _with(first, batches):
                 keys.append(batch["doc_id"].to_numpy()[~batch["none"].to_numpy()])
                 nulls += int(batch["none"].sum())
                 for part in _slices(batch["_t"]):
                     for ids in tool.encode(part):
-                        out.write(ids + end)
-                        sizes.append(len(ids) // 4 + 1)
+                        held = np.append(np.frombuffer(ids, dtype="<u4"), np.uint32(end_id))
+                        out.write(held.astype(f"<u{width}").tobytes())
+                        sizes.append(len(held))
         held = np.concatenate(keys).astype(np.int64)
         distinct, firsts, counts = np.unique(held, return_index=True, return_counts=True)
         offsets = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])
         with fs.open_output_stream(f"{name}.mph") as out:
             out.write(pack_index(distinct, firsts + nulls, counts, offsets, nulls))
         low, high = (int(held.min()), int(held.max())) if len(held) else (0, -1)
-        yield pd.DataFrame([(shard, name.rpartition("/")[2], len(sizes), int(offsets[-1]), nulls, low, high)],
-                           columns=["shard", "path", "docs", "ids", "nulls", "first", "last"])
+        yield pd.DataFrame([(shard, name.rpartition("/")[2], width, len(sizes), int(offsets[-1]), nulls, low, high)],
+                           columns=["shard", "path", "width", "docs", "ids", "nulls", "first", "last"])
 
     return Store(folder, materialize(keyed.mapInPandas(write, MANIFEST), "manifest"))
 
@@ -190,7 +191,7 @@ def lookup(store: Store, keys: DataFrame, records: str, work) -> DataFrame:
     """
     rows = sorted(store.manifest.collect(), key=lambda r: r["shard"])
     base = np.concatenate([[0], np.cumsum([r["ids"] for r in rows])]).astype(np.int64)
-    names = [r["path"] for r in rows]
+    names, widths = [r["path"] for r in rows], [r["width"] for r in rows]
     keyed_rows = [n for n, r in enumerate(rows) if r["last"] >= r["first"]]
     first = np.array([rows[n]["first"] for n in keyed_rows], dtype=np.int64)
     last = np.array([rows[n]["last"] for n in keyed_rows], dtype=np.int64)
@@ -210,6 +211,7 @@ def lookup(store: Store, keys: DataFrame, records: str, work) -> DataFrame:
 
     def read(group: pd.DataFrame) -> pd.DataFrame:
         at = int(group["at"].iloc[0])
+        width = widths[at]
         fs, root = _open(folder)
         with fs.open_input_file(f"{root}/{names[at]}.mph") as f:
             index = Index(f.read())
@@ -221,7 +223,9 @@ def lookup(store: Store, keys: DataFrame, records: str, work) -> DataFrame:
             for i in np.nonzero(counts)[0]:
                 for n in range(firsts[i], firsts[i] + counts[i]):
                     a, b = int(index.offsets[n]), int(index.offsets[n + 1])
-                    out.append(work(int(key[i]), bool(none[i]), int(base[at]) + a, payload.read_at(4 * (b - a), 4 * a)))
+                    raw = payload.read_at(width * (b - a), width * a)
+                    ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
+                    out.append(work(int(key[i]), bool(none[i]), int(base[at]) + a, ids))
         return pd.DataFrame(out, columns=fields)
 
     fields = [f.split()[0] for f in records.split(", ")]
@@ -229,9 +233,9 @@ def lookup(store: Store, keys: DataFrame, records: str, work) -> DataFrame:
     return keyed.mapInPandas(route, "doc_id long, none boolean, at int").groupBy("at").applyInPandas(read, records)
 
 
-def digest(key: int, none: bool, start: int, ids: bytes) -> tuple:
-    """Place, length and checksum of a document's ids."""
-    return None if none else key, start, len(ids) // 4, zlib.crc32(ids)
+def digest(key: int, none: bool, start: int, ids: np.ndarray) -> tuple:
+    """Place, length and checksum (over unsigned 32-bit integers) of a document's ids."""
+    return None if none else key, start, len(ids), zlib.crc32(ids.tobytes())
 
 
 def read_digests(store: Store, keys: DataFrame) -> DataFrame:
@@ -272,5 +276,5 @@ def _slices(texts: pd.Series, characters: int = 2_000_000) -> Iterator[list[str]
 def tokens(spark: SparkSession, store: Store, doc_ids: list[int]) -> list[tuple[int, list[int]]]:
     """The ids of a few documents, for use from the driver."""
     keys = spark.createDataFrame([(i,) for i in dict.fromkeys(doc_ids)], "doc_id long")
-    found = lookup(store, keys, "doc_id long, ids binary", lambda key, none, start, ids: (key, bytes(ids)))
-    return [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in found.collect()]
+    found = lookup(store, keys, "doc_id long, ids array<long>", lambda key, none, start, ids: (key, ids.tolist()))
+    return [(r["doc_id"], r["ids"]) for r in found.collect()]
