@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import bpe_tree, credentials, decontaminate, quality_rules, simhash_vp, token_store
+from corpusq.llm import bpe_tree, credentials, decontaminate, hilbert, quality_rules, simhash_vp, token_store
 from corpusq.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shard_documents(read(spark, sf_dir, "documents"))
+
+
 def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.digests(read(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op9_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_hilbert": op4_hilbert,
     "op5_bpe_tree": op5_bpe_tree,
     "op6_token_store": op6_token_store,
     "op7_simhash_vp": op7_simhash_vp,
