@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import bpe_tree, credentials, decontaminate, hilbert, quality_qda, quality_rules, simhash_vp, token_store
+from corpusq.llm import bpe_tree, credentials, decontaminate, hilbert, licenses, quality_qda, quality_rules, simhash_vp, token_store
 from corpusq.llm.common import read
 
 
@@ -13,6 +13,10 @@ def op1_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = quality_rules.ledger(read(spark, sf_dir, "documents"))
     judged = quality_rules.apply_policies(held, (quality_rules.BASE, quality_rules.STRICT))
@@ -51,6 +55,7 @@ def op9_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_qda": op1_quality_qda,
+    "op2_licenses": op2_licenses,
     "op3_quality_rules": op3_quality_rules,
     "op4_hilbert": op4_hilbert,
     "op5_bpe_tree": op5_bpe_tree,
