@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import bpe_tree, credentials, decontaminate, hilbert, licenses, quality_qda, quality_rules, simhash_vp, token_store
+from corpusq.llm import bpe_tree, credentials, decontaminate, hilbert, language_crf, licenses, quality_qda, quality_rules, simhash_vp, token_store
 from corpusq.llm.common import read
 
 
@@ -53,6 +53,10 @@ def op9_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find(read(spark, sf_dir, "documents"))
 
 
+def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.classify(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_qda": op1_quality_qda,
     "op2_licenses": op2_licenses,
@@ -63,4 +67,5 @@ QUERIES = {
     "op7_simhash_vp": op7_simhash_vp,
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_credentials": op9_credentials,
+    "op10_language_crf": op10_language_crf,
 }
