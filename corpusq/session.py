@@ -7,6 +7,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,9 +59,42 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+# Lists that collect the scratch paths made while a `scratch_scope` is open.
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/corpusq/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/corpusq/{name}-{uuid.uuid4().hex}"
+    for scope in _SCOPES:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Collects the scratch paths made inside. Pass them to `release` once nothing reads them any more."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.remove(paths)
+
+
+def release(paths: list[str]) -> None:
+    """Delete scratch folders and empty the list. On a store that Arrow cannot open they stay, to be
+    removed with the shared folder."""
+    from pyarrow import ArrowException, fs
+
+    for path in paths:
+        try:
+            store, place = fs.FileSystem.from_uri(path)
+            if store.get_file_info(place).type != fs.FileType.NotFound:
+                store.delete_dir(place)
+        except (ArrowException, OSError):
+            continue
+    paths.clear()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
