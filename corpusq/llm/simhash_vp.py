@@ -33,9 +33,9 @@ SHINGLE = 3
 RADIUS = 3
 SAMPLE_PART = 64  # one entry of so many is a candidate for the sample
 SAMPLE_MOST = 65_536  # and the sample has no more than these
-LEAF_SAMPLE = 64  # sample entries of a leaf: about 4,000 entries until the sample is full
-BLOCK = 4_096
-_ROWS = 256  # rows of a block compared at once: 8 MB of distances
+LEAF_SAMPLE = 128  # sample entries of a leaf: about 8,000 entries until the sample is full
+BLOCK = 16_384
+_ROWS = 256  # rows of a block compared at once: 32 MB of distances
 
 
 def fingerprint_one(text: str | None, shingle: int = SHINGLE) -> int:
