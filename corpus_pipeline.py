@@ -1,22 +1,74 @@
-"""The training-data pipeline: quality rules, near duplicates, benchmark leaks, secrets, tokens."""
+"""The training-data pipeline: quality rules, near duplicates, benchmark leaks, secrets, tokens.
+
+Every stage takes the rows its predecessor kept. The first three drop documents, the fourth replaces secrets in the
+texts, the last encodes what is left. A stage's scratch folders are released when the next stage begins, for by then its result has been
+written and reread.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusq.llm import quality_rules
+from corpusq.llm import bpe_tree, credentials, decontaminate, quality_rules, simhash_vp
 from corpusq.llm.common import read
-from corpusq.session import materialize, ship_package
+from corpusq.session import materialize, release, scratch_scope, ship_package
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_FINISHED: list[str] = []  # scratch of the stage before
+
 
+def _stage(function: Stage) -> Stage:
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        release(_FINISHED)
+        with scratch_scope() as paths:
+            out = function(spark, docs, sf_dir)
+        _FINISHED.extend(paths)
+        return out
 
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the strict policy keeps."""
-    ship_package(spark)
     return quality_rules.keep(docs)
 
 
+@_stage
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-equal fingerprints, the one with the smallest id."""
+    return simhash_vp.keep_one(docs)
+
+
+@_stage
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text of the benchmark."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+@_stage
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark."""
+    return credentials.redact(docs)
+
+
+@_stage
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document left."""
+    return bpe_tree.digests(docs)
+
+
 STAGES = [
     ("quality_rules", quality),
+    ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", leaks),
+    ("secret_scans", secrets),
+    ("bpe_tokens", tokens),
 ]
 
 # Fingerprint components and token ids are beyond SQL: the pipeline is tested against a brute-force version.
@@ -25,6 +77,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    held: list[str] = []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_scope() as paths:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(held)  # the copy that this stage has read
+        held = [p for p in paths if f"/pipeline-{name}-" in p]
     return docs
