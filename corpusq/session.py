@@ -79,7 +79,7 @@ def scratch_scope() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _SCOPES.remove(paths)
+        _SCOPES.pop()  # scopes close in the order opposite to opening
 
 
 def release(paths: list[str]) -> None:
