@@ -123,7 +123,9 @@ def measure(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_i
         counted = counted.withColumn("_h", joined("_h", step))
     whole = F.slice("_h", F.lit(1), F.greatest(F.lit(0), F.size("_h") - (WINDOW - 1)))
     windows = counted.withColumn("_h", whole)
-    return windows.withColumn("n_repeat_words", _repeated(F.col("_h"))).select(*keys, *MEASURES)
+    # never null; a value that names a row number is not copied into filters above, where it would be computed per mention
+    once = F.when(F.monotonically_increasing_id() >= 0, _repeated(F.col("_h")))
+    return windows.withColumn("n_repeat_words", once).select(*keys, *MEASURES)
 
 
 def ledger(
@@ -178,6 +180,4 @@ def keep(docs: DataFrame, policy: Policy = STRICT, text: str = "text") -> DataFr
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     held = ledger(row.select("_row", F.col(f"_row.{text}").alias("_text")), "_text", ("_row",))
-    # a filter on a row number is not pushed below it, so measurements stay columns that are computed once
-    numbered = held.withColumn("_at", F.monotonically_increasing_id())
-    return numbered.where(passes(policy) & (F.col("_at") >= 0)).select("_row.*")
+    return held.where(passes(policy)).select("_row.*")
