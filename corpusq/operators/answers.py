@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusq.functions import text as tx
 from corpusq.functions.hooks import default_generate
 from corpusq.operators.search import fits_broadcast, top_k
+from corpusq.session import join_small, materialize
 
 # Prompt formats, context separators and hits per question.
 OPENINGS = {
@@ -47,9 +48,11 @@ EVALUATION_PROMPT = instruction_prompt()
 
 def attach(hits: DataFrame, chunks: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
     """Hits with the text columns of their chunk. Ranking was done on keys and
-    vectors alone; texts are read only here. `small` says that the number of
-    questions was checked, so k hits for each may be broadcast."""
-    return chunks.join(F.broadcast(hits) if small else hits, list(keys))
+    vectors alone; texts are read only here. If `small` says that the questions are few, the
+    number of hits is checked, and they are broadcast if it is small as well."""
+    if small:
+        return join_small(chunks, hits, list(keys))
+    return chunks.join(hits, list(keys))
 
 
 def gather(
@@ -82,7 +85,7 @@ def retrieve(
     """Search and gather. `questions` has an `embedding`, `vectors` has keys and
     `embedding`, `chunks` has keys, `split`, `page_url` and `title`."""
     small = fits_broadcast(questions)
-    hits = top_k(questions, vectors, k, question_id=question_id, keys=keys, small=small, **search)
+    hits = materialize(top_k(questions, vectors, k, question_id=question_id, keys=keys, small=small, **search), "hits")
     return gather(questions, hits, chunks, small, sep, keys, question_id)
 
 

@@ -5,16 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusq.functions import vectors as vx
-from corpusq.session import at_most, materialize
-
-# Rows of a value table up to which quantiles are exact.
-EXACT_QUANTILE_VALUES = 1_000_000
-
+from corpusq.session import materialize
 
 def pair_scores(df: DataFrame, a: str, b: str, question: str | None = None, manhattan: bool = False) -> DataFrame:
     """Add the cosine of two vector columns, and of each with the question's;
@@ -48,20 +44,47 @@ def _counted(df: DataFrame, column: str, group: Sequence[str] = ()) -> DataFrame
     return rows.select(*group, value, F.lit(1).cast("bigint").alias("n"))
 
 
+def weighted_quantiles(counts: DataFrame, shares: Sequence[float]) -> list[float]:
+    """Exact quantiles of a table `(value, n)`, each value counting n times, interpolated between neighbours.
+
+    Values are range-partitioned and sorted; one total per partition comes to the driver, and only partitions that hold
+    a wanted rank are summed through. The way is the same for any number of values.
+    """
+    placed = materialize(
+        counts.where("n > 0").orderBy("value").withColumn("_part", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id()), "quantiles"
+    )
+    totals = placed.groupBy("_part").agg(F.sum("n").alias("n")).orderBy("_part").collect()
+    total = sum(r["n"] for r in totals)
+    if not total:
+        return [math.nan for _ in shares]
+    wanted = [(total - 1) * p for p in shares]
+    ranks = sorted({r for w in wanted for r in (math.floor(w), math.ceil(w))})
+    before, found = 0, {}
+    for row in totals:
+        inside = [r - before for r in ranks if before <= r < before + row["n"]]
+        if inside:
+            upto = F.sum("n").over(Window.orderBy("_place"))
+            running = placed.where(F.col("_part") == row["_part"]).withColumn("_to", upto)
+            hit = F.expr(" or ".join(f"(_to - n <= {r} and {r} < _to)" for r in inside))
+            for x in running.where(hit).collect():
+                found.update({before + r: x["value"] for r in inside if x["_to"] - x["n"] <= r < x["_to"]})
+        before += row["n"]
+    low = [found[math.floor(w)] for w in wanted]
+    high = [found[math.ceil(w)] for w in wanted]
+    return [a + (b - a) * (w - math.floor(w)) for a, b, w in zip(low, high, wanted)]
+
+
 def auto_bins(counts: DataFrame) -> int:
     """Number of bins for a table of `(value, n)`: the larger of Sturges' and
     Freedman-Diaconis' numbers."""
-    quartiles = F.array(F.lit(0.25), F.lit(0.75))
-    if at_most(counts, EXACT_QUANTILE_VALUES):
-        q = F.percentile("value", quartiles, F.col("n"))
-    else:  # more than one task should hold; only the bin width may differ, in its last digits
-        q = F.percentile_approx("value", quartiles, 100_000)
-    row = counts.agg(F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), q.alias("q")).first()
+    row = counts.agg(F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).first()
     if not row["n"] or row["hi"] == row["lo"]:
         return 1
+    low, high = weighted_quantiles(counts, (0.25, 0.75))
     span = row["hi"] - row["lo"]
     sturges = span / (math.log2(row["n"]) + 1.0)
-    freedman = 2.0 * (row["q"][1] - row["q"][0]) / row["n"] ** (1.0 / 3.0)
+    freedman = 2.0 * (high - low) / row["n"] ** (1.0 / 3.0)
     width = min(sturges, freedman) if freedman > 0 else sturges
     return max(1, math.ceil(span / width))
 

@@ -68,7 +68,8 @@ def inline(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame
 
 
 def without_stop_words(df: DataFrame, text: str, stop_words: DataFrame | None, literal_words: int = LITERAL_WORDS) -> DataFrame:
-    """Drop rows whose text contains a stop word anywhere, also inside a word.
+    """Drop rows whose text contains a stop word anywhere, also inside a word. A null text does not
+    bind and is dropped whatever the list holds; without a list nothing is dropped.
 
     A short list, its length checked first, becomes part of the filter. A long
     one is joined: every substring of the text that is as long as some stop
@@ -76,6 +77,7 @@ def without_stop_words(df: DataFrame, text: str, stop_words: DataFrame | None, l
     """
     if stop_words is None:
         return df
+    df = df.where(F.col(text).isNotNull())
     wanted = stop_words.select(F.col(stop_words.columns[0]).alias("word")).where(F.col("word") != "").distinct()
     if at_most(wanted, literal_words):
         keep = df
@@ -93,8 +95,7 @@ def without_stop_words(df: DataFrame, text: str, stop_words: DataFrame | None, l
     substrings = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in sorted(lengths)])))
     texts = df.select(text).distinct()
     hit = texts.select(text, F.explode(substrings).alias("word")).join(wanted, "word", "left_semi")
-    found = hit.select(text).distinct().withColumn("_found", F.lit(True))
-    return df.join(found, text, "left").where(F.col("_found").isNull()).drop("_found")
+    return df.join(hit.select(text).distinct(), text, "left_anti")
 
 
 # --- search -----------------------------------------------------------------

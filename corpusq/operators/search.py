@@ -1,16 +1,12 @@
 """Top-k vector search for a whole table of questions.
 
-Two ways give the same hits:
-
-* `top_k_scan`: the question matrix is broadcast, which is allowed only after
-  its size was checked. The corpus is read once where it lies; each task keeps
-  k hits per question, and only those are shuffled.
-* `top_k_cells`: for more questions than that. Vectors are put in cells around
-  centroids. A question visits the cells that may hold one of its k nearest
-  vectors, which the triangle inequality tells from the distance to the
-  centroid and the radius of the cell, so the answer is exact. Question and
+* `top_k`: the exact search, one kernel at every size. The question matrix is broadcast, in
+  blocks of a checked size; the corpus is read once for each block where it lies; each
+  task keeps k hits per question, and only those are shuffled.
+* `top_k_cells`: vectors are put in cells around centroids, and a question visits cells near it. Question and
   vector rows meet in an equi-join on (cell, slices); slices split big cells
-  on both sides, so no group grows with the data.
+  on both sides, so no group grows with the data. Without `n_probe` it leaves out only cells that the triangle inequality
+  rules out up to a fixed margin of rounding; ties and very long vectors are told apart reliably by `top_k` only.
 
 With `n_probe` the cell search visits only that many nearest cells, which is
 the approximate search.
@@ -23,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -112,20 +109,16 @@ class Cells:
 
 def build_cells(
     vectors: DataFrame, n_cells: int, metric: str = "cosine", keys: Sequence[str] = ("id",),
-    embedding: str = "embedding", train_rows: int = 200_000, seed: int = 0, max_iter: int = 5,
+    embedding: str = "embedding", seed: int = 0, max_iter: int = 5,
 ) -> Cells:
     """Fit `n_cells` centroids and put every vector in the cell of the nearest one.
 
-    The centroids are fitted on a sample of about `train_rows`; they only steer
-    the search. Centroids (`n_cells` x dimension) and one row of statistics per
-    cell are all that comes to the driver.
+    The centroids are fitted on all usable vectors by distributed k-means. Centroids (`n_cells` x
+    dimension) and one row of statistics per cell are all that comes to the driver.
     """
     keys = list(keys)
     data = _narrow(vectors, keys, embedding)
-    total = data.count()
-    fraction = min(1.0, train_rows / max(1, total))
-    sample = data.select(embedding) if fraction == 1.0 else data.select(embedding).sample(fraction, seed)
-    sample = _usable(sample, metric, embedding)
+    sample = _usable(data.select(embedding), metric, embedding)
     if sample.isEmpty():
         raise ValueError("no vector to build cells from")
     points = sample.select(array_to_vector(F.col(embedding).cast("array<double>")).alias("features"))
@@ -244,36 +237,41 @@ def top_k_cells(
 
 
 def fits_broadcast(questions: DataFrame, embedding: str = "embedding", limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the question matrix stays within `limit` bytes. Reads no more rows than that holds."""
-    first = questions.select(F.size(embedding)).first()
-    if first is None:
-        return True
-    rows = max(1, limit // (8 * max(1, first[0])))
-    return questions.select(F.lit(1)).limit(rows + 1).count() <= rows
+    """Whether the question matrix stays within `limit` bytes; null vectors take no room."""
+    return matrix_bytes(questions, embedding) <= limit
+
+
+def matrix_bytes(questions: DataFrame, embedding: str = "embedding") -> int:
+    """Size of the question matrix as doubles: rows with a vector times the longest vector."""
+    row = questions.where(F.col(embedding).isNotNull()).agg(F.count("*").alias("n"), F.max(F.size(embedding)).alias("d")).first()
+    return 8 * row["n"] * (row["d"] or 0)
 
 
 def top_k(
     questions: DataFrame, vectors: DataFrame, k: int = 2, offset: int = 0, metric: str = "cosine",
     question_id: str = "question_id", keys: Sequence[str] = ("id",), embedding: str = "embedding",
-    broadcast_bytes: int = BROADCAST_BYTES, n_cells: int = 1024, small: bool | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES, small: bool | None = None,
 ) -> DataFrame:
     """The k nearest vectors of every question: `(question_id, rank, keys, score)`.
 
-    Exact, ties by key. With `offset` the hits after the first `offset` are
-    given. The way is chosen by the size of the question table, which is checked
-    here unless the caller has done so (`small`).
+    Exact, ties by key, by one kernel at every size. With `offset` the hits after the first `offset` are
+    given. Questions are cut into blocks whose matrix stays within `broadcast_bytes`; each block scans the
+    vectors once and its hits are stored before the next block is gathered. `small` says that the caller has
+    checked that one block is enough.
     """
     if metric not in _HIGHER_IS_BETTER:
         raise ValueError(f"unknown metric {metric!r}")
-    if small is None:
-        small = fits_broadcast(questions, embedding, broadcast_bytes)
-    if small:
+    blocks = 1 if small else max(1, -(-matrix_bytes(questions, embedding) // broadcast_bytes))
+    if blocks == 1:
         return top_k_scan(questions, vectors, k, offset, metric, question_id, keys, embedding)
-    if _usable(_narrow(vectors, keys, embedding), metric, embedding).isEmpty():
-        hits = questions.sparkSession.createDataFrame([], _schema(question_id, keys))
-        return _ranked(hits, question_id, list(keys), k, offset, metric)
-    cells = build_cells(vectors, n_cells, metric, keys, embedding)
-    return top_k_cells(questions, cells, k, None, offset, question_id, embedding)
+    block = F.pmod(F.xxhash64(question_id), F.lit(2 * blocks))  # twice as many, so that an uneven one still fits
+    hits = [
+        materialize(
+            top_k_scan(questions.where(block == n), vectors, k, offset, metric, question_id, keys, embedding), "block-hits"
+        )
+        for n in range(2 * blocks)
+    ]
+    return reduce(DataFrame.union, hits)
 
 
 def recall(found: DataFrame, exact: DataFrame, question_id: str = "question_id", keys: Sequence[str] = ("id",)) -> DataFrame:

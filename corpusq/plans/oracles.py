@@ -365,6 +365,7 @@ def _record(answer: str) -> str:
 
 ORACLES = {
     "vector_top2": _TOP2,
+    "vector_top2_blocks": _TOP2,
     "vector_top2_by_cells": _TOP2,
     "vector_top1_offset": _top(_COS, "rank - 1", "DESC", "rank = 2"),
     "vector_top2_l2": _top(

@@ -35,6 +35,13 @@ def vector_top2(spark: SparkSession, sf: str) -> DataFrame:
     return search.top_k(asked, held, k=2).select("question_id", "rank", "id", *_rounded("score"))
 
 
+def vector_top2_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search with the question table cut into blocks, as large ones are."""
+    held = tables.vectors(spark, sf)
+    asked = held.withColumnRenamed("id", "question_id")
+    return search.top_k(asked, held, k=2, broadcast_bytes=100_000).select("question_id", "rank", "id", *_rounded("score"))
+
+
 def vector_top1_offset(spark: SparkSession, sf: str) -> DataFrame:
     held = tables.vectors(spark, sf)
     asked = held.withColumnRenamed("id", "question_id")
@@ -495,7 +502,7 @@ def row_counts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_top2, vector_top1_offset, vector_top2_l2, vector_top2_by_cells, vector_topk_cells, vector_distances,
+        vector_top2, vector_top2_blocks, vector_top1_offset, vector_top2_l2, vector_top2_by_cells, vector_topk_cells, vector_distances,
         vector_predicate_scan, text_vectors, chunk_documents, chunk_documents_no_limit, chunk_words, numeric_lines,
         chunk_rows, token_histogram, chunk_size_histogram, token_density,
         token_density_by_rule, sections_from_markup,

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from corpusq.operators.embedding import check_dimension
 from corpusq.sources.readers import CSV_DIALECT
 
-CHUNK_KEY = ("page_id", "section", "subsection", "split_id")
+# A page may repeat a heading, so the section is told by its number.
+CHUNK_KEY = ("page_id", "section_no", "split_id")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

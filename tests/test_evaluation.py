@@ -75,3 +75,11 @@ def test_unanswered_questions_stay(spark):
     q = spark.createDataFrame([(1, "a"), (2, "b")], "question_id int, question string")
     a = spark.createDataFrame([(1, "x")], "question_id int, answer string")
     assert sorted((r["question_id"], r["answer"]) for r in ev.with_answers(q, a).collect()) == [(1, "x"), (2, None)]
+
+
+def test_quantiles_count_every_value_as_often_as_it_occurs(spark):
+    values = [1, 1, 1, 1, 2, 5, 5, 9, 9, 9, 9, 9, 40]
+    rows = [(float(v), values.count(v)) for v in set(values)]
+    counts = spark.createDataFrame(rows, "value double, n bigint").repartition(3)
+    shares = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
+    assert np.allclose(ev.weighted_quantiles(counts, shares), np.quantile(values, shares))

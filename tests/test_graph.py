@@ -120,3 +120,11 @@ def test_predicate_is_pushed_to_the_files(spark, tmp_path):
     plan = graph.concept_search(stored, "ex")._jdf.queryExecution().executedPlan().toString()
     assert "StringContains(o,ex)" in plan or "StringContains(s,ex)" in plan
     assert "PartitionFilters: [isnotnull(p" in plan
+
+
+def test_null_texts_are_dropped_under_short_and_long_lists(spark):
+    rows = spark.createDataFrame([(1, None), (2, "fine"), (3, "has stop")], "id int, label string")
+    words = spark.createDataFrame([("stop",)], "word string")
+    for literal in (0, 200):
+        found = graph.without_stop_words(rows, "label", words, literal_words=literal)
+        assert [r["id"] for r in found.collect()] == [2]

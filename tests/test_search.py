@@ -81,14 +81,24 @@ def test_cells_with_more_hits_than_vectors(spark):
     assert rows(found) == brute(asked, held[:10], 50)
 
 
-def test_large_question_tables_go_by_cells(spark):
+def test_large_question_tables_go_by_blocks(spark):
     asked, held = data(4)
     questions = frame(spark, asked, "question_id")
     assert not search.fits_broadcast(questions, limit=100)
-    found = search.top_k(questions, frame(spark, held), 2, broadcast_bytes=100, n_cells=5)
+    found = search.top_k(questions, frame(spark, held), 2, broadcast_bytes=4_000)
     assert rows(found) == brute(asked, held, 2)
 
 
+def test_ties_at_nine_decimals_and_long_vectors_are_the_same_in_blocks(spark):
+    schema = "question_id bigint, embedding array<double>"
+    held = spark.createDataFrame([(2, [1.0, 0.0]), (1, [1.0, 2e-5]), (3, [0.0, 1.0])], schema.replace("question_", ""))
+    asked = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(8)] + [(8, None)], schema)
+    for size in (64, 1 << 20):
+        found = search.top_k(asked, held, 1, broadcast_bytes=size).collect()
+        assert sorted((r["question_id"], r["id"]) for r in found) == [(i, 1) for i in range(8)]
+    assert search.fits_broadcast(spark.createDataFrame([(1, None), (2, [])], schema))
+
+
 def test_probing_all_cells_is_exact_and_recall_is_reported(spark):
     asked, held = data(5)
     questions, vectors = frame(spark, asked, "question_id"), frame(spark, held)

@@ -86,14 +86,14 @@ def test_vector_table_in_the_catalog(spark):
 
 def test_append_by_key(spark, tmp_path):
     path = str(tmp_path / "vec")
-    schema = "page_id int, section string, subsection string, split_id int, n int"
-    first = spark.createDataFrame([(1, None, None, 0, 1), (1, "A", None, 0, 2), (1, "A", None, 0, 2)], schema)
+    schema = "page_id int, section_no int, section string, split_id int, n int"
+    first = spark.createDataFrame([(1, 0, None, 0, 1), (1, 1, "A", 0, 2), (1, 1, "A", 0, 2), (1, 3, "A", 0, 4)], schema)
     sinks.append_vectors(first, path, sinks.CHUNK_KEY)
-    second = spark.createDataFrame([(1, None, None, 0, 9), (1, "A", None, 1, 3)], schema)
+    second = spark.createDataFrame([(1, 0, None, 0, 9), (1, 1, "A", 1, 3)], schema)
     sinks.append_vectors(second, path, sinks.CHUNK_KEY)
-    assert sorted(r["n"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+    assert sorted(r["n"] for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4]
     sinks.append_vectors(second, path)
-    assert spark.read.parquet(path).count() == 5
+    assert spark.read.parquet(path).count() == 6
 
 
 def test_pages_are_ingested_as_they_arrive(spark, tmp_path):
