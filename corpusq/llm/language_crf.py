@@ -74,8 +74,8 @@ class Tagger:
         self.model = model
         self.place: dict[str, int] = {}
         self.table = np.zeros((0, len(model.languages)), dtype=np.float32)
-        self.a = np.exp(model.transitions - model.transitions.max()).astype(np.float64)
-        self.pi = np.exp(model.start - model.start.max())
+        self.a = np.exp(model.transitions - model.transitions.max(initial=0.0)).astype(np.float64)
+        self.pi = np.exp(model.start - model.start.max(initial=0.0))
         self.pi /= self.pi.sum()
 
     def _learn(self, new: list[str]) -> None:
