@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from corpusq.session import materialize
 
 PIECE = 32_768  # characters of a leaf
-CACHE = 600_000  # different words a worker remembers
+CACHE = 300_000  # different words a worker remembers
 LOOK_AHEAD = 3
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 _SAFE = re.compile(r"(?<=[A-Za-z0-9.,;:!?])[ \n]")
@@ -53,21 +53,21 @@ def tokenizer_json(path: str | None = None) -> str:
     return json.dumps(held, ensure_ascii=False)
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[tuple[int, int], Encoder] = {}
 
 
-def encoder(config: str) -> Encoder:
+def encoder(config: str, cache: int = CACHE) -> Encoder:
     """One encoder for each worker process."""
-    key = hash(config)
+    key = (hash(config), cache)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(config)
+        _ENCODERS[key] = Encoder(config, cache)
     return _ENCODERS[key]
 
 
 class Encoder:
     """The library's tokenizer with a cache of words, and the table of token bytes."""
 
-    def __init__(self, config: str):
+    def __init__(self, config: str, cache: int = CACHE):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,6 +84,7 @@ class Encoder:
         self.bytes = [n.encode() if n in self.special else bytes(byte_of[c] for c in n) for n in names]
         self.length = np.array([len(b) for b in self.bytes], dtype=np.int64)
         self.cache: dict[str, bytes] = {}
+        self.room = cache
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """Ids of each text from the library, as little-endian unsigned 32-bit integers."""
@@ -105,7 +106,7 @@ class Encoder:
             new.update(units)
         cache = self.cache
         new = list(new.difference(cache))
-        full = len(cache) + len(new) > CACHE
+        full = len(cache) + len(new) > self.room
         cache.update(self._remember(new))
         out = [b"".join(map(cache.__getitem__, units)) for units in cut]
         if full:

@@ -33,6 +33,7 @@ from corpusq.llm.bpe_tree import encoder, tokenizer_json
 from corpusq.session import materialize, scratch_path
 
 END_ID = 0
+CACHE = 600_000  # words a writing task remembers; it does nothing else that takes memory
 ROWS_PER_SHARD = 8_192
 MOST_SHARDS = 16_384  # beyond it shards get longer, so that the manifest stays small
 _GAMMA = 2  # bits of a level for each key
@@ -159,7 +160,7 @@ def write_store(
         shard = TaskContext.get().partitionId()
         name = f"{base}/shard-{shard:05d}-{uuid.uuid4().hex}"
         keys, nulls, sizes = [], 0, []
-        tool = encoder(config)
+        tool = encoder(config, CACHE)
         width = 2 if max(len(tool.bytes) - 1, end_id) < 65_536 else 4
         with fs.open_output_stream(f"{name}.ids") as out:
             for batch in _with(first, batches):
