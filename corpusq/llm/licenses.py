@@ -20,8 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A text without any of these words has no known sentence.
-TRIGGERS = r"(?i)licen[sc]e|copyright|spdx|permission|redistribut|warrant|public domain|creativecommons"
+# Every known sentence holds one of these (tests/llm/test_licenses.py checks it), so a text without them has none. Each is part of
+# one word: between words a text may have line breaks and marks.
+TRIGGERS = r"(?i)licen[sc]e|copyright|spdx|permission|redistribut|warrant|domain|reserved|software"
 
 # Known licence sentences, as they read after normalising.
 SENTENCES: dict[str, str] = {
@@ -169,6 +170,7 @@ RULES: tuple[Rule, ...] = (
     Rule("CC-BY-NC-SA-4.0", ("cc_by_nc_sa_4",)),
     Rule("CC-BY-NC-ND-4.0", ("cc_by_nc_nd_4",)),
     Rule("Proprietary", ("copyright", "all_rights")),
+    Rule("Proprietary", ("all_rights",)),
 )
 
 # A full stop, question or exclamation mark or semicolon ends a sentence before white space, a colon at the end of a line;

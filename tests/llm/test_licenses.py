@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 from corpusq.llm import licenses as li
@@ -48,3 +49,18 @@ def test_rule_sentences_exist():
 
 def test_empty_table(make):
     assert li.scan(make([])).collect() == []
+
+
+def test_every_known_sentence_holds_a_trigger():
+    trigger = re.compile(li.TRIGGERS)
+    for name, value in [*li.SENTENCES.items(), *li.PATTERNS.items()]:
+        assert any(trigger.search(word) for word in value.split()), name
+
+
+def test_sentences_without_a_licence_word(make):
+    texts = ["Text before. All rights reserved.", "x.\nAll  rights\nreserved.", "This program is free software. More", "Released into. This is free and "
+             "unencumbered software released into the public\ndomain."]
+    found = li.scan(make(list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [(r["licenses"], r["status"], r["sentences"]) for r in found] == [
+        ("Proprietary", "known", 1), ("Proprietary", "known", 1), ("", "unknown", 1), ("Unlicense", "known", 1)
+    ]
