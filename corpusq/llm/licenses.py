@@ -20,15 +20,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Every known sentence holds one of these (tests/llm/test_licenses.py checks it), so a text without them has none. Each is part of
-# one word: between words a text may have line breaks and marks.
+# Every known sentence, in every opening, holds one of these (tests/llm/test_licenses.py checks it), so a text without them has
+# none. Each is part of one word, or has what may stand between words: line breaks and marks.
 TRIGGERS = r"(?i)licen[sc]e|copyright|spdx|permission|redistribut|warrant|domain|reserved|software"
+TRIGGERS += r"|(?:released|distributed|provided|published|offered|available)[\W_]+under"
 
 # Known licence sentences, as they read after normalising.
 SENTENCES: dict[str, str] = {
-    "mit_released": "released under the mit license",
-    "mit_licensed": "licensed under the mit license",
-    "mit_project": "this project is licensed under the mit license",
     "mit_title": "the mit license",
     "mit_title_short": "mit license",
     "mit_grant": (
@@ -49,9 +47,7 @@ SENTENCES: dict[str, str] = {
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
         "granted provided that the above copyright notice and this permission notice appear in all copies"
     ),
-    "apache_licensed": "licensed under the apache license version 2 0",
-    "apache_licensed_the": "licensed under the apache license version 2 0 the license",
-    "apache_released": "released under the apache license version 2 0",
+    "apache_licensed_the": "licensed under apache license 2 0 the",
     "apache_title": "apache license version 2 0",
     "apache_use": "you may not use this file except in compliance with the license",
     "apache_copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
@@ -71,38 +67,75 @@ SENTENCES: dict[str, str] = {
         "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
         "disclaimer in the documentation and or other materials provided with the distribution"
     ),
-    "bsd_2": "licensed under the bsd 2 clause license",
-    "bsd_3": "licensed under the bsd 3 clause license",
-    "gpl3_work": "this work is licensed under the gnu general public license version 3",
-    "gpl3_licensed": "licensed under the gnu general public license version 3",
-    "gpl3_released": "released under the gnu general public license version 3",
-    "gpl2_licensed": "licensed under the gnu general public license version 2",
-    "gpl_redistribute": (
-        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
-        "free software foundation either version 3 of the license or at your option any later version"
-    ),
-    "gpl2_redistribute": (
-        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
-        "free software foundation either version 2 of the license or at your option any later version"
-    ),
     "gpl_free": "this program is free software",
-    "lgpl3_licensed": "licensed under the gnu lesser general public license version 3",
-    "agpl3_licensed": "licensed under the gnu affero general public license version 3",
     "mpl2_subject": (
         "this source code form is subject to the terms of the mozilla public license v 2 0"
     ),
-    "mpl2_licensed": "licensed under the mozilla public license version 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "cc0": "this work is dedicated to the public domain under cc0 1 0",
-    "cc_by_4": "licensed under cc by 4 0",
-    "cc_by_sa_4": "licensed under cc by sa 4 0",
-    "cc_by_nc_4": "licensed under cc by nc 4 0",
-    "cc_by_nd_4": "licensed under cc by nd 4 0",
-    "cc_by_nc_sa_4": "licensed under cc by nc sa 4 0",
-    "cc_by_nc_nd_4": "licensed under cc by nc nd 4 0",
     "all_rights": "all rights reserved",
 }
 
+# A sentence that opens in one of these ways reads as `licensed under` and the bare name of the licence: without an article, the
+# word version, `or later` and the like, and a last `license`.
+OPENING = (
+    r"^(?:(?:this|the) (?:\p{L}+ ){1,3}(?:is|are) )?(?:licen[sc]ed|released|distributed|provided|published|offered|made available|available) "
+    r"under (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?"
+)
+BARE = (
+    (OPENING, "licensed under "),
+    (r"(?: only| or later| or (?:at your option )?any later version)$", ""),
+    (r"(?<= )(?:version |v ?)(?=[0-9])", ""),
+    (r"(?: international)?(?: public)? licen[sc]e$", ""),
+    (r"( 4 0) international$", "$1"),
+)
+# The GNU notices go on behind a colon.
+FREE = r"^this \p{L}+ is free software (?=you can redistribute it )"
+
+# Bare names of the licences.
+GNU = {
+    "GPL": ("gnu general public license", ("2", "3")), "LGPL": ("gnu lesser general public license", ("2 1", "3")),
+    "AGPL": ("gnu affero general public license", ("3",)),
+}
+CC = {
+    "BY": "attribution", "BY-SA": "attribution sharealike", "BY-NC": "attribution noncommercial", "BY-ND": "attribution noderivatives",
+    "BY-NC-SA": "attribution noncommercial sharealike", "BY-NC-ND": "attribution noncommercial noderivatives",
+}
+
+
+def _license_id(short: str, version: str) -> str:
+    return f"{short}-{version.replace(' ', '.')}" if " " in version else f"{short}-{version}.0"
+
+
+def _gnu_names(short: str, name: str, version: str) -> tuple[str, ...]:
+    numbers = (version,) if " " in version else (version, f"{version} 0")
+    short = short.lower()
+    return tuple(f"{n}{x}" for x in numbers for n in (f"{name} ", f"{name} {short} ", f"gnu {short} ", f"gnu {short}v", f"{short} ", f"{short}v"))
+
+
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("mit",), "ISC": ("isc",), "Unlicense": ("unlicense",), "CC0-1.0": ("cc0 1 0", "cc0 1 0 universal"),
+    "Apache-2.0": ("apache license 2 0", "apache 2 0", "apache license 2", "apache 2", "apache software license 2 0"),
+    "BSD": ("bsd",), "BSD-2-Clause": ("bsd 2 clause", "2 clause bsd"), "BSD-3-Clause": ("bsd 3 clause", "3 clause bsd"),
+    **{_license_id(k, v): _gnu_names(k, name, v) for k, (name, versions) in GNU.items() for v in versions},
+    "MPL-2.0": ("mozilla public license 2 0", "mpl 2 0"),
+    **{
+        f"CC-{k}-4.0": (f"cc {(x := k.lower().replace('-', ' '))} 4 0", f"creative commons {x} 4 0", f"creative commons {v} 4 0")
+        for k, v in CC.items()
+    },
+}
+GRANTS = {f"{licence}_{n}": licence for licence, names in NAMES.items() for n in range(len(names))}
+NOTICES = {f"notice_{k}_{v}".replace(" ", "_"): _license_id(k, v) for k, (_, versions) in GNU.items() for v in versions}
+
+SENTENCES |= {f"{licence}_{n}": f"licensed under {x}" for licence, names in NAMES.items() for n, x in enumerate(names)}
+for _k, (_name, _versions) in GNU.items():
+    _terms = f"you can redistribute it and or modify it under the terms of the {_name} as published by the free software foundation"
+    SENTENCES[f"terms_{_k}"] = _terms  # semicolons end sentences, commas and colons do not
+    for _v in _versions:
+        _either = f"either version {_v} of the license or at your option any later version"
+        SENTENCES[f"either_{_v}".replace(" ", "_")] = _either
+        SENTENCES[f"notice_{_k}_{_v}".replace(" ", "_")] = f"{_terms} {_either}"
+
 # Sentences with a variable part: the pattern of the normalised sentence and the sentence's identifier.
 PATTERNS: dict[str, str] = {
     "spdx_mit": "spdx license identifier mit",
@@ -130,53 +163,32 @@ RULES: tuple[Rule, ...] = (
     Rule("MIT", ("mit_grant", "mit_notice")),
     Rule("BSD", ("bsd_grant", "bsd_source", "bsd_binary")),
     Rule("BSD", ("bsd_grant", "bsd_source")),
-    Rule("GPL-3.0", ("gpl_free", "gpl_redistribute")),
-    Rule("GPL-2.0", ("gpl_free", "gpl2_redistribute")),
+    *[Rule(_license_id(k, v), (f"terms_{k}", f"either_{v}".replace(" ", "_"))) for k, (_, versions) in GNU.items() for v in versions],
     Rule("ISC", ("isc_grant",)),
     Rule("MIT", ("mit_grant",)),
-    Rule("MIT", ("mit_released",)),
-    Rule("MIT", ("mit_licensed",)),
-    Rule("MIT", ("mit_project",)),
     Rule("MIT", ("mit_title",)),
     Rule("MIT", ("mit_title_short",)),
     Rule("MIT", ("spdx_mit",)),
-    Rule("Apache-2.0", ("apache_licensed",)),
     Rule("Apache-2.0", ("apache_licensed_the",)),
-    Rule("Apache-2.0", ("apache_released",)),
     Rule("Apache-2.0", ("apache_title",)),
     Rule("Apache-2.0", ("spdx_apache",)),
     Rule("BSD", ("bsd_grant",)),
-    Rule("BSD-2-Clause", ("bsd_2",)),
-    Rule("BSD-3-Clause", ("bsd_3",)),
     Rule("BSD", ("spdx_bsd",)),
-    Rule("GPL-3.0", ("gpl3_work",)),
-    Rule("GPL-3.0", ("gpl3_licensed",)),
-    Rule("GPL-3.0", ("gpl3_released",)),
-    Rule("GPL-3.0", ("gpl_redistribute",)),
     Rule("GPL-3.0", ("spdx_gpl3",)),
-    Rule("GPL-2.0", ("gpl2_licensed",)),
-    Rule("GPL-2.0", ("gpl2_redistribute",)),
     Rule("GPL-2.0", ("spdx_gpl2",)),
-    Rule("LGPL-3.0", ("lgpl3_licensed",)),
-    Rule("AGPL-3.0", ("agpl3_licensed",)),
     Rule("MPL-2.0", ("mpl2_subject",)),
-    Rule("MPL-2.0", ("mpl2_licensed",)),
     Rule("Unlicense", ("unlicense",)),
     Rule("CC0-1.0", ("cc0",)),
-    Rule("CC-BY-4.0", ("cc_by_4",)),
-    Rule("CC-BY-SA-4.0", ("cc_by_sa_4",)),
-    Rule("CC-BY-NC-4.0", ("cc_by_nc_4",)),
-    Rule("CC-BY-ND-4.0", ("cc_by_nd_4",)),
-    Rule("CC-BY-NC-SA-4.0", ("cc_by_nc_sa_4",)),
-    Rule("CC-BY-NC-ND-4.0", ("cc_by_nc_nd_4",)),
+    *[Rule(licence, (name,)) for name, licence in (GRANTS | NOTICES).items()],
     Rule("Proprietary", ("copyright", "all_rights")),
     Rule("Proprietary", ("all_rights",)),
 )
 
 # A full stop, question or exclamation mark or semicolon ends a sentence before white space, a colon at the end of a line;
-# so does an empty line.
-WRAPPED_END = r"[.!?;]+\s+|:\s*\n|\n\s*\n"
-LINE_END = r"[.!?;]+\s+|\n"
+# so does a line without letters and digits. The full stop of `v. 2.0` ends none, and the number of a clause is no sentence.
+STOP = r"(?!(?<=\b[vV])\.\s+[0-9])[.!?;]+\s+"
+WRAPPED_END = STOP + r"|:\s*\n|\n(?:[^\p{L}\p{N}\n]*\n)+"
+LINE_END = STOP + r"|\n"
 
 
 def identifiers(text: Column, end: str, sentences: dict[str, str] = SENTENCES, patterns: dict[str, str] = PATTERNS) -> Column:
@@ -186,13 +198,20 @@ def identifiers(text: Column, end: str, sentences: dict[str, str] = SENTENCES, p
     def plain(s: Column) -> Column:
         return F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
 
+    def bare(s: Column) -> Column:
+        out = s
+        for pattern, by in BARE:
+            out = F.regexp_replace(out, F.lit(pattern), F.lit(by))
+        opened = F.contains(s, F.lit(" under ")) & F.regexp_like(s, F.lit(OPENING))
+        return F.when(opened, out).when(F.contains(s, F.lit("free software you")), F.regexp_replace(s, FREE, "")).otherwise(s)
+
     def named(s: Column) -> Column:
-        found = F.try_element_at(known, s)
+        found = F.try_element_at(known, bare(s))
         for name, pattern in patterns.items():
             found = F.coalesce(found, F.when(F.regexp_like(s, F.lit(f"^{pattern}$")), F.lit(name)))
         return F.coalesce(found, F.lit("-"))
 
-    cut = F.filter(F.transform(F.split(text, end), plain), lambda s: s != "")
+    cut = F.filter(F.transform(F.split(text, end), plain), lambda s: (s != "") & ~F.regexp_like(s, F.lit("^[0-9]{1,2}$")))
     return F.transform(cut, named)
 
 

@@ -64,3 +64,70 @@ def test_sentences_without_a_licence_word(make):
     assert [(r["licenses"], r["status"], r["sentences"]) for r in found] == [
         ("Proprietary", "known", 1), ("Proprietary", "known", 1), ("", "unknown", 1), ("Unlicense", "known", 1)
     ]
+
+
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version."""
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+
+NOTICES = {
+    "MPL-2.0": MPL, "GPL-3.0": GPL3, "GPL-2.0": GPL2, "AGPL-3.0": GPL3.replace("GNU", "GNU Affero"), "Apache-2.0": APACHE, "BSD": BSD,
+    "LGPL-2.1": GPL2.replace("program", "library").replace("GNU", "GNU Lesser").replace("version 2", "version 2.1"), "MIT": MIT,
+}
+
+
+def test_official_notices_wrapped_and_by_line(make):
+    rows = []
+    for licence, notice in NOTICES.items():
+        by_line = "no stop before |\n" + re.sub(r"(?<!\n)\n *(?!\n)", " ", notice)  # every paragraph a line
+        rows += [(licence, notice), (licence, "/*\n * " + notice.replace("\n", "\n * ") + "\n */"), (licence, by_line)]
+    found = li.scan(make([(i, t) for i, (_, t) in enumerate(rows)])).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in found] == [x for x, _ in rows]
+    assert found[15]["rules"] == "4"  # BSD: clause numbers stand between its sentences
+
+
+def test_every_opening_with_every_name(make):
+    names = {
+        "MIT": "MIT License", "Apache-2.0": "Apache License, Version 2.0", "BSD-3-Clause": "BSD 3-Clause License", "ISC": "ISC License",
+        "GPL-2.0": "GNU General Public License, version 2", "GPL-3.0": "GNU GPL v3.0 or later", "LGPL-3.0": "GNU Lesser General Public License v3",
+        "AGPL-3.0": "AGPLv3", "MPL-2.0": "Mozilla Public License, v. 2.0", "CC0-1.0": "CC0 1.0", "CC-BY-NC-4.0": "CC BY-NC 4.0",
+        "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International License",
+    }
+    openings = ["Licensed", "Released", "Distributed", "This work is licensed", "This project is released", "This file is licensed", "The source code is available"]
+    rows = [(licence, f"Before. {o} under {the}{n}. After") for licence, n in names.items() for o in openings for the in ("", "the ", "the terms of the ")]
+    found = li.scan(make([(i, t) for i, (_, t) in enumerate(rows)])).orderBy("doc_id").collect()
+    wrong = [(t, r["licenses"]) for (x, t), r in zip(rows, found) if r["licenses"] != x]
+    assert not wrong
+    bare = ["Licensed under no license.", "Released under water.", "Licensed under the GNU General Public License.", "See v. 2 of it."]
+    assert {r["licenses"] for r in li.scan(make(list(enumerate(bare)))).collect()} == {""}
