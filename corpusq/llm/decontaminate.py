@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced seeds (DataFrame functions only).
 
-A seed is a window of `SPAN` words of which a fixed mask looks at some and ignores the others, so a
-replaced word spoils only the seeds that look at it. Seeds of all benchmark items and all documents are joined by hash. A hit
+A seed is a window of words of which a fixed mask looks at some and ignores the others, so a
+replaced word spoils only the seeds that look at it. Each item has the seeds of one mask, chosen by its size. Seeds of all benchmark items and all documents are joined by hash. A hit
 gives a diagonal (place in the document less place in the item). On each diagonal the item's words are compared with the
 document's, and the diagonal is an overlap if some `WINDOW` consecutive words (or the whole item, if shorter) differ in
 at most `SUBSTITUTED` places.
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from corpusq.session import join_small, materialize
 
-# Two masks that look at seven of eleven words each; every place is ignored by one of them or guarded by shifts.
-MASKS = ((0, 1, 3, 4, 7, 9, 10), (0, 2, 3, 5, 6, 8, 10))
+# Fixed values, found by enumeration: however `SUBSTITUTED` words are replaced in `WINDOW` words, some shift of the first mask
+# looks at none of them; so does the second for items of `SPAN` to `WINDOW - 1` words. The tests enumerate all cases.
+MASKS = ((0, 1, 3, 6, 7), (0, 1, 2, 4))
 SPAN = 11
 WINDOW = 13
 SUBSTITUTED = 2
@@ -32,21 +33,28 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(plain, " "), ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(h: Column) -> Column:
-    """Seed hashes of each mask at each place; place p of mask m is element m * places + p."""
-    places = F.greatest(F.lit(0), F.size(h) - (SPAN - 1))
+def _mask_of(size: Column) -> Column:
+    """Number of the mask of items of so many words."""
+    return F.when(size >= WINDOW, 0).otherwise(1)
 
-    def masked(n: int, mask: tuple[int, ...]) -> Column:
-        at = F.sequence(F.lit(0), places - 1)
-        return F.transform(at, lambda i: F.xxhash64(F.lit(n), *[F.get(h, i + k) for k in mask]))
 
-    return F.when(places > 0, F.concat(*[masked(n, m) for n, m in enumerate(MASKS)]))
+def _seed_rows(df: DataFrame, masks: list[int], *keys: str, only: Column | None = None) -> DataFrame:
+    """`keys`, `at` (word place) and `seed`, one row for each of `masks` and place; with `only`, for the mask of that number."""
+    h = F.col("h")
 
+    def masked(n: int) -> Column:
+        mask = MASKS[n]
+        places = F.size(h) - mask[-1]
+        seeds = F.transform(
+            F.sequence(F.lit(0), places - 1),
+            lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(n), *[F.get(h, i + k) for k in mask]).alias("seed")),
+        )
+        wanted = places > 0 if only is None else (places > 0) & (only == n)
+        return F.when(wanted, seeds).otherwise(F.array().cast("array<struct<at:int,seed:bigint>>"))
 
-def _seed_rows(df: DataFrame, *keys: str) -> DataFrame:
-    """`keys`, `at` (word place) and `seed`, one row for each mask and place."""
-    rows = df.select(*keys, F.size("h").alias("_n"), F.posexplode(_seeds(F.col("h"))).alias("_k", "seed"))
-    return rows.select(*keys, F.pmod("_k", F.col("_n") - (SPAN - 1)).alias("at"), "seed")
+    if not masks:
+        return df.select(*keys, F.lit(0).alias("at"), F.lit(0).cast("long").alias("seed")).limit(0)
+    return df.select(*keys, F.inline(F.concat(*[masked(n) for n in masks])))
 
 
 def diagonals(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -55,8 +63,10 @@ def diagonals(docs: DataFrame, items: DataFrame) -> DataFrame:
     The benchmark's seeds are broadcast if they are few enough; else the join shuffles seeds, and AQE splits
     frequent ones. Hits are made distinct per task before they are shuffled.
     """
-    asked = _seed_rows(items, "item", "size").withColumnRenamed("at", "item_at").distinct()
-    hits = join_small(_seed_rows(docs, "doc_id"), materialize(asked, "seeds"), "seed")
+    kind = _mask_of(F.col("size"))
+    masks = sorted(r["n"] for r in items.select(kind.alias("n")).distinct().collect())  # documents need no others
+    asked = _seed_rows(items, masks, "item", "size", only=kind).withColumnRenamed("at", "item_at").distinct()
+    hits = join_small(_seed_rows(docs, masks, "doc_id"), materialize(asked, "seeds"), "seed")
     return hits.select("doc_id", "item", (F.col("at") - F.col("item_at")).alias("diagonal"), "size").distinct()
 
 

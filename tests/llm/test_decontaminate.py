@@ -1,4 +1,6 @@
+import random
 import re
+from itertools import combinations
 
 from corpusq.llm import decontaminate as d
 
@@ -67,3 +69,42 @@ def test_empty_tables(spark, make):
     assert d.overlaps(make([]), items).collect() == []
     assert d.overlaps(make(DOCS), none).collect() == []
     assert d.clean(make(DOCS), none).count() == len(DOCS)
+
+
+def test_masks_leave_a_seed_for_every_substitution():
+    for size in range(d.SPAN, d.WINDOW + 1):
+        mask = d.MASKS[0 if size >= d.WINDOW else 1]
+        for bad in combinations(range(size), d.SUBSTITUTED):
+            assert any(not {j + k for k in mask} & set(bad) for j in range(size - mask[-1])), (size, bad)
+
+
+def all_diagonals(docs, items):
+    """Ids of the documents that hold an item; no seeds."""
+    out = set()
+    for doc, text in docs:
+        w = words(text)
+        for item, question in items:
+            q = words(question)
+            wide = min(d.WINDOW, len(q))
+            least = wide - (d.SUBSTITUTED if len(q) >= d.SPAN else 0)
+            for diagonal in range(-len(q), len(w)):
+                same = [0 <= diagonal + j < len(w) and w[diagonal + j] == x for j, x in enumerate(q)]
+                if q and max(sum(same[i : i + wide]) for i in range(len(q) - wide + 1)) >= least:
+                    out.add((str(doc), str(item)))
+    return out
+
+
+def test_every_pair_of_replaced_words(spark, make):
+    docs, items = [], []
+    for size in (11, 12, 13, 14):
+        text = Q.split()[:size] if size != 12 else SHORT.split()
+        items.append((size, " ".join(text)))
+        for bad in combinations(range(size), 2):
+            changed = " ".join("zz" if i in bad else x for i, x in enumerate(text))
+            docs += [(len(docs), changed), (len(docs) + 1, "aa " + changed + " bb")]
+    pick = random.Random(1)
+    docs += [(len(docs) + i, " ".join(pick.choices(Q.split()[:6], k=40))) for i in range(20)]
+    docs += [(len(docs), " ".join(Q.split()[2:13])), (len(docs) + 1, " ".join(SHORT.split()[1:11]))]  # cut at the edges
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    found = {(str(r["doc_id"]), str(r["item_id"])) for r in d.overlaps(make(docs), frame).collect()}
+    assert found == all_diagonals(docs, items) and len(found) > 600
