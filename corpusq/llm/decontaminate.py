@@ -7,7 +7,8 @@ document's, and the diagonal is an overlap if some `WINDOW` consecutive words (o
 at most `SUBSTITUTED` places.
 
 Words are runs of letters and digits in lower case, so changed case, punctuation and marks between words hide nothing.
-Items with fewer than `SPAN` words have no seed and are never reported. Null and empty texts match nothing. Null ids
+Items with fewer than `SPAN` words have the whole item as their only seed and are reported where all their words stand in
+order: two replaced words would leave too little of them. Null and empty texts match nothing. Null ids
 are reported like others. Rows with the same id and item give one result row, the best. Empty tables give an empty result.
 Extra columns are passed over.
 """
@@ -34,8 +35,8 @@ def word_hashes(text: Column) -> Column:
 
 
 def _mask_of(size: Column) -> Column:
-    """Number of the mask of items of so many words."""
-    return F.when(size >= WINDOW, 0).otherwise(1)
+    """Number of the mask of items of so many words; below zero for a whole item."""
+    return F.when(size >= WINDOW, 0).when(size >= SPAN, 1).otherwise(-size)
 
 
 def _seed_rows(df: DataFrame, masks: list[int], *keys: str, only: Column | None = None) -> DataFrame:
@@ -43,7 +44,7 @@ def _seed_rows(df: DataFrame, masks: list[int], *keys: str, only: Column | None
     h = F.col("h")
 
     def masked(n: int) -> Column:
-        mask = MASKS[n]
+        mask = MASKS[n] if n >= 0 else range(-n)
         places = F.size(h) - mask[-1]
         seeds = F.transform(
             F.sequence(F.lit(0), places - 1),
@@ -76,7 +77,7 @@ def overlaps(
     """Documents that hold benchmark text: doc_id, item_id, item_words, matched (equal words of the best diagonal),
     longest (most equal words of its windows) and doc_at (word place in the document where the item would start)."""
     items = benchmark.select("item_id", word_hashes(F.col(item_text)).alias("h")).withColumn("size", F.size("h"))
-    numbered = items.where(F.col("size") >= SPAN).withColumn("item", F.monotonically_increasing_id())
+    numbered = items.where(F.col("size") > 0).withColumn("item", F.monotonically_increasing_id())
     items = materialize(numbered, "items")  # numbered, because ids may be null or repeated
     texts = docs.select("doc_id", F.col(text).alias("_t"))
     hits = materialize(diagonals(texts.select("doc_id", word_hashes(F.col("_t")).alias("h")), items), "diagonals")
@@ -107,7 +108,8 @@ def overlaps(
         "doc_id", "item_id", "doc_at", "item_words", wide.alias("wide"),
         F.aggregate("equal", F.lit(0), lambda a, x: a + x).alias("matched"), F.array_max(sums).alias("longest"),
     )
-    real = scored.where(F.col("longest") >= F.col("wide") - SUBSTITUTED)
+    replaced = F.when(F.col("item_words") >= SPAN, SUBSTITUTED).otherwise(0)
+    real = scored.where(F.col("longest") >= F.col("wide") - replaced)
     best = F.max(F.struct("longest", "matched", (-F.col("doc_at")).alias("back"), "item_words")).alias("b")
     return real.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", F.col("b.item_words").cast("long").alias("item_words"),

@@ -108,3 +108,13 @@ def test_every_pair_of_replaced_words(spark, make):
     frame = spark.createDataFrame(items, "item_id long, text string")
     found = {(str(r["doc_id"]), str(r["item_id"])) for r in d.overlaps(make(docs), frame).collect()}
     assert found == all_diagonals(docs, items) and len(found) > 600
+
+
+def test_short_items(spark, make):
+    items = [(0, "What is it?"), (1, "yes"), (2, "one two three four five six seven eight nine ten"), (3, " ... "), (4, "too short to seed")]
+    docs = [(0, "He said: WHAT is-it"), (1, "what was it"), (2, "oh yes."), (3, "yesterday"), (4, " ".join(SHORT.split()[:10])),
+            (5, "one two three 4 five six seven eight nine ten"), (6, "too short to seed"), (7, "..."), (8, "short to seed")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    found = {(str(r["doc_id"]), str(r["item_id"])) for r in d.overlaps(make(docs), frame).collect()}
+    assert found == all_diagonals(docs, items) == {("0", "0"), ("2", "1"), ("4", "2"), ("6", "4")}
+    assert sorted(r["doc_id"] for r in d.clean(make(docs), frame).collect()) == [1, 3, 5, 7, 8]
