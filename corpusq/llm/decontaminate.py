@@ -59,7 +59,7 @@ def _seed_rows(df: DataFrame, masks: list[int], *keys: str, only: Column | None
 
 
 def diagonals(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct `(doc_id, item, diagonal, size)` with at least one seed in common.
+    """Distinct `(_n, item, diagonal, size)` of rows numbered `_n` and items with at least one seed in common.
 
     The benchmark's seeds are broadcast if they are few enough; else the join shuffles seeds, and AQE splits
     frequent ones. Hits are made distinct per task before they are shuffled.
@@ -67,49 +67,50 @@ def diagonals(docs: DataFrame, items: DataFrame) -> DataFrame:
     kind = _mask_of(F.col("size"))
     masks = sorted(r["n"] for r in items.select(kind.alias("n")).distinct().collect())  # documents need no others
     asked = _seed_rows(items, masks, "item", "size", only=kind).withColumnRenamed("at", "item_at").distinct()
-    hits = join_small(_seed_rows(docs, masks, "doc_id"), materialize(asked, "seeds"), "seed")
-    return hits.select("doc_id", "item", (F.col("at") - F.col("item_at")).alias("diagonal"), "size").distinct()
+    hits = join_small(_seed_rows(docs, masks, "_n"), materialize(asked, "seeds"), "seed")
+    return hits.select("_n", "item", (F.col("at") - F.col("item_at")).alias("diagonal"), "size").distinct()
 
 
-def overlaps(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text"
-) -> DataFrame:
-    """Documents that hold benchmark text: doc_id, item_id, item_words, matched (equal words of the best diagonal),
-    longest (most equal words of its windows) and doc_at (word place in the document where the item would start)."""
+def _found(texts: DataFrame, benchmark: DataFrame, item_text: str) -> DataFrame:
+    """Every overlap of the stored rows `texts (_n, doc_id, _t)`, one row for each diagonal."""
     items = benchmark.select("item_id", word_hashes(F.col(item_text)).alias("h")).withColumn("size", F.size("h"))
     numbered = items.where(F.col("size") > 0).withColumn("item", F.monotonically_increasing_id())
     items = materialize(numbered, "items")  # numbered, because ids may be null or repeated
-    texts = docs.select("doc_id", F.col(text).alias("_t"))
-    hits = materialize(diagonals(texts.select("doc_id", word_hashes(F.col("_t")).alias("h")), items), "diagonals")
-    wanted = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item", "diagonal", "size")).alias("asked"))
-    wanted = wanted.withColumnRenamed("doc_id", "_id")
-    # texts of hit documents only; a null id meets null ids
-    held = join_small(texts, materialize(wanted, "hit-documents"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    words = held.select("doc_id", "asked", word_hashes(F.col("_t")).alias("h"), F.size("asked").alias("_n"))
-
-    def cut(c: Column) -> Column:
-        start = F.greatest(F.lit(0), c["diagonal"])
-        size = F.greatest(F.lit(0), c["diagonal"] + c["size"] - start)
-        return F.struct(
-            c["item"].alias("item"), c["diagonal"].alias("doc_at"), (start - c["diagonal"]).alias("skip"),
-            F.slice("h", start + 1, size).alias("part"),
-        )
-
-    candidates = words.select("doc_id", F.inline(F.transform("asked", cut)))
+    hits = materialize(diagonals(texts.select("_n", word_hashes(F.col("_t")).alias("h")), items), "diagonals")
+    # words of hit rows only, hashed once; then a row for each hit
+    held = join_small(texts, materialize(hits.select("_n").distinct(), "hit-rows"), "_n", "left_semi")
+    words = materialize(held.select("_n", "doc_id", word_hashes(F.col("_t")).alias("words")), "hit-words")
+    start = F.greatest(F.lit(0).cast("long"), F.col("diagonal")).cast("int")
+    size = F.greatest(F.lit(0), (F.col("diagonal") + F.col("size") - start).cast("int"))
+    candidates = join_small(words, hits, "_n").select(
+        "_n", "doc_id", "item", F.col("diagonal").alias("doc_at"), (start - F.col("diagonal")).cast("int").alias("skip"),
+        F.slice("words", start + 1, size).alias("part"),
+    )
     met = join_small(candidates, items, "item")
     equal = F.transform("h", lambda x, j: F.coalesce((x == F.get("part", j - F.col("skip"))).cast("int"), F.lit(0)))
-    compared = met.select("doc_id", "item_id", "doc_at", F.col("size").alias("item_words"), equal.alias("equal"))
+    compared = met.select("_n", "doc_id", "item_id", "doc_at", F.col("size").alias("item_words"), equal.alias("equal"))
     wide = F.least(F.lit(WINDOW), F.col("item_words"))
     sums = F.transform(
         F.sequence(F.lit(1), F.col("item_words") - wide + 1),
         lambda i: F.aggregate(F.slice("equal", i, wide), F.lit(0), lambda a, x: a + x),
     )
     scored = compared.select(
-        "doc_id", "item_id", "doc_at", "item_words", wide.alias("wide"),
+        "_n", "doc_id", "item_id", "doc_at", "item_words", wide.alias("wide"),
         F.aggregate("equal", F.lit(0), lambda a, x: a + x).alias("matched"), F.array_max(sums).alias("longest"),
     )
     replaced = F.when(F.col("item_words") >= SPAN, SUBSTITUTED).otherwise(0)
-    real = scored.where(F.col("longest") >= F.col("wide") - replaced)
+    return scored.where(F.col("longest") >= F.col("wide") - replaced)
+
+
+def overlaps(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text"
+) -> DataFrame:
+    """Documents that hold benchmark text: doc_id, item_id, item_words, matched (equal words of the best diagonal),
+    longest (most equal words of its windows) and doc_at (word place in the document where the item would start).
+
+    Rows are numbered in a stored copy, so rows with the same id, or none, are searched apart."""
+    texts = docs.select(F.monotonically_increasing_id().alias("_n"), "doc_id", F.col(text).alias("_t"))
+    real = _found(materialize(texts, "texts"), benchmark, item_text)
     best = F.max(F.struct("longest", "matched", (-F.col("doc_at")).alias("back"), "item_words")).alias("b")
     return real.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", F.col("b.item_words").cast("long").alias("item_words"),
@@ -119,7 +120,10 @@ def overlaps(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs`, with their columns, whose id holds no benchmark text. Texts are not moved while the
-    list of ids is small enough to be broadcast."""
-    found = overlaps(docs, benchmark, text).select(F.col("doc_id").alias("_leak")).distinct()
-    return join_small(docs, materialize(found, "leaks"), F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """The rows of `docs`, with their columns, that hold no benchmark text. Rows are numbered in a stored copy: a row does
+    not go with another one of its id."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    held = materialize(docs.select(F.monotonically_increasing_id().alias("_n"), row), "numbered")
+    texts = held.select("_n", F.col("_row.doc_id").alias("doc_id"), F.col(f"_row.`{text}`").alias("_t"))
+    found = _found(texts, benchmark, "text").select("_n").distinct()
+    return join_small(held, materialize(found, "leaks"), "_n", "left_anti").select("_row.*")

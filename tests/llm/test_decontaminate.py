@@ -118,3 +118,12 @@ def test_short_items(spark, make):
     found = {(str(r["doc_id"]), str(r["item_id"])) for r in d.overlaps(make(docs), frame).collect()}
     assert found == all_diagonals(docs, items) == {("0", "0"), ("2", "1"), ("4", "2"), ("6", "4")}
     assert sorted(r["doc_id"] for r in d.clean(make(docs), frame).collect()) == [1, 3, 5, 7, 8]
+
+
+def test_a_leak_takes_no_other_row_of_its_id(spark, make):
+    docs = [(None, SHORT), (None, "clean one"), (None, None), (3, "clean two"), (3, "x " + Q), (3, "clean two"), (4, "clean")]
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    left = d.clean(make(docs), items)
+    assert left.columns == make(docs).columns
+    kept = [(None, "clean one"), (None, None), (3, "clean two"), (3, "clean two"), (4, "clean")]
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted(kept, key=str)
