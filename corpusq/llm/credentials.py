@@ -6,8 +6,8 @@ reported only where complementary parts stand within `SCOPE` characters in the s
 a weak secret beside an identifier or endpoint, a weak identifier beside a secret, an endpoint beside both.
 
 Positions come from the texts between matches: a document's parts are rows, and a running sum of lengths gives each
-start. The interval join of the parts is a range frame over the starts of one document. Parts of one kind
-do not overlap, so a frame holds a bounded number of rows, and no pairs are built.
+start. Two parts are linked if at most `SCOPE` characters stand between the end of one and the start of the other. The
+interval join is two running frames for each role: the largest end so far and the smallest start to come. No pairs are built.
 
 Null and empty texts have no parts. Null ids and repeated rows give one result row each. An empty table gives an
 empty result. Extra columns are passed over (`find`) or kept (`redact`).
@@ -89,10 +89,14 @@ def _linked(rows: DataFrame, scope: int) -> DataFrame:
     strong = kind < len(STRONG)
     before = Window.partitionBy("_row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     covered = F.coalesce(F.max(F.when(strong, F.col("end"))).over(before) > F.col("start"), F.lit(False))
-    near = Window.partitionBy("_row").orderBy("start").rangeBetween(-scope, scope)
+    so_far = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    to_come = Window.partitionBy("_row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
     def beside(role: str) -> Column:
-        return F.coalesce(F.max(kind.isin([code[k] for k, r in ROLE.items() if r == role])).over(near), F.lit(False))
+        held = kind.isin([code[k] for k, r in ROLE.items() if r == role])
+        earlier = F.max(F.when(held, F.col("end"))).over(so_far) >= F.col("start") - scope
+        later = F.min(F.when(held, F.col("start"))).over(to_come) <= F.col("end") + scope
+        return F.coalesce(earlier, F.lit(False)) | F.coalesce(later, F.lit(False))
 
     linked = (
         F.when(kind == code["weak_id"], beside("secret"))

@@ -84,3 +84,19 @@ def test_redaction(make):
 def test_empty_table(make):
     assert c.find(make([])).collect() == []
     assert c.redact(make([])).collect() == []
+
+
+KEY = "Ab3/" * 75  # longer than the scope
+
+
+def test_scope_counts_from_end_to_start(make):
+    texts = [
+        f"{KEY} ~client_id: bob99", f"client_id: bob99 {KEY}", f"{KEY} {'~ ' * 99} client_id: bob99", f"{KEY} {'~ ' * 101}client_id: bob99",
+        f"{KEY} {'~ ' * 20} x {'~ ' * 20} client_id: bob99 {'~ ' * 60} https://a.example/{'p' * 300}",
+    ]
+    spans = {r["doc_id"]: r["spans"] for r in c.find(make(list(enumerate(texts)))).collect()}
+    assert spans[0] == "weak_secret:0:300,weak_id:302:318" and spans[1] == "weak_id:0:16,weak_secret:17:317"
+    assert "weak_secret" in spans[2] and spans[3] == ""
+    assert "weak_id" in spans[4] and "weak_secret" in spans[4]
+    redacted = {r["doc_id"]: r["text"] for r in c.redact(make(list(enumerate(texts)))).collect()}
+    assert KEY not in redacted[0] and KEY not in redacted[1] and redacted[3] == texts[3]
