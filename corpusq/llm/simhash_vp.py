@@ -2,12 +2,14 @@
 
 1. Each whole text gets a 64-bit fingerprint (majority of the shingles' hash bits).
 2. Equal fingerprints are one entry: copies, however many, cost one row from here on.
-3. A vantage-point tree is fitted on a bounded sample of entries: each node has a vantage
-   fingerprint and the median Hamming distance to it. Every entry goes to its own leaf; where its distance is so close
-   to the radius that the triangle inequality allows a partner on the other side, it also visits that side.
-4. Inside a leaf, entries and visitors are compared exactly. Large leaves are cut into blocks and all
-   pairs of blocks are compared, so no task holds more than two blocks.
-5. A block emits a spanning forest of its links, never all pairs; components are joined from the forests.
+3. Entries are partitioned into a few big shards by the top of a vantage-point tree, fitted on a bounded sample: each
+   node has a vantage fingerprint and the median Hamming distance to it. Every entry goes to its own shard; where its
+   distance is so close to the radius that the triangle inequality allows a partner on the other side, it also visits
+   that side. A shard holds what a task can (`SHARD` fingerprints, 8 bytes each), so there are few borders to be near.
+4. A shard is packed into one binary value and read by `SLICES` tasks. Each builds the exact vantage-point tree of the shard
+   and sends its slice of the entries and visitors down that tree; branches are pruned through the triangle bounds and
+   the visits inside a shard are never rows. Shards that come out larger are cut into blocks, all pairs of blocks compared.
+5. A task emits a spanning forest of its links, never all pairs; components are joined from the forests.
 
 The result is exact: the sample only decides how well the work is divided.
 
@@ -31,11 +33,12 @@ from corpusq.session import join_small, materialize
 
 SHINGLE = 3
 RADIUS = 3
-SAMPLE_PART = 64  # one entry of so many is a candidate for the sample
-SAMPLE_MOST = 65_536  # and the sample has no more than these
-LEAF_SAMPLE = 128  # sample entries of a leaf: about 8,000 entries until the sample is full
-BLOCK = 16_384
-_ROWS = 256  # rows of a block compared at once: 32 MB of distances
+SHARD = 1 << 20  # fingerprints of a shard, about: 8 MB
+BLOCK = 1 << 21  # a shard with more is cut into blocks of this size
+SLICES = 12  # tasks that search one shard
+SAMPLE_MOST = 65_536  # entries that the division into shards is fitted on
+LEAF = 256  # fingerprints compared directly, at the bottom of a shard's tree
+_CELLS = 4_000_000  # distances held at once
 
 
 def fingerprint_one(text: str | None, shingle: int = SHINGLE) -> int:
@@ -71,7 +74,7 @@ def fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(np.array([fingerprint_one(t) for t in batch], dtype=np.uint64).view(np.int64))
 
 
-def build_tree(sample: np.ndarray, leaf: int = LEAF_SAMPLE) -> dict[str, np.ndarray]:
+def build_tree(sample: np.ndarray, leaf: int = LEAF) -> dict[str, np.ndarray]:
     """Arrays `point`, `radius`, `near`, `far` of a tree over `sample`; a child below zero is leaf `-1 - child`.
 
     Of a few candidates the vantage point whose distances spread most is taken. A node whose entries are all equally far
@@ -142,49 +145,96 @@ def walk(tree: dict[str, np.ndarray], entries: np.ndarray, radius: int = RADIUS)
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3)) if out else (np.array([], dtype=int),) * 3
 
 
-def forest(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two arrays of fingerprints (which may share entries)."""
-    nodes, place = np.unique(np.concatenate([left, right]), return_inverse=True)
-    a, b = place[: len(left)], place[len(left) :]
-    label = np.arange(len(nodes))
-    for at in range(0, len(left), _ROWS):
-        i, j = np.nonzero(np.bitwise_count(left[at : at + _ROWS, None] ^ right[None, :]) <= radius)
-        u, v = a[at + i], b[j]
-        u, v = u[u != v], v[u != v]
+class Forest:
+    """Union of links between fingerprints, numbered by their place in a sorted array."""
+
+    def __init__(self, nodes: np.ndarray):
+        self.nodes, self.label = nodes, np.arange(len(nodes))
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        label = self.label
         while len(u):
             x, y = label[u], label[v]
             differ = x != y
             if not differ.any():
-                break
+                return
             u, v, x, y = u[differ], v[differ], x[differ], y[differ]
             np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
             while (label != label[label]).any():
-                label = label[label]
-    moved = np.nonzero(label != np.arange(len(nodes)))[0]
-    return nodes[moved], nodes[label[moved]]
+                label[:] = label[label]
 
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        moved = np.nonzero(self.label != np.arange(len(self.nodes)))[0]
+        return self.nodes[moved], self.nodes[self.label[moved]]
 
-def links(entries: DataFrame, radius: int = RADIUS, leaf_sample: int = LEAF_SAMPLE, block: int = BLOCK) -> DataFrame:
-    """Links `(a, b)` between distinct fingerprints `fp` that connect all within `radius` bits of each other.
 
-    `entries` should be a stored table with one row per fingerprint: it is read three times.
+def tree_search(asked: np.ndarray, held: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between `asked` and `held` (arrays that may share fingerprints).
+
+    The vantage-point tree of `held` is built depth first while the questions go down: at a node they turn to each
+    side that the triangle inequality leaves open. One branch at a time is held, so memory stays near that of the arrays.
     """
+    nodes = np.unique(np.concatenate([asked, held]))
+    found = Forest(nodes)
+    todo = [(np.unique(held), np.unique(asked))]
+    while todo:
+        own, near = todo.pop()
+        if not len(own) or not len(near):
+            continue
+        inside = None
+        if len(own) > leaf:
+            candidates = own[:: max(1, len(own) // 4)][:4]
+            some = own[:: max(1, len(own) // 512)]
+            point = candidates[int(np.argmax([np.bitwise_count(some ^ c).std() for c in candidates]))]
+            d = np.bitwise_count(own ^ point).astype(np.int16)
+            border = int(np.median(d))
+            border -= int((d <= border).all())
+            inside = d <= border
+        if inside is not None and inside.any() and not inside.all():
+            e = np.bitwise_count(near ^ point).astype(np.int16)
+            todo += [(own[inside], near[e - radius <= border]), (own[~inside], near[e + radius > border])]
+            continue
+        place = np.searchsorted(nodes, own)
+        step = max(1, _CELLS // len(own))
+        for at in range(0, len(near), step):
+            part = near[at : at + step]
+            i, j = np.nonzero(np.bitwise_count(part[:, None] ^ own[None, :]) <= radius)
+            if len(i):
+                found.add(np.searchsorted(nodes, part)[i], place[j])
+    return found.links()
+
+
+def shards(entries: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """`(leaf, fp, native)`: each entry in its own shard, and in those where a partner may be."""
     order = F.xxhash64("fp")
-    sample = entries.where(F.pmod(order, F.lit(SAMPLE_PART)) == 0).orderBy(order).limit(SAMPLE_MOST)
-    tree = build_tree(np.array([r["fp"] for r in sample.collect()], dtype=np.int64).view(np.uint64), leaf_sample)
+    count = entries.count()
+    part = max(1, count // SAMPLE_MOST)
+    sample = entries.where(F.pmod(order, F.lit(part)) == 0).orderBy(order).limit(SAMPLE_MOST)
+    # so many sample entries stand for the entries of one shard, at every size
+    tree = build_tree(
+        np.array([r["fp"] for r in sample.collect()], dtype=np.int64).view(np.uint64), max(1, shard // part)
+    )
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = batch["fp"].to_numpy().astype(np.int64)
-            for at in range(0, len(fp), 2_000):
-                part = fp[at : at + 2_000]
-                index, leaf, native = walk(tree, part.view(np.uint64), radius)
-                yield pd.DataFrame({"leaf": leaf, "fp": part[index], "native": native})
+            index, leaf, native = walk(tree, fp.view(np.uint64), radius)
+            yield pd.DataFrame({"leaf": leaf, "fp": fp[index], "native": native})
 
-    visits = materialize(entries.select("fp").mapInPandas(place, "leaf long, fp long, native boolean"), "visits")
+    return entries.select("fp").mapInPandas(place, "leaf long, fp long, native boolean")
+
+
+def links(
+    entries: DataFrame, radius: int = RADIUS, shard: int = SHARD, block: int = BLOCK, slices: int = SLICES
+) -> DataFrame:
+    """Links `(a, b)` between distinct fingerprints `fp` that connect all within `radius` bits of each other.
+
+    `entries` should be a stored table with one row per fingerprint: it is read three times.
+    """
+    visits = materialize(shards(entries, radius, shard), "visits")
     sizes = visits.groupBy("leaf").agg(
         F.ceil(F.count_if("native") / block).alias("blocks"), F.ceil(F.count_if(~F.col("native")) / block).alias("guests")
-    )  # one row per leaf
+    )  # one row per shard
     cut = join_small(visits, sizes, "leaf")
     own = F.pmod(F.xxhash64("fp"), F.when(F.col("native"), F.col("blocks")).otherwise(F.col("guests"))).cast("int")
     last = F.col("blocks").cast("int") - 1
@@ -199,12 +249,22 @@ def links(entries: DataFrame, radius: int = RADIUS, leaf_sample: int = LEAF_SAMP
         F.when(F.col("native"), F.col("own") >= F.col("other")).otherwise(True).alias("right"),
     )
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        fp = group["fp"].to_numpy().astype(np.int64).view(np.uint64)
-        u, v = forest(fp[group["left"].to_numpy()], fp[group["right"].to_numpy()], radius)
-        return pd.DataFrame({"a": u.view(np.int64), "b": v.view(np.int64)})
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        fp = group["fp"].to_numpy().astype("<i8")
+        held, asked = fp[group["left"].to_numpy()], fp[group["right"].to_numpy()]
+        return pd.DataFrame([(held.tobytes(), asked.tobytes())], columns=["held", "asked"])
 
-    return pairs.groupBy("leaf", "i", "j").applyInPandas(compare, "a long, b long")
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for held, asked, n in zip(batch["held"], batch["asked"], batch["slice"]):
+                u, v = tree_search(np.frombuffer(asked, "<u8")[n::slices], np.frombuffer(held, "<u8"), radius)
+                yield pd.DataFrame({"a": u.view(np.int64), "b": v.view(np.int64)})
+
+    packed = pairs.groupBy("leaf", "i", "j").applyInPandas(pack, "held binary, asked binary")
+    # one row per block pair, stored: each slice reads it by itself
+    rows = materialize(packed.withColumn("block", F.monotonically_increasing_id()), "packed")
+    cuts = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    return cuts.repartition("block", "slice").drop("block").mapInPandas(search, "a long, b long")
 
 
 def classes(prints: DataFrame, **options) -> DataFrame:

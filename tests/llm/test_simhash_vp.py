@@ -27,7 +27,7 @@ def rows():
 
 
 def test_equals_brute_force(make):
-    found = v.near_duplicates(make(rows()), leaf_sample=1, block=7).collect()
+    found = v.near_duplicates(make(rows()), shard=8, block=7, slices=2).collect()
     assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in found) == brute_components(rows())
     assert v.near_duplicates(make([])).collect() == []
 
@@ -48,12 +48,36 @@ def test_tree_loses_no_link():
         assert (a, home[b]) in visits or (b, home[a]) in visits
 
 
-def test_forest_connects_what_is_linked():
+def test_search_finds_what_all_pairs_find():
+    r = np.random.default_rng(9)
+    centres = r.integers(0, 2**64, 300, dtype=np.uint64)
+    flips = np.uint64(1) << r.integers(64, size=(3_000, 2), dtype=np.uint64)
+    entries = np.unique(np.concatenate([centres, r.choice(centres, 3_000) ^ flips[:, 0] ^ flips[:, 1], r.integers(0, 2**64, 3_000, dtype=np.uint64)]))
+    expected = v.Forest(entries)
+    expected.add(*np.nonzero(np.bitwise_count(entries[:, None] ^ entries[None, :]) <= 3))
+    found = v.Forest(entries)
+    for n in range(3):
+        a, b = v.tree_search(entries[n::3], entries, leaf=16)
+        assert len(a) < len(entries)  # a forest, not all pairs
+        found.add(np.searchsorted(entries, a), np.searchsorted(entries, b))
+    assert (found.label == expected.label).all()
+
+
+def test_rows_per_entry_do_not_grow():
+    r = np.random.default_rng(2)
+    for count in (200_000, 1_000_000, 4_000_000):
+        part = max(1, count // v.SAMPLE_MOST)
+        tree = v.build_tree(r.integers(0, 2**64, count // part, dtype=np.uint64), max(1, v.SHARD // part))
+        index, _, _ = v.walk(tree, r.integers(0, 2**64, 100_000, dtype=np.uint64))
+        assert len(index) <= 3 * 100_000
+
+
+def test_search_connects_what_is_linked():
     block = np.array([1 << k for k in range(40)] + [0], dtype=np.uint64)
-    a, b = v.forest(block, block)
+    a, b = v.tree_search(block, block)
     assert len(a) == len(block) - 1  # a tree, not all pairs
     apart = np.array([0, 2**20 - 1], dtype=np.uint64)
-    assert len(v.forest(apart, apart)[0]) == 0
+    assert len(v.tree_search(apart, apart)[0]) == 0
 
 
 def test_components_of_a_long_chain(spark):
