@@ -6,8 +6,8 @@
    node has a vantage fingerprint and the median Hamming distance to it. Every entry goes to its own shard; where its
    distance is so close to the radius that the triangle inequality allows a partner on the other side, it also visits
    that side. A shard holds what a task can (`SHARD` fingerprints, 8 bytes each), so there are few borders to be near.
-4. A shard is packed into one binary value and read by `SLICES` tasks. Each builds the exact vantage-point tree of the shard
-   and sends its slice of the entries and visitors down that tree; branches are pruned through the triangle bounds and
+4. A shard is packed into one binary value and read by `SLICES` tasks. Each builds the exact vantage-point tree of the shard,
+   sends entries and visitors down its share of the branches, and leaves out those that the triangle bounds rule out;
    the visits inside a shard are never rows. Shards that come out larger are cut into blocks, all pairs of blocks compared.
 5. A task emits a spanning forest of its links, never all pairs; components are joined from the forests.
 
@@ -38,7 +38,7 @@ BLOCK = 1 << 21  # a shard with more is cut into blocks of this size
 SLICES = 12  # tasks that search one shard
 SAMPLE_MOST = 65_536  # entries that the division into shards is fitted on
 LEAF = 256  # fingerprints compared directly, at the bottom of a shard's tree
-_CELLS = 4_000_000  # distances held at once
+_CELLS = 1 << 17  # distances held at once: they stay in the processor's cache
 
 
 def fingerprint_one(text: str | None, shingle: int = SHINGLE) -> int:
@@ -168,20 +168,27 @@ class Forest:
         return self.nodes[moved], self.nodes[self.label[moved]]
 
 
-def tree_search(asked: np.ndarray, held: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between `asked` and `held` (arrays that may share fingerprints).
+def tree_search(
+    held: np.ndarray, guests: np.ndarray | None = None, radius: int = RADIUS, leaf: int = LEAF, slices: int = 1, n: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside `held`; with `guests`, of those between `held` and `guests` instead.
 
-    The vantage-point tree of `held` is built depth first while the questions go down: at a node they turn to each
-    side that the triangle inequality leaves open. One branch at a time is held, so memory stays near that of the arrays.
+    The vantage-point tree of `held` is built depth first while the entries go down it as in `walk`, and one branch
+    at a time is held, so memory stays near that of the arrays. Of `slices` calls each walks the top of the same tree and then
+    takes its share of the branches, so that together they find all links.
     """
-    nodes = np.unique(np.concatenate([asked, held]))
+    held = np.unique(held)
+    alone = guests is None
+    guests = held[:0] if alone else np.unique(guests)
+    nodes = np.unique(np.concatenate([held, guests])) if len(guests) else held
     found = Forest(nodes)
-    todo = [(np.unique(held), np.unique(asked))]
+    top = (8 * slices - 1).bit_length() if slices > 1 else 0
+    todo, branch = [(held, guests, 0)], 0
     while todo:
-        own, near = todo.pop()
-        if not len(own) or not len(near):
+        own, near, depth = todo.pop()
+        if not len(own) or not (alone or len(near)):
             continue
-        inside = None
+        split = None
         if len(own) > leaf:
             candidates = own[:: max(1, len(own) // 4)][:4]
             some = own[:: max(1, len(own) // 512)]
@@ -189,18 +196,28 @@ def tree_search(asked: np.ndarray, held: np.ndarray, radius: int = RADIUS, leaf:
             d = np.bitwise_count(own ^ point).astype(np.int16)
             border = int(np.median(d))
             border -= int((d <= border).all())
-            inside = d <= border
-        if inside is not None and inside.any() and not inside.all():
+            split = d <= border
+        leads_down = split is not None and split.any() and not split.all()
+        if depth == top or not leads_down and depth < top:
+            branch += 1
+            if branch % slices != n:
+                continue
+        if leads_down:
             e = np.bitwise_count(near ^ point).astype(np.int16)
-            todo += [(own[inside], near[e - radius <= border]), (own[~inside], near[e + radius > border])]
+            far = near[e + radius > border]
+            if alone:  # of two linked entries on different sides the inner one visits the outer side
+                far = np.concatenate([far, own[split & (d + radius > border)]])
+            todo += [(own[split], near[e - radius <= border], depth + 1), (own[~split], far, depth + 1)]
             continue
         place = np.searchsorted(nodes, own)
         step = max(1, _CELLS // len(own))
-        for at in range(0, len(near), step):
-            part = near[at : at + step]
-            i, j = np.nonzero(np.bitwise_count(part[:, None] ^ own[None, :]) <= radius)
-            if len(i):
-                found.add(np.searchsorted(nodes, part)[i], place[j])
+        for asked in (own, near) if alone else (near,):
+            for at in range(0, len(asked), step):
+                part = asked[at : at + step]
+                hit = np.flatnonzero((np.bitwise_count(part[:, None] ^ own[None, :]) <= radius).ravel())
+                if len(hit):
+                    i, j = np.divmod(hit, len(own))
+                    found.add(np.searchsorted(nodes, part)[i], place[j])
     return found.links()
 
 
@@ -251,16 +268,18 @@ def links(
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         fp = group["fp"].to_numpy().astype("<i8")
-        held, asked = fp[group["left"].to_numpy()], fp[group["right"].to_numpy()]
-        return pd.DataFrame([(held.tobytes(), asked.tobytes())], columns=["held", "asked"])
+        left, right = group["left"].to_numpy(), group["right"].to_numpy()
+        guests = None if (left & right).any() else fp[right].tobytes()  # a block with itself, or with another one
+        return pd.DataFrame([(fp[left].tobytes(), guests)], columns=["held", "guests"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for held, asked, n in zip(batch["held"], batch["asked"], batch["slice"]):
-                u, v = tree_search(np.frombuffer(asked, "<u8")[n::slices], np.frombuffer(held, "<u8"), radius)
+            for held, guests, n in zip(batch["held"], batch["guests"], batch["slice"]):
+                others = None if guests is None else np.frombuffer(guests, "<u8")
+                u, v = tree_search(np.frombuffer(held, "<u8"), others, radius, slices=slices, n=n)
                 yield pd.DataFrame({"a": u.view(np.int64), "b": v.view(np.int64)})
 
-    packed = pairs.groupBy("leaf", "i", "j").applyInPandas(pack, "held binary, asked binary")
+    packed = pairs.groupBy("leaf", "i", "j").applyInPandas(pack, "held binary, guests binary")
     # one row per block pair, stored: each slice reads it by itself
     rows = materialize(packed.withColumn("block", F.monotonically_increasing_id()), "packed")
     cuts = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))

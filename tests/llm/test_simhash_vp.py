@@ -56,11 +56,14 @@ def test_search_finds_what_all_pairs_find():
     expected = v.Forest(entries)
     expected.add(*np.nonzero(np.bitwise_count(entries[:, None] ^ entries[None, :]) <= 3))
     found = v.Forest(entries)
+    halves = v.Forest(entries)
     for n in range(3):
-        a, b = v.tree_search(entries[n::3], entries, leaf=16)
-        assert len(a) < len(entries)  # a forest, not all pairs
-        found.add(np.searchsorted(entries, a), np.searchsorted(entries, b))
-    assert (found.label == expected.label).all()
+        for forest, sides in ((found, [(entries, None)]), (halves, [(entries[::2], None), (entries[1::2], None), (entries[::2], entries[1::2])])):
+            for own, guests in sides:
+                a, b = v.tree_search(own, guests, leaf=16, slices=3, n=n)
+                assert len(a) < len(entries)  # a forest, not all pairs
+                forest.add(np.searchsorted(entries, a), np.searchsorted(entries, b))
+    assert (found.label == expected.label).all() and (halves.label == expected.label).all()
 
 
 def test_rows_per_entry_do_not_grow():
@@ -74,10 +77,10 @@ def test_rows_per_entry_do_not_grow():
 
 def test_search_connects_what_is_linked():
     block = np.array([1 << k for k in range(40)] + [0], dtype=np.uint64)
-    a, b = v.tree_search(block, block)
+    a, b = v.tree_search(block)
     assert len(a) == len(block) - 1  # a tree, not all pairs
     apart = np.array([0, 2**20 - 1], dtype=np.uint64)
-    assert len(v.tree_search(apart, apart)[0]) == 0
+    assert len(v.tree_search(apart)[0]) == 0
 
 
 def test_components_of_a_long_chain(spark):
