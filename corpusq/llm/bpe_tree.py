@@ -11,7 +11,8 @@ starts, everything after is equal as well. Inside one unsplit run that crosses t
 tokens is the encoding of a run if each adjacent pair is the encoding of its own bytes. There the window
 goes from token to token and agrees if its first and last tokens equal those of the sides.
 
-Null and empty texts have no tokens. Repeated rows are encoded each. An empty table gives an empty result.
+Null and empty texts have no tokens. Repeated rows are encoded each. An empty table gives an empty result. Ids of any
+type, null or not, come back as they are: they pass through the tasks as text, never as a float.
 Extra columns are passed over. The special token's string is split off wherever it stands, as the library does.
 """
 
@@ -241,7 +242,8 @@ def encoded(
     """`doc_id` and `fields` of every whole text. `work` makes the fields from the document's ids (little-endian unsigned 32-bit
     integers) in the worker that encoded them; without it the ids are returned."""
     config = tokenizer_json(path)
-    own = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    kind = docs.schema["doc_id"].dataType
+    own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     names = [f.split()[0] for f in fields.split(", ")]
 
     def row(doc_id, values: list[tuple]) -> pd.DataFrame:
@@ -264,14 +266,15 @@ def encoded(
         parts = [(t, np.frombuffer(i, dtype="<u4")) for t, i in zip(group["_t"], group["ids"])]
         return row(group["doc_id"].iloc[:1], [work(tool, concatenate(tool, parts).astype("<u4").tobytes())])
 
-    brief = own.where(F.char_length("_t") <= piece).mapInPandas(short, f"doc_id long, {fields}")
+    brief = own.where(F.char_length("_t") <= piece).mapInPandas(short, f"doc_id string, {fields}")
     numbered = own.where(F.char_length("_t") > piece).withColumn("_row", F.monotonically_increasing_id())
     cut = numbered.select("doc_id", "_row", F.posexplode(_leaf_spans(F.char_length("_t"), piece)).alias("leaf", "s"), "_t")
     cut = cut.select("doc_id", "_row", "leaf", F.substring("_t", F.col("s.a") + 1, F.col("s.b") - F.col("s.a")).alias("_t"))
     # the cut is written once: row numbers stay what they are when a task is lost, and leaves are dealt out evenly
     dealt = materialize(cut, "leaves").repartition("_row", "leaf")
-    done = dealt.mapInPandas(leaves, "doc_id long, _row long, leaf int, _t string, ids binary")
-    return brief.union(done.groupBy("_row").applyInPandas(tree, f"doc_id long, {fields}"))
+    done = dealt.mapInPandas(leaves, "doc_id string, _row long, leaf int, _t string, ids binary")
+    every = brief.union(done.groupBy("_row").applyInPandas(tree, f"doc_id string, {fields}"))
+    return every.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def _leaf_spans(n: Column, piece: int) -> Column:

@@ -4,8 +4,8 @@ Each word of a text is labelled with a language. Its features are affixes, chara
 learned lexicon, the word itself; transitions between neighbouring words are learned too, so that a text may switch languages. Forward-backward
 gives each word's marginals over the whole text; a text's language has the largest sum of them.
 
-Training reads a bounded sample of labelled texts (`SAMPLE_TEXTS` for each language, `SAMPLE_WORDS` words of each), joins
-random runs of them to code-switched sequences and maximises their likelihood. Scoring cuts texts into blocks of words: all blocks are multiplied
+Training reads a bounded sample of labelled rows (`SAMPLE_TEXTS` whole texts of each language; the number of rows is the only
+bound), joins random runs of them to code-switched sequences and maximises their likelihood in `STEPS` steps. Scoring cuts texts into blocks of words: all blocks are multiplied
 out at once, then chained, which is exact for texts of any length.
 
 Null texts and texts without a letter are `und` with score 0, and so is everything if no labelled text exists. Null ids are scored
@@ -24,14 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusq.session import materialize
+from corpusq.session import join_small, materialize
 
 SAMPLE_TEXTS = 300
-SAMPLE_WORDS = 400
 SLOTS = 1 << 15  # hashed features
 SEQUENCE = 120
 RUNS = (4, 40)  # words of one language in a training sequence
-EPOCHS = 6
+STEPS = 140  # gradient steps, as many at every size of the sample
 BATCH = 60
 RATE = 0.3
 LEXICON_LEAST = 3
@@ -178,14 +177,12 @@ def train(sample: list[tuple[str, list[str]]], seed: int = 7) -> Model:
     clean = {n: texts for n, texts in clean.items() if texts}
     counts = Counter(w for texts in clean.values() for t in texts for w in t)
     lexicon = frozenset(w for w, n in counts.items() if n >= LEXICON_LEAST)
-    slots = {w: np.array(features(w, lexicon), dtype=np.int64) for w in counts}
+    slots: dict[str, np.ndarray] = {}
     random = np.random.default_rng(seed)
-    total = sum(counts.values())
     weights, transitions, start = np.zeros((SLOTS, k)), np.zeros((k, k)), np.zeros(k)
     squares = [np.full_like(x, 1e-8) for x in (weights, transitions, start)]
-    rounds = max(1, EPOCHS * min(total, k * 40_000) // (SEQUENCE * BATCH)) if clean else 0
     present = sorted(clean)
-    for _ in range(rounds):
+    for _ in range(STEPS if clean else 0):
         words, gold = [], np.empty((BATCH, SEQUENCE), dtype=np.int64)
         for b in range(BATCH):
             row: list[str] = []
@@ -198,6 +195,7 @@ def train(sample: list[tuple[str, list[str]]], seed: int = 7) -> Model:
                 gold[b, len(row) : len(row) + len(run)] = lang
                 row += run
             words += row
+        slots.update((w, np.array(features(w, lexicon), dtype=np.int64)) for w in set(words).difference(slots))
         own = [slots[w] for w in words]
         sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
         flat = np.concatenate(own)
@@ -241,7 +239,7 @@ def part_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", texts: int = SAMPLE_TEXTS, words: int = SAMPLE_WORDS) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", texts: int = SAMPLE_TEXTS) -> Model:
     """Train on the `texts` rows of each language that are first by a hash of their id.
 
     Ranks are cut to that number in each task before the shuffle; texts are read for the chosen ids only.
@@ -250,10 +248,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", texts: int = SA
     known = docs.where(F.col(lang).isNotNull() & F.col("doc_id").isNotNull() & F.col(text).isNotNull())
     chosen = known.select("doc_id", lang).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= texts)
     chosen = materialize(chosen.select("doc_id").distinct(), "sample")  # `texts` ids for each language
-    # a run of words from the middle of each text
-    cut = F.split(F.trim(F.lower(F.col(text))), r"\s+")
-    middle = F.greatest(F.lit(0), F.floor((F.size(cut) - words) / 2).cast("int"))
-    rows = known.join(F.broadcast(chosen), "doc_id").select(lang, F.slice(cut, middle + 1, F.lit(words)).alias("w"), F.xxhash64("doc_id").alias("o"))
+    rows = join_small(known, chosen, "doc_id").select(lang, F.split(F.trim(F.lower(F.col(text))), r"\s+").alias("w"), F.xxhash64("doc_id").alias("o"))
     picked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(lang).orderBy("o", "w"))).where(F.col("_n") <= texts)
     sample = sorted(picked.collect(), key=lambda r: (r[lang], r["_n"]))
     return train([(r[lang], list(r["w"])) for r in sample])
@@ -265,6 +260,13 @@ def _slices(batch: pd.DataFrame, characters: int = 2_000_000) -> Iterator[pd.Dat
             yield part
 
 
+def _with_ids(docs: DataFrame, text: str, work, fields: str) -> DataFrame:
+    """Run `work` over `(doc_id, _t)`. Ids pass as text, so that large ones beside nulls do not become floats."""
+    own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    found = own.mapInPandas(work, f"doc_id string, {fields}")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Per row: doc_id, lang_pred, score. The model (about 1 MB for four languages) is sent with the tasks."""
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -276,8 +278,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 found = tool.texts([words_of(t) for t in part["_t"]])
                 yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
 
-    own = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    return own.mapInPandas(work, "doc_id long, lang_pred string, score double")
+    return _with_ids(docs, text, work, "lang_pred string, score double")
 
 
 def label_words(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -302,8 +303,7 @@ def label_words(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                         at += size
                 yield pd.DataFrame({"doc_id": part["doc_id"], "words": out})
 
-    own = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    return own.mapInPandas(work, "doc_id long, words array<struct<word:string,lang:string,marginal:double>>")
+    return _with_ids(docs, text, work, "words array<struct<word:string,lang:string,marginal:double>>")
 
 
 def classify(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

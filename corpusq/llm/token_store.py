@@ -235,13 +235,15 @@ def lookup(store: Store, keys: DataFrame, records: str, work) -> DataFrame:
 
 
 def digest(key: int, none: bool, start: int, ids: np.ndarray) -> tuple:
-    """Place, length and checksum (over unsigned 32-bit integers) of a document's ids."""
-    return None if none else key, start, len(ids), zlib.crc32(ids.tobytes())
+    """Place, length and checksum (over unsigned 32-bit integers) of a document's ids. The key is text, for whole numbers
+    beside nulls would become floats."""
+    return None if none else str(key), start, len(ids), zlib.crc32(ids.tobytes())
 
 
 def read_digests(store: Store, keys: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens (with the end id), ids_crc32 of every document, read back by key."""
-    return lookup(store, keys, "doc_id long, start long, n_tokens long, ids_crc32 long", digest)
+    found = lookup(store, keys, "doc_id string, start long, n_tokens long, ids_crc32 long", digest)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def manifest_totals(store: Store) -> DataFrame:

@@ -10,10 +10,11 @@ def test_held_out_accuracy_and_edges(spark, make):
     rows = c.classify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert len(rows) > 100 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
     model = c.fit(docs)
-    odd = make([(1, None), (2, ""), (3, "123 ## !!"), (4, "the " * 30_000), (None, "die und der"), (4, "the"), (5, "x" * 100_000)])
+    odd = make([(1, None), (2, ""), (3, "123 ## !!"), (4, "the " * 30_000), (None, "die und der"), (4, "the"), (5, "x" * 100_000), (2**53 + 1, "nicht ein auf")])
     found = c.predict(odd, model).collect()
     assert [(r["lang_pred"], r["score"]) for r in found if r["doc_id"] in (1, 2, 3)] == [("und", 0.0)] * 3
     assert all(0 <= r["score"] <= 1 for r in found) and {r["lang_pred"] for r in found if r["doc_id"] is None} == {"de"}
+    assert 2**53 + 1 in {r["doc_id"] for r in found}
     mixed = make([(1, "the of and is that with from der die und ist nicht ein auf mit")])
     labelled = [(w["word"], w["lang"]) for w in c.label_words(mixed, model).first()["words"]]
     assert labelled[0] == ("the", "en") and labelled[-1] == ("mit", "de")

@@ -41,7 +41,7 @@ def test_joined_halves_equal_the_library(library):
                 assert b.concatenate(tool, parts).tolist() == expected
 
 
-CASES = [(1, None), (2, ""), (3, "plain text"), (3, "plain text"), (None, "null id"), (4, "word " * 9_000), (5, "a" * 40_000), (6, " x<|endoftext|> y"), (-7, "negative"), (None, "")]
+CASES = [(1, None), (2, ""), (3, "plain text"), (3, "plain text"), (None, "null id"), (4, "word " * 9_000), (5, "a" * 40_000), (6, " x<|endoftext|> y"), (-7, "negative"), (None, ""), (2**53 + 1, "large id")]
 
 
 def test_digests(make, library):
