@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import bpe_tree, credentials, decontaminate, hilbert, language_crf, licenses, quality_qda, quality_rules, simhash_vp, token_store
+from corpusq.llm import (
+    bpe_tree, conversation_trie, credentials, decontaminate, hilbert, language_crf, licenses, minhash_forest, quality_qda,
+    quality_rules, simhash_vp, token_alignment, token_store,
+)
 from corpusq.llm.common import read
 
 
@@ -57,6 +60,18 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.classify(read(spark, sf_dir, "documents"))
 
 
+def op11_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(read(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality_qda": op1_quality_qda,
     "op2_licenses": op2_licenses,
@@ -68,4 +83,7 @@ QUERIES = {
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_credentials": op9_credentials,
     "op10_language_crf": op10_language_crf,
+    "op11_minhash_forest": op11_minhash_forest,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_conversation_trie": op13_conversation_trie,
 }
