@@ -176,7 +176,7 @@ def _sliced(df: DataFrame, own: DataFrame, other: DataFrame, own_id: Sequence[st
     other side has in its cell."""
     both = own.select("cell", F.col("slices").alias("_own")).join(
         other.select("cell", F.col("slices").alias("_other")), "cell"
-    )
+    ).where("_own > 0 and _other > 0")  # a filter, so that partitions of other cells are pruned
     return (
         df.join(F.broadcast(both), "cell")  # one row per cell
         .withColumn(own_slice, F.pmod(F.xxhash64(*own_id), F.col("_own")).cast("int"))
@@ -209,17 +209,32 @@ def top_k_cells(
     asked = _narrow(questions, [question_id], embedding)
     # only pairs of ids are written; vectors join them where they are needed
     visits = materialize(asked.mapInArrow(visit, f"{question_id} bigint, cell int"), "visits")
+    sizes = spark.createDataFrame(
+        [(c, int(n)) for c, n in enumerate(cells.counts) if n], "cell int, n bigint"
+    )
+    return score_visits(
+        asked, visits, cells.assigned, sizes, keys, k, offset, metric, question_id, embedding, slice_rows
+    )
+
+
+def score_visits(
+    asked: DataFrame, visits: DataFrame, assigned: DataFrame, sizes: DataFrame, keys: Sequence[str], k: int, offset: int,
+    metric: str, question_id: str, embedding: str, slice_rows: int,
+) -> DataFrame:
+    """Score each question against the vectors of the cells it visits.
+
+    `visits (question_id, cell)` is stored; `assigned` holds keys, vector and cell, `sizes (cell, n)` one row per cell. Slices
+    bound both sides of every group. If `assigned` is partitioned by cell, cells that nobody visits are not read.
+    """
+    wanted = k + offset
 
     def slices(counts: DataFrame) -> DataFrame:
         return counts.select("cell", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"))
 
-    sizes = spark.createDataFrame(
-        [(c, int(n)) for c, n in enumerate(cells.counts) if n], "cell int, n bigint"
-    )
     vector_slices = slices(sizes)
     question_slices = slices(visits.groupBy("cell").agg(F.count("*").alias("n")))
     left = _sliced(visits.join(asked, question_id), question_slices, vector_slices, [question_id], "q_slice", "v_slice")
-    right = _sliced(cells.assigned, vector_slices, question_slices, keys, "v_slice", "q_slice")
+    right = _sliced(assigned, vector_slices, question_slices, keys, "v_slice", "q_slice")
 
     def score(asked: pa.Table, held: pa.Table) -> pa.Table:
         names = [question_id, *keys, "score"]
