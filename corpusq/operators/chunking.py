@@ -31,23 +31,42 @@ def _starts(items: Column, length: Column) -> Column:
     return F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), length))
 
 
+# Sentences of a block: groups are packed inside blocks, and a block hands on the words of its last group.
+_BLOCK = 128
+
+
 def word_groups(sents: Column, length: int) -> Column:
     """Whole sentences packed up to `length` words per group, in order. A
-    sentence with more words than that stands alone."""
-    start = F.struct(
-        F.array().cast("array<int>").alias("opens"), F.lit(0).alias("held"), F.lit(1).alias("pos")
-    )
+    sentence with more words than that stands alone.
+
+    Openings are gathered block by block, so a text costs time in proportion to its length: within a block a short list grows, and
+    between blocks only whole lists are put side by side.
+    """
 
-    def step(acc: Column, sentence: Column) -> Column:
-        def place(n: Column) -> Column:
-            fresh = (acc["pos"] == 1) | (acc["held"] + n > length)
+    def pack(counts: Column, at: Column, held: Column) -> Column:
+        """Openings among the sentences `at, at + 1, ..` after a group that holds `held` words (below zero: there is none)."""
+        start = F.struct(F.array().cast("array<int>").alias("opens"), held.alias("held"), at.alias("pos"))
+
+        def step(acc: Column, n: Column) -> Column:
+            fresh = (acc["held"] < 0) | (acc["held"] + n > length)
             return F.struct(
                 F.when(fresh, F.concat(acc["opens"], F.array(acc["pos"]))).otherwise(acc["opens"]).alias("opens"),
                 F.when(fresh, n).otherwise(acc["held"] + n).alias("held"),
                 (acc["pos"] + 1).alias("pos"),
             )
 
-        return let(F.size(words(sentence)), place)
+        return F.aggregate(counts, start, step)
+
+    def openings(counts: Column) -> Column:
+        start = F.struct(F.array().cast("array<array<int>>").alias("done"), F.lit(-1).alias("held"))
+
+        def step(acc: Column, at: Column) -> Column:
+            return let(pack(F.slice(counts, at, _BLOCK), at, acc["held"]), lambda block: F.struct(
+                F.concat(acc["done"], F.array(block["opens"])).alias("done"), block["held"].alias("held")
+            ))
+
+        starts = F.sequence(F.lit(1), F.greatest(F.size(counts), F.lit(1)), F.lit(_BLOCK))
+        return F.aggregate(starts, start, step, lambda acc: F.flatten(acc["done"]))
 
     def cut(s: Column) -> Column:
         def build(opens: Column) -> Column:
@@ -57,7 +76,7 @@ def word_groups(sents: Column, length: int) -> Column:
 
             return F.transform(opens, group)
 
-        return let(F.aggregate(s, start, step, lambda acc: acc["opens"]), build)
+        return let(let(F.transform(s, lambda x: F.size(words(x))), openings), build)
 
     return let(sents, cut)
 

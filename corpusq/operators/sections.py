@@ -29,14 +29,13 @@ def _marked(line: Column, i: Column) -> Column:
     return F.struct(i.alias("pos"), level.alias("level"), strip_equals(line).alias("name"))
 
 
-def _places(heads: Column) -> Column:
-    """Section and subsection in force after each heading. A new section leaves
-    the subsection as it was."""
-    start = F.struct(
-        F.lit(None).cast("string").alias("section"),
-        F.lit(None).cast("string").alias("subsection"),
-        F.array().cast(_PLACE).alias("done"),
-    )
+# Headings of a block: in a block places are carried one by one, between blocks by one summary each.
+_BLOCK = 128
+
+
+def _carried(heads: Column, section: Column, subsection: Column) -> Column:
+    """Section and subsection in force after each heading, from those in force before the first."""
+    start = F.struct(section.alias("section"), subsection.alias("subsection"), F.array().cast(_PLACE).alias("done"))
 
     def step(acc: Column, head: Column) -> Column:
         section = F.when(head["level"] == 1, head["name"]).otherwise(acc["section"])
@@ -51,6 +50,65 @@ def _places(heads: Column) -> Column:
     return F.aggregate(heads, start, step, lambda acc: acc["done"])
 
 
+def _places(heads: Column) -> Column:
+    """Section and subsection in force after each heading. A new section leaves
+    the subsection as it was.
+
+    What a block of headings does to the place is its last section and its last subsection, and this is associative: summaries of
+    blocks are carried forward first (again in blocks), then each block is filled from the place before it. So the cost of a
+    page is linear in its headings.
+    """
+
+    def last(block: Column, level: int) -> Column:
+        return F.try_element_at(F.filter(block, lambda h: h["level"] == level), F.lit(-1))["name"]
+
+    def blocks(items: Column) -> Column:
+        return F.transform(_starts(items), lambda i: F.slice(items, i, _BLOCK))
+
+    def summary(block: Column) -> Column:
+        return F.struct(last(block, 1).alias("section"), last(block, 2).alias("subsection"))
+
+    def before(sums: Column, enter: Column) -> Column:
+        """The place before each block, from the place before the first."""
+        start = F.struct(enter.alias("at"), F.array().cast(_PLACE).alias("done"))
+
+        def step(acc: Column, s: Column) -> Column:
+            return F.struct(_after(acc["at"], s).alias("at"), F.concat(acc["done"], F.array(acc["at"])).alias("done"))
+
+        return F.aggregate(sums, start, step, lambda acc: acc["done"])
+
+    def nowhere() -> Column:
+        return F.struct(F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("subsection"))
+
+    def over(sums: Column) -> Column:
+        """Places before blocks, themselves carried over blocks of blocks."""
+        outer = F.transform(
+            _starts(sums), lambda i: F.aggregate(F.slice(sums, i, _BLOCK), nowhere(), _after)
+        )
+        return let(before(outer, nowhere()), lambda enters: F.flatten(
+            F.transform(enters, lambda e, n: before(F.slice(sums, n * _BLOCK + 1, _BLOCK), e))
+        ))
+
+    def fill(parts: Column) -> Column:
+        return let(over(F.transform(parts, summary)), lambda enters: F.flatten(F.transform(
+            parts, lambda b, n: _carried(b, F.element_at(enters, n + 1)["section"], F.element_at(enters, n + 1)["subsection"])
+        )))
+
+    return let(blocks(heads), fill)
+
+
+def _starts(items: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(_BLOCK))
+
+
+def _after(place: Column, summary: Column) -> Column:
+    """The place after a block: a summary's null leaves it as it was."""
+    return F.struct(
+        F.coalesce(summary["section"], place["section"]).alias("section"),
+        F.coalesce(summary["subsection"], place["subsection"]).alias("subsection"),
+    )
+
+
 def _segments(lines: Column) -> Column:
     """Runs of body lines between headings, each with its place."""
     marks = F.transform(lines, _marked)

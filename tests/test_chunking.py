@@ -1,3 +1,5 @@
+import time
+
 import random
 import re
 
@@ -131,3 +133,15 @@ def test_row_ids_follow_the_order(spark):
 
 def test_row_ids_of_nothing(spark):
     assert with_row_id(spark.createDataFrame([], "k int"), ["k"]).count() == 0
+
+
+def test_packing_costs_time_in_proportion_to_the_text(spark):
+    def seconds(n):
+        page = spark.createDataFrame([(" ".join(f"w{i} a b c." for i in range(n)),)], "content string")
+        start = time.perf_counter()
+        rows = ch.chunk(page, split_by="word", split_length=6, max_tokens=None)
+        assert rows.count() == n and rows.where("tokens <> 4").isEmpty()
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(64_000) < 30 * max(0.3, seconds(8_000))  # quadratic: 64 times

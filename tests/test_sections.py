@@ -1,5 +1,9 @@
+import time
+
 import random
 
+from pyspark.sql import functions as F
+
 from corpusq.operators import sections as sec
 
 EXCLUDE = (" See also ", " References ", " External links ")
@@ -74,3 +78,16 @@ def test_revision_bounds_drop_pages_without_history(spark):
     revisions = spark.createDataFrame([(1, "2024-01-02"), (1, "2023-05-05")], "page_id int, ts string")
     found = sec.with_revision_times(pages, sec.revision_bounds(revisions)).collect()
     assert [tuple(r) for r in found] == [(1, "a", "2023-05-05", "2024-01-02")]
+
+
+def test_headings_cost_time_in_proportion(spark):
+    def seconds(n):
+        lines = [x for i in range(n) for x in (f"{'=' * (2 + i % 3 // 2)} h{i} {'=' * (2 + i % 3 // 2)}", f"body {i}")]
+        page = spark.createDataFrame([(1, "\n".join(lines))], "page_id long, content string")
+        start = time.perf_counter()
+        last = sec.parse_sections(page).orderBy(F.desc("section_no")).first()
+        assert last["section_no"] == n - 1 and last["section"].strip(" ") == f"h{max(i for i in range(n) if i % 3 < 2)}"
+        return time.perf_counter() - start
+
+    seconds(300)
+    assert seconds(64_000) < 20 * max(0.3, seconds(8_000))
