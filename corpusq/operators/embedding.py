@@ -48,6 +48,16 @@ def metadata_variant(df: DataFrame, metadata: str = "metadata") -> DataFrame:
     return df.withColumn(metadata, F.to_variant_object(F.col(metadata)))
 
 
+def open_metadata(df: DataFrame, columns: Sequence[str], name: str = "metadata") -> DataFrame:
+    """Add a `variant` that holds the columns a row has a value for, so rows may differ in their fields."""
+    return df.withColumn(name, F.parse_json(F.to_json(F.struct(*columns))))
+
+
+def variant_field(field: str, kind: str = "string", metadata: str = "metadata") -> Column:
+    """A field of `variant` metadata; null where a row does not have it or it is of another type."""
+    return F.try_variant_get(F.col(metadata), f"$.{field}", kind)
+
+
 def check_dimension(vectors: DataFrame, dim: int, embedding: str = "embedding") -> DataFrame:
     """Fail the job at a vector of another length, as a fixed-size field would."""
     wrong = F.concat(F.lit(f"expected {dim} values, found "), F.size(embedding).cast("string"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusq.operators.grams import GramIndex, candidates, texts_with_words
 from corpusq.operators.rowid import with_batches
-from corpusq.session import BROADCAST_ROWS, at_most, join_small, materialize
+from corpusq.session import at_most, join_small, materialize
 
 # Predicates of the graph, language and thresholds of the two searches.
 TYPE = "rdf:type"
@@ -35,28 +36,58 @@ def pattern(triples: DataFrame, predicate: str) -> DataFrame:
     return triples.where(F.col("p") == predicate)
 
 
-def concepts(triples: DataFrame) -> DataFrame:
-    return pattern(triples, TYPE).where(F.col("o") == CONCEPT).select(F.col("s").alias("id"))
+class Triples:
+    """Views of a plain table of triples `(s, p, o, lang)`. Keys are the names themselves.
 
+    The operators below take such a table, or a `triple_store.GraphStore` with the same views whose keys are numbers.
+    """
 
-def labels(triples: DataFrame) -> DataFrame:
-    return pattern(triples, LABEL).select(F.col("s").alias("id"), F.col("o").alias("label"), "lang")
+    grams: GramIndex | None = None
+
+    def __init__(self, triples: DataFrame):
+        self.triples, self.spark = triples, triples.sparkSession
+
+    def concepts(self) -> DataFrame:
+        return pattern(self.triples, TYPE).where(F.col("o") == CONCEPT).select(F.col("s").alias("id"))
+
+    def labels(self) -> DataFrame:
+        return pattern(self.triples, LABEL).select(F.col("s").alias("id"), F.col("o").alias("label"), "lang")
+
+    def broader(self) -> DataFrame:
+        return pattern(self.triples, BROADER).select(F.col("s").alias("child"), F.col("o").alias("parent"))
 
+    def subjects(self) -> DataFrame:
+        return pattern(self.triples, SUBJECT).select(F.col("s").alias("page"), F.col("o").alias("category"))
 
-def broader(triples: DataFrame) -> DataFrame:
-    return pattern(triples, BROADER).select(F.col("s").alias("child"), F.col("o").alias("parent"))
+    def page_urls(self) -> DataFrame:
+        return pattern(self.triples, TOPIC_OF).select(F.col("s").alias("page"), F.col("o").alias("page_url"))
 
+    def page_ids(self) -> DataFrame:
+        return pattern(self.triples, PAGE_ID).select(F.col("s").alias("page"), F.col("o").try_cast("bigint").alias("page_id"))
+
+    def named(self, df: DataFrame, key: str, term: str) -> DataFrame:
+        """Rows whose key's name contains the term; pushed to the files."""
+        return df.where(F.contains(F.col(key), F.lit(term)))
+
+    def encode(self, df: DataFrame, name: str) -> DataFrame:
+        """Names to keys; names that the graph does not have drop out or find nothing."""
+        return df
+
+    def decode(self, df: DataFrame, *names: str) -> DataFrame:
+        """Keys to names."""
+        return df
 
-def subjects(triples: DataFrame) -> DataFrame:
-    return pattern(triples, SUBJECT).select(F.col("s").alias("page"), F.col("o").alias("category"))
+    def restrict(self, edges: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+        """Rows of `edges` whose `column` is among the distinct `keys (column)`."""
+        return join_small(edges, keys, column)
 
 
-def page_urls(triples: DataFrame) -> DataFrame:
-    return pattern(triples, TOPIC_OF).select(F.col("s").alias("page"), F.col("o").alias("page_url"))
+def view(graph: DataFrame | Triples) -> Triples:
+    return Triples(graph) if isinstance(graph, DataFrame) else graph
 
 
-def page_ids(triples: DataFrame) -> DataFrame:
-    return pattern(triples, PAGE_ID).select(F.col("s").alias("page"), F.col("o").try_cast("bigint").alias("page_id"))
+def labels(triples: DataFrame) -> DataFrame:
+    return view(triples).labels()
 
 
 def inline(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -72,37 +103,40 @@ def without_stop_words(df: DataFrame, text: str, stop_words: DataFrame | None, l
     bind and is dropped whatever the list holds; without a list nothing is dropped.
 
     A short list, its length checked first, becomes part of the filter. A long
-    one is joined: every substring of the text that is as long as some stop
-    word is looked up in the list, so this is an equi-join too.
+    one is joined: each word is looked up by its rarest q-gram (see `grams`).
     """
+    return stop_word_filter(stop_words, literal_words)(df, text)
+
+
+def stop_word_filter(stop_words: DataFrame | None, literal_words: int = LITERAL_WORDS) -> Callable[[DataFrame, str], DataFrame]:
+    """`without_stop_words` for one list, to be used several times: the list is counted and read once."""
     if stop_words is None:
-        return df
-    df = df.where(F.col(text).isNotNull())
+        return lambda df, text: df
     wanted = stop_words.select(F.col(stop_words.columns[0]).alias("word")).where(F.col("word") != "").distinct()
     if at_most(wanted, literal_words):
-        keep = df
-        for row in sorted(wanted.collect()):
-            keep = keep.where(~F.contains(F.col(text), F.lit(row["word"])))
-        return keep
-    lengths = [r[0] for r in wanted.select(F.length("word")).distinct().collect()]  # at most the longest word
+        short = [row["word"] for row in sorted(wanted.collect())]
+
+        def filtered(df: DataFrame, text: str) -> DataFrame:
+            keep = df.where(F.col(text).isNotNull())
+            for word in short:
+                keep = keep.where(~F.contains(F.col(text), F.lit(word)))
+            return keep
+
+        return filtered
+    stored = materialize(wanted, "stop-words")
 
-    def pieces(n: int) -> Column:
-        """All substrings of `n` characters."""
-        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-        cut = F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
-        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+    def joined(df: DataFrame, text: str) -> DataFrame:
+        bound = df.where(F.col(text).isNotNull())
+        return bound.join(texts_with_words(bound.select(text), stored), text, "left_anti")
 
-    substrings = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in sorted(lengths)])))
-    texts = df.select(text).distinct()
-    hit = texts.select(text, F.explode(substrings).alias("word")).join(wanted, "word", "left_semi")
-    return df.join(hit.select(text).distinct(), text, "left_anti")
+    return joined
 
 
 # --- search -----------------------------------------------------------------
 
 
 def concept_search(
-    triples: DataFrame, term: str | None, mode: str = "id", stop_words: DataFrame | None = None,
+    triples: DataFrame | Triples, term: str | None, mode: str = "id", stop_words: DataFrame | None = None,
     min_children: int | None = None, lang: str = LANGUAGE,
 ) -> DataFrame:
     """Concepts with many narrower concepts: `(id, n)`, most first.
@@ -119,32 +153,35 @@ def concept_search(
     """
     if mode not in ("id", "label"):
         raise ValueError(f"mode must be 'id' or 'label', not {mode!r}")
-    named = labels(triples).where(F.col("lang") == lang)
-    edges = broader(triples)
-    types = concepts(triples)
+    g = view(triples)
+    named = g.labels().where(F.col("lang") == lang)
+    edges, types = g.broader(), g.concepts()
     if not term:
         named = named.where(F.lit(False))
-    elif mode == "id":
-        named = named.where(F.contains(F.col("id"), F.lit(term)))
-        edges = edges.where(F.contains(F.col("parent"), F.lit(term)))
-        types = types.where(F.contains(F.col("id"), F.lit(term)))
-    else:
-        named = without_stop_words(named.where(F.contains(F.col("label"), F.lit(term))), "label", stop_words)
-    children = edges.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("children"))
     if mode == "id":
-        per_concept = named.groupBy("id").agg(F.count("*").alias("names"))
         floor = MIN_CHILDREN_BY_ID if min_children is None else min_children
+        if term:
+            named, types, edges = g.named(named, "id", term), g.named(types, "id", term), g.named(edges, "parent", term)
+        per_concept = named.groupBy("id").agg(F.count("*").alias("names"))
     else:
-        per_label = named.groupBy("id", "label").agg(F.count("*").alias("names"))
-        per_concept = per_label.groupBy("id").agg(F.max("names").alias("names"))
         floor = MIN_CHILDREN_BY_LABEL if min_children is None else min_children
-    return (
+        if term:
+            near = candidates(g.grams, g.spark, term) if g.grams else None  # ids whose labels hold the term's rarest grams
+            if near is not None:
+                named = join_small(named, near, "id")
+            named = without_stop_words(named.where(F.contains(F.col("label"), F.lit(term))), "label", stop_words)
+        per_label = named.groupBy("id", "label").agg(F.count("*").alias("names"))
+        # the matched ids are stored, then only their edges are counted
+        per_concept = materialize(per_label.groupBy("id").agg(F.max("names").alias("names")), "matched")
+        edges = g.restrict(edges, "parent", per_concept.select(F.col("id").alias("parent")))
+    children = edges.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("children"))
+    found = (
         per_concept.join(children, "id")
         .join(types, "id")
         .select("id", (F.col("children") * F.col("names")).alias("n"))
         .where(F.col("n") > floor)
-        .orderBy(F.desc("n"), "id")
     )
+    return g.decode(found, "id").select("id", "n").orderBy(F.desc("n"), "id")
 
 
 def options(found: DataFrame, by_text: bool = False) -> DataFrame:
@@ -156,71 +193,87 @@ def options(found: DataFrame, by_text: bool = False) -> DataFrame:
 # --- expansion --------------------------------------------------------------
 
 
-def allowed_edges(triples: DataFrame, stop_words: DataFrame | None = None, lang: str = LANGUAGE) -> DataFrame:
-    """`(parent, child)` whose child has a label in the language without any
-    stop word. A triple is held once and labelled ids are made distinct, so the
-    pairs are distinct.
-
-    The distinct needs the same partitioning as the join. A semi join would be
-    pushed into the parts of a table of triples that is a union, and would read
-    the labels once for each of them.
-    """
-    named = without_stop_words(labels(triples).where(F.col("lang") == lang), "label", stop_words)
-    return broader(triples).join(named.select(F.col("id").alias("child")).distinct(), "child").select("parent", "child")
+def _allowed(g: Triples, children: DataFrame, clean: Callable[[DataFrame, str], DataFrame], lang: str) -> DataFrame:
+    """Of the distinct `children (child)` those with a label in the language without any stop word. Labels
+    are looked up for these children only."""
+    named = g.restrict(g.labels().where(F.col("lang") == lang).withColumnRenamed("id", "child"), "child", children)
+    return clean(named, "label").select("child").distinct()
 
 
 def narrower(
-    triples: DataFrame, parents: DataFrame, level: int = 0, stop_words: DataFrame | None = None
+    triples: DataFrame | Triples, parents: DataFrame, level: int = 0, stop_words: DataFrame | None = None, lang: str = LANGUAGE
+) -> DataFrame:
+    """Children of a table of categories: `(level, parent, child)`, distinct. Parents come first: only their edges and only their
+    children's labels are read further."""
+    g = view(triples)
+    wanted = g.encode(parents.select(F.col(parents.columns[0]).alias("parent")).distinct(), "parent")
+    edges = materialize(g.restrict(g.broader(), "parent", wanted).select("parent", "child"), "narrower")
+    allowed = _allowed(g, edges.select("child").distinct(), stop_word_filter(stop_words), lang)
+    found = edges.join(allowed, "child").select(F.lit(level).alias("level"), "parent", "child")
+    return g.decode(found, "parent", "child").select("level", "parent", "child")
+
+
+def _levels(
+    triples: DataFrame | Triples, roots: DataFrame, depth: int, stop_words: DataFrame | None, dedupe: bool, lang: str
+) -> DataFrame:
+    """`(level, category, paths)`. Each level joins the frontier's edges only, and adds up the ways to each child."""
+    g = view(triples)
+    spark, clean = g.spark, stop_word_filter(stop_words)
+    frontier = roots.select(F.col(roots.columns[0]).alias("category")).groupBy("category").agg(F.count("*").alias("paths"))
+    frontier = materialize(g.encode(frontier, "category"), "roots")
+    seen, levels = frontier.select("category"), []
+    for level in range(depth):
+        near = frontier.select(F.col("category").alias("parent"), "paths")
+        step = g.restrict(g.broader(), "parent", near).groupBy("child").agg(F.sum("paths").alias("paths"))
+        if dedupe:
+            step = step.join(seen.withColumnRenamed("category", "child"), "child", "left_anti")
+        step = materialize(step, "children")
+        allowed = _allowed(g, step.select("child"), clean, lang)
+        frontier = materialize(step.join(allowed, "child").select(F.col("child").alias("category"), "paths"), f"level{level}")
+        if frontier.isEmpty():
+            break
+        levels.append(frontier.select(F.lit(level).alias("level"), "category", "paths"))
+        seen = seen.unionByName(frontier.select("category")) if dedupe else seen
+    if not levels:
+        return spark.createDataFrame([], "level int, category string, paths bigint")
+    result = levels[0]
+    for more in levels[1:]:
+        result = result.unionByName(more)
+    return g.decode(result, "category").select("level", "category", "paths")
+
+
+def expand_paths(
+    triples: DataFrame | Triples, roots: DataFrame, depth: int, stop_words: DataFrame | None = None, lang: str = LANGUAGE
 ) -> DataFrame:
-    """Children of a table of categories: `(level, parent, child)`, distinct."""
-    wanted = parents.select(F.col(parents.columns[0]).alias("parent")).distinct()
-    edges = allowed_edges(triples, stop_words)
-    return join_small(edges, wanted, "parent").select(F.lit(level).alias("level"), "parent", "child")
+    """All categories below the roots by level with the number of ways that lead there: `(level, category, paths)`. Ways are added up
+    level by level, so a category costs one row however many ways there are."""
+    return _levels(triples, roots, depth, stop_words, False, lang)
 
 
 def expand(
-    triples: DataFrame, roots: DataFrame, depth: int, stop_words: DataFrame | None = None, dedupe: bool = True
+    triples: DataFrame | Triples, roots: DataFrame, depth: int, stop_words: DataFrame | None = None, dedupe: bool = True,
+    lang: str = LANGUAGE,
 ) -> DataFrame:
     """All categories below the roots, level by level: `(level, category)`.
 
     Level 0 holds the children of the roots. With `dedupe` a category is listed
     once, at its first level, and roots are never listed, so cycles end. Without
-    it every path counts, as when parents are asked one by one.
+    it every path counts, as when parents are asked one by one (`expand_paths` gives their number instead).
 
-    One join per level. Each level is written to the shared folder, so the plan
+    Each level reads the edges of its frontier and the labels of their children, and is written to the shared folder, so the plan
     does not grow and a lost executor costs no earlier level.
     """
-    spark = triples.sparkSession
-    edges = materialize(allowed_edges(triples, stop_words), "edges")
-    frontier = roots.select(F.col(roots.columns[0]).alias("category"))
+    found = _levels(triples, roots, depth, stop_words, dedupe, lang)
     if dedupe:
-        frontier = frontier.distinct()
-    seen, levels = frontier, []
-    rows = frontier.limit(BROADCAST_ROWS + 1).count()
-    for level in range(depth):
-        step = join_small(edges, frontier.withColumnRenamed("category", "parent"), "parent", small=rows <= BROADCAST_ROWS)
-        step = step.select(F.col("child").alias("category"))
-        if dedupe:
-            step = step.distinct().join(seen, "category", "left_anti")
-        frontier = materialize(step, f"level{level}")
-        rows = frontier.limit(BROADCAST_ROWS + 1).count()
-        if not rows:
-            break
-        levels.append(frontier.select(F.lit(level).alias("level"), "category"))
-        seen = seen.unionByName(frontier) if dedupe else seen
-    if not levels:
-        return spark.createDataFrame([], "level int, category string")
-    result = levels[0]
-    for more in levels[1:]:
-        result = result.unionByName(more)
-    return result
+        return found.select("level", "category")
+    return found.select("level", "category", F.explode(F.sequence(F.lit(1).cast("bigint"), "paths")).alias("_way")).drop("_way")
 
 
 # --- pages ------------------------------------------------------------------
 
 
 def category_pages(
-    triples: DataFrame, categories: DataFrame, per_batch: bool = False, batch_size: int = CATEGORIES_PER_BATCH,
+    triples: DataFrame | Triples, categories: DataFrame, per_batch: bool = False, batch_size: int = CATEGORIES_PER_BATCH,
     order_by: Sequence[str | Column] | None = None,
 ) -> DataFrame:
     """Pages of a table of categories: `(page_url, page_id)`.
@@ -232,11 +285,13 @@ def category_pages(
     Categories and pages meet first on the narrow subject pairs and are made
     distinct there, before urls are joined.
     """
+    g = view(triples)
     name = categories.columns[0]
     wanted = categories.select(F.col(name).alias("category"))
     batch: list[str] = []
     if per_batch:
         wanted = with_batches(wanted, order_by or ["category"], batch_size)
         batch = ["batch_id"]
-    found = join_small(subjects(triples), wanted.distinct(), "category").select(*batch, "page").distinct()
-    return found.join(page_urls(triples), "page").join(page_ids(triples), "page").select(*batch, "page_url", "page_id").distinct().drop(*batch)
+    wanted = g.encode(wanted.distinct(), "category")
+    found = g.restrict(g.subjects(), "category", wanted).select(*batch, "page").distinct()
+    return found.join(g.page_urls(), "page").join(g.page_ids(), "page").select(*batch, "page_url", "page_id").distinct().drop(*batch)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 
 from corpusq.operators.chunking import MAX_TOKENS, SENTENCES_PER_CHUNK, chunk
 from corpusq.operators.embedding import DIM, embed, with_metadata
-from corpusq.operators.graph import category_pages, expand
+from corpusq.operators.graph import Triples, category_pages, expand
 from corpusq.operators.sections import EXCLUDED_SECTIONS, parse_sections, with_revision_times
+from corpusq.session import join_small, materialize
 
 METADATA = (
     "page_url", "title", "creation_date", "section", "subsection", "page_id", "last_modified",
@@ -18,17 +19,17 @@ METADATA = (
 
 
 def selected_pages(
-    triples: DataFrame, roots: DataFrame, depth: int, contents: DataFrame, bounds: DataFrame,
-    stop_words: DataFrame | None = None,
+    triples: DataFrame | Triples, roots: DataFrame, depth: int, texts: DataFrame, bounds: DataFrame,
+    stop_words: DataFrame | None = None, prepare: Callable[[DataFrame], DataFrame] = lambda pages: pages,
 ) -> DataFrame:
     """Pages under the roots with text and revision times:
-    `(page_id, page_url, title, content, creation_date, last_modified)`.
+    `(page_id, page_url, creation_date, last_modified, title, content)`.
 
-    Ids are joined with revision times before the wide texts are, so a text is
-    moved once and only for pages that stay."""
+    Page ids are known and stored before any text is touched. Texts meet them as they lie, and what has to be
+    done to a text (`prepare`) is done for pages that stay."""
     categories = expand(triples, roots, depth, stop_words).select("category")
-    pages = category_pages(triples, categories)
-    return with_revision_times(pages, bounds).join(contents, "page_id")
+    pages = materialize(with_revision_times(category_pages(triples, categories), bounds), "page-ids")
+    return prepare(join_small(texts, pages, "page_id"))
 
 
 def sections(pages: DataFrame, exclude: Sequence[str] = EXCLUDED_SECTIONS) -> DataFrame:

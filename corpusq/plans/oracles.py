@@ -126,6 +126,34 @@ SELECT question_id, {shown} AS rank, id, round(score, 6) AS score FROM r WHERE {
 
 _TOP2 = _top(_COS, "rank", "DESC", "rank <= 2")
 
+# Cells whose centroids are the first sixteen vectors: each vector's cells in the order of nearness.
+_CELLS = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+near AS (
+  SELECT v.vec_id, c.vec_id AS cell,
+    row_number() OVER (PARTITION BY v.vec_id ORDER BY round(list_cosine_similarity(v.e, c.e), 9) DESC, c.vec_id) AS place
+  FROM v, v c WHERE c.vec_id < 16
+),
+scored AS (
+  SELECT a.vec_id AS question_id, b.vec_id AS id, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a, v b
+),
+exact AS (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 2
+)
+"""
+
+
+def _probed(n_probe: int) -> str:
+    return f"""
+probed AS (
+  SELECT s.*, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank
+  FROM scored s JOIN near p ON p.vec_id = s.question_id AND p.place <= {n_probe}
+  JOIN near h ON h.vec_id = s.id AND h.place = 1 AND h.cell = p.cell
+  QUALIFY rank <= 2
+)
+"""
+
+
 _NEXT = """
 WITH pairs AS (
   SELECT x.vec_id AS id, x.embedding::DOUBLE[] AS a, y.embedding::DOUBLE[] AS b
@@ -257,7 +285,10 @@ reached AS (
 _CLEAN_EDGES = "SELECT DISTINCT parent, child FROM broader WHERE child IN (SELECT id FROM clean_label)"
 _ALL_EDGES = "SELECT DISTINCT parent, child FROM broader WHERE child IN (SELECT id FROM label)"
 
-_BOUNDS = "SELECT user_id AS page_id, min(ts) AS creation_date, max(ts) AS last_modified FROM events GROUP BY user_id"
+_BOUNDS = (
+    "SELECT page_id, min(ts) AS creation_date, max(ts) AS last_modified FROM ("
+    "SELECT o_orderkey AS page_id, o_orderdate AS ts FROM orders UNION ALL SELECT l_orderkey, l_shipdate FROM lineitem) GROUP BY page_id"
+)
 
 _TURNS = """
 turns AS (
@@ -363,7 +394,83 @@ def _record(answer: str) -> str:
     return f"to_json({{'answer': {answer}, 'urls': urls, 'titles': titles}})::VARCHAR"
 
 
+_MARKUP_CHUNKS = f"""
+WITH {_sections(_MARKUP, 'title', LEFT_OUT)},
+cut AS (
+  SELECT *, {_count('content')} AS whole, {_sentences(_clean(_drop_numeric('content')))} AS sents FROM parsed
+),
+parts AS (
+  SELECT *, CASE WHEN whole <= 512 THEN [content] WHEN array_to_string(sents, ' ') = '' THEN []
+                 ELSE {_groups('sents', 6)} END AS parts FROM cut
+),
+rows AS (SELECT page_id, section_no, section, unnest(range(len(parts))) AS split_id, unnest(parts) AS split FROM parts)
+"""
+
 ORACLES = {
+    "vector_topk_cells": _CELLS.rstrip() + ", " + _probed(4) + "SELECT question_id, rank, id, round(score, 6) AS score FROM probed",
+    "vector_probe_recall": _CELLS.rstrip() + ", " + _probed(12) + """
+SELECT count(*) AS expected, count(p.id) AS found, round(count(p.id) / count(*), 6) AS recall
+FROM exact e LEFT JOIN probed p USING (question_id, id) WHERE question_id % 50 = 0
+""",
+    "vector_append_chunks": _MARKUP_CHUNKS + f"""
+SELECT page_id, section_no, split_id, section, {_count('split')} AS tokens,
+  CASE WHEN page_id % 3 <> 0 THEN 'first' ELSE 'second' END AS batch_id
+FROM rows
+""",
+    "vector_table_lifecycle": """
+SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS length, true AS dropped
+FROM embeddings
+""",
+    "json_array_roundtrip": f"WITH {_TURNS} SELECT conv_id, turn, question, reply AS answer FROM turns",
+    "text_files": """
+SELECT item_id, text || chr(10) AS content, CASE WHEN item_id = (SELECT min(item_id) FROM benchmark) THEN text || chr(10) END AS alone
+FROM benchmark
+""",
+    "rejected_rows": """
+SELECT 'text' AS kind, doc_id AS id, CASE doc_id % 10 WHEN 0 THEN 'no text' ELSE 'empty text' END AS reason
+FROM documents WHERE doc_id % 10 < 2
+UNION ALL
+SELECT 'response', event_id, CASE event_id % 10 WHEN 0 THEN 'not a revision response' ELSE 'no revisions for the page' END
+FROM events WHERE event_id % 10 < 2
+""",
+    "row_lookup": """
+SELECT doc_id, source, lang FROM documents WHERE doc_id = 7
+UNION ALL SELECT doc_id, NULL, lang FROM documents WHERE doc_id = 42
+""",
+    "metadata_variant": """
+SELECT doc_id, source, quality, toxic, NULL::VARCHAR AS absent FROM documents LEFT JOIN labels USING (doc_id)
+""",
+    "model_hooks": """
+SELECT conv_id, turn,
+  length(text) || ',' || (length(text) - length(replace(text, 'a', ''))) || ',' || (length(text) - length(replace(text, 'e', ''))) AS embedding,
+  (length(text) // 4)::INT AS tokens, CASE WHEN length(text) > 300 THEN 'long' ELSE 'short' END AS label,
+  substr(text, 1, 12) || '|7' AS generated
+FROM conversations
+""",
+    "evaluation_best": _HITS + """
+SELECT question_id, question, splits[1] AS answer_retreiver, splits[1] AS retreiver_answers12,
+  regexp_replace(coalesce(splits[1], ''), '^\\s+', '') AS qasystem_answers
+FROM asked
+""",
+    "concept_search_rare": f"""
+WITH {_GRAPH}, {_PART_WORDS},
+per_label AS (
+  SELECT c.id, l.label, count(*) AS n FROM concept c JOIN clean_label l ON l.id = c.id JOIN broader b ON b.parent = c.id
+  WHERE contains(l.label, 'ation') GROUP BY c.id, l.label HAVING count(*) > 2
+)
+SELECT id, max(n) AS n FROM per_label GROUP BY id
+""",
+    "empty_term": f"""
+WITH {_GRAPH}
+SELECT 'given' AS term, count(*) AS n FROM (
+  SELECT c.id FROM concept c JOIN label l ON l.id = c.id JOIN broader b ON b.parent = c.id GROUP BY c.id)
+UNION ALL SELECT 'empty', 0 UNION ALL SELECT 'null', 0
+""",
+    "inline_narrower": f"""
+WITH {_GRAPH}
+SELECT DISTINCT CASE parent WHEN 'Category:NATION_1' THEN 0 ELSE 1 END AS level, parent, child
+FROM broader JOIN label ON label.id = child WHERE parent IN ('Category:NATION_1', 'Category:NATION_2')
+""",
     "vector_top2": _TOP2,
     "vector_top2_blocks": _TOP2,
     "vector_top2_by_cells": _TOP2,
@@ -420,8 +527,10 @@ SELECT *, {_count('split')} AS tokens FROM rows
 """,
     "token_histogram": f"WITH {_CHUNKS}, {_histogram('SELECT tokens AS v FROM counted', _AUTO_BINS)}",
     "chunk_size_histogram": (
-        f"WITH {_SIZES}, "
-        + _histogram(f"SELECT split_length, {_count('split')} AS v FROM pieces", "20", "split_length")
+        f"WITH {_CHUNKS}, {_SIZES.replace('doc_cut', 'sent_cut')}, "
+        + _histogram(
+            f"SELECT split_length, {_count('split')} AS v FROM pieces UNION ALL SELECT 0, tokens FROM counted", "20", "split_length"
+        )
     ),
     "token_density": f"""
 WITH {_CHUNKS},

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from corpusq.functions import text as tx
 from corpusq.functions import vectors as vx
-from corpusq.functions.hooks import default_classify
-from corpusq.operators import answers, chunking, embedding, evaluation, graph, search
+from corpusq.functions.hooks import Sampling, default_classify, model_classify, model_embed, model_generate, model_tokens
+from corpusq.operators import answers, cell_index, chunking, embedding, evaluation, graph, search
 from corpusq.operators import sections as sec
 from corpusq.operators.rowid import with_batches, with_row_id
 from corpusq.plans import corpus, tables
 from corpusq.plans.evaluation import evaluate_bank
 from corpusq.session import materialize, scratch_path, spread
-from corpusq.sources import readers, sinks
+from corpusq.sources import readers, sinks, vector_table
 
 TOPIC = "Contamination"
 CELLS = 16
@@ -62,15 +62,28 @@ def vector_top2_by_cells(spark: SparkSession, sf: str) -> DataFrame:
     return search.top_k_cells(asked, cells, k=2).select("question_id", "rank", "id", *_rounded("score"))
 
 
-def vector_topk_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """The approximate search: the four nearest cells only."""
+def _cell_index(spark: SparkSession, sf: str) -> cell_index.CellIndex:
+    """A stored index whose cells are given: the first vectors of the table are the centroids."""
     held = tables.vectors(spark, sf)
-    asked = held.withColumnRenamed("id", "question_id")
-    cells = search.build_cells(held, CELLS)
-    found = search.top_k_cells(asked, cells, k=2, n_probe=4)
+    given = held.where(F.col("id") < CELLS).select(F.col("id").alias("cell"), F.col("embedding").alias("centroid"))
+    return cell_index.create_index(held, scratch_path(spark, "cell-index"), centroids=given)
+
+
+def vector_topk_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The approximate search on the stored index: the four nearest cells only."""
+    asked = tables.vectors(spark, sf).withColumnRenamed("id", "question_id")
+    found = cell_index.search_index(_cell_index(spark, sf), asked, k=2, n_probe=4)
     return found.select("question_id", "rank", "id", *_rounded("score"))
 
 
+def vector_probe_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of the exact hits that twelve cells of sixteen give, every fiftieth vector asked."""
+    held = tables.vectors(spark, sf)
+    asked = held.where(F.col("id") % 50 == 0).withColumnRenamed("id", "question_id")
+    found = cell_index.search_index(_cell_index(spark, sf), asked, k=2, n_probe=12)
+    return search.recall(found, search.top_k(asked, held, k=2)).select("expected", "found", *_rounded("recall"))
+
+
 def vector_distances(spark: SparkSession, sf: str) -> DataFrame:
     """Cosine, Manhattan and Euclidean distance of each vector to the next one."""
     a = tables.vectors(spark, sf)
@@ -141,8 +154,10 @@ def token_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_size_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    """Token counts for chunks of one to seven sentences, side by side."""
-    rows = chunking.chunk_sizes(_texts(spark, sf), range(1, 8))
+    """Token counts for chunks of one to seven sentences and, as size 0, of the final ones under the token limit, side by side."""
+    rows = chunking.chunk_sizes(_texts(spark, sf), range(1, 8)).select("split_length", "tokens")
+    final = chunking.chunk(_texts(spark, sf)).select(F.lit(0).alias("split_length"), "tokens")
+    rows = rows.unionByName(final)
     return evaluation.histogram(rows, "tokens", bins=20, by="split_length").select(
         "split_length", "bin", *_rounded("low", "high"), "n"
     )
@@ -174,8 +189,7 @@ def sections_from_web_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def revision_bounds(spark: SparkSession, sf: str) -> DataFrame:
     pages = tables.contents(spark, sf).select("page_id", "title")
-    bounds = sec.revision_bounds(tables.table(spark, sf, "events"), page="user_id")
-    return sec.with_revision_times(pages, bounds)
+    return sec.with_revision_times(pages, sec.revision_bounds(tables.revisions(spark, sf)))
 
 
 def _revision_responses(spark: SparkSession, sf: str) -> DataFrame:
@@ -207,17 +221,39 @@ def revision_row_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def concept_search_id(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.concept_search(tables.triples(spark, sf), "Category:")
+    return graph.concept_search(tables.graph_store(spark, sf), "Category:")
 
 
 def concept_search_label(spark: SparkSession, sf: str) -> DataFrame:
     words = tables.rare_words(spark, sf)
-    return graph.concept_search(tables.triples(spark, sf), "e", mode="label", stop_words=words)
+    return graph.concept_search(tables.graph_store(spark, sf), "e", mode="label", stop_words=words)
 
 
 
+def concept_search_rare(spark: SparkSession, sf: str) -> DataFrame:
+    """A longer term: only labels with its rarest grams are looked at."""
+    return graph.concept_search(tables.graph_store(spark, sf), "ation", mode="label", stop_words=tables.rare_words(spark, sf))
+
+
+def empty_term(spark: SparkSession, sf: str) -> DataFrame:
+    """How many concepts are found without a term, and with one."""
+    store = tables.graph_store(spark, sf)
+    counted = [
+        graph.concept_search(store, term, min_children=0).agg(F.count("*").alias("n")).select(F.lit(name).alias("term"), "n")
+        for name, term in (("empty", ""), ("null", None), ("given", "Category:"))
+    ]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+def inline_narrower(spark: SparkSession, sf: str) -> DataFrame:
+    """Children of categories that are given in the call, each with its level."""
+    given = graph.inline(spark, [("Category:NATION_1", 0), ("Category:NATION_2", 1), ("Category:none", 2)], "parent string, level int")
+    found = graph.narrower(tables.graph_store(spark, sf), given.select("parent")).drop("level")
+    return found.join(F.broadcast(given), "parent").select("level", "parent", "child")  # three rows
+
+
 def concept_options(spark: SparkSession, sf: str) -> DataFrame:
-    found = graph.concept_search(tables.triples(spark, sf), "Category:")
+    found = graph.concept_search(tables.graph_store(spark, sf), "Category:")
     return sinks.option_records(graph.options(found, by_text=True))
 
 
@@ -230,20 +266,19 @@ def stop_word_filter(spark: SparkSession, sf: str) -> DataFrame:
 def narrower(spark: SparkSession, sf: str) -> DataFrame:
     """Children of every nation."""
     nations = tables.table(spark, sf, "nation").select(F.concat(F.lit("Category:"), "n_name").alias("parent"))
-    found = graph.narrower(tables.triples(spark, sf), nations, 0, tables.rare_words(spark, sf))
+    found = graph.narrower(tables.graph_store(spark, sf), nations, 0, tables.rare_words(spark, sf))
     return found.withColumn("name", tx.after_last_colon(F.col("child")))
 
 
 def expand(spark: SparkSession, sf: str) -> DataFrame:
     found = graph.expand(
-        tables.triples(spark, sf), tables.roots(spark, sf), depth=4, stop_words=tables.rare_words(spark, sf)
+        tables.graph_store(spark, sf), tables.roots(spark, sf), depth=4, stop_words=tables.rare_words(spark, sf)
     )
     return found.withColumn("name", tx.category_name(F.col("category")))
 
 
 def expand_all_paths(spark: SparkSession, sf: str) -> DataFrame:
-    found = graph.expand(tables.triples(spark, sf), tables.roots(spark, sf), depth=3, dedupe=False)
-    return found.groupBy("level", "category").agg(F.count("*").alias("paths"))
+    return graph.expand_paths(tables.graph_store(spark, sf), tables.roots(spark, sf), depth=3)
 
 
 def _customers(spark: SparkSession, sf: str) -> DataFrame:
@@ -252,15 +287,15 @@ def _customers(spark: SparkSession, sf: str) -> DataFrame:
 
 def category_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of all categories two and three levels below the roots."""
-    found = graph.expand(tables.triples(spark, sf), tables.roots(spark, sf), depth=3)
-    return graph.category_pages(tables.triples(spark, sf), found.select("category"))
+    found = graph.expand(tables.graph_store(spark, sf), tables.roots(spark, sf), depth=3)
+    return graph.category_pages(tables.graph_store(spark, sf), found.select("category"))
 
 
 def category_pages_batched(spark: SparkSession, sf: str) -> DataFrame:
     parts = tables.table(spark, sf, "part").select(
         F.concat(F.lit("Category:Part "), F.col("p_partkey").cast("string")).alias("category")
     )
-    found = graph.category_pages(tables.triples(spark, sf), parts, per_batch=True)
+    found = graph.category_pages(tables.graph_store(spark, sf), parts, per_batch=True)
     return found.groupBy("page_url", "page_id").agg(F.count("*").alias("batches"))
 
 
@@ -299,8 +334,8 @@ def stopword_add_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 def _corpus_sections(spark: SparkSession, sf: str) -> DataFrame:
     pages = corpus.selected_pages(
-        tables.triples(spark, sf), tables.roots(spark, sf), 3, tables.contents(spark, sf),
-        sec.revision_bounds(tables.table(spark, sf, "events"), page="user_id"),
+        tables.graph_store(spark, sf), tables.roots(spark, sf), 3, tables.page_texts(spark, sf),
+        sec.revision_bounds(tables.revisions(spark, sf)), prepare=tables.marked,
     )
     return corpus.sections(pages, tables.LEFT_OUT)
 
@@ -352,6 +387,111 @@ def vector_append(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_vectors(spark, path).select("id", F.round(vx.norm(F.col("embedding")), 6).alias("length"))
 
 
+def vector_append_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of pages with repeated headings, loaded in two batches that overlap, the second one twice."""
+    path = scratch_path(spark, "chunk-vectors")
+    parsed = sec.parse_sections(tables.contents(spark, sf), exclude=tables.LEFT_OUT)
+    rows = embedding.embed(chunking.chunk(parsed).drop("content"), "split")
+    vector_table.load_batch(rows.where("page_id % 3 <> 0"), path, "first", buckets=8, dim=64)
+    for _ in range(2):
+        vector_table.load_batch(rows, path, "second", buckets=8, dim=64)
+    return vector_table.read_rows(spark, path).select("page_id", "section_no", "split_id", "section", "tokens", "batch_id")
+
+
+def vector_table_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    """A table made twice, filled, read and dropped."""
+    folder = scratch_path(spark, "tables")
+    database = "corpusq_" + folder.rpartition("-")[2]
+    name = f"{database}.vectors"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{folder}'")
+    for _ in range(2):
+        sinks.create_vector_table(spark, name)
+    tables.vectors(spark, sf).select("id", "embedding", F.lit("{}").alias("metadata")).write.insertInto(name)
+    held = materialize(readers.read_vectors(spark, name).select("id", F.round(vx.norm(F.col("embedding")), 6).alias("length")), "held")
+    sinks.drop_vector_table(spark, name)
+    gone = not spark.catalog.tableExists(name)
+    spark.sql(f"DROP DATABASE {database}")
+    return held.withColumn("dropped", F.lit(gone))
+
+
+def json_array_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The bank as record arrays, one file for fifty conversations."""
+    path = scratch_path(spark, "arrays")
+    bank = tables.turn_pairs(spark, sf).select("conv_id", "turn", "question", F.col("reply").alias("answer"))
+    sinks.write_records(bank, path, F.floor(F.col("conv_id") / 50))
+    return readers.read_records(spark, path, "conv_id bigint, turn bigint, " + readers.QUESTION_SCHEMA)
+
+
+def text_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as files of a folder, read whole; the first of them also by itself."""
+    path = scratch_path(spark, "texts")
+    sinks.write_texts(tables.table(spark, sf, "benchmark"), path, "item_id", "text")
+    number = F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("bigint")
+    every = readers.read_texts(spark, path).select(number.alias("item_id"), "content")
+    first = every.agg(F.min("item_id")).first()[0]
+    alone = readers.read_texts(spark, f"{path}/item_id={first}").select(number.alias("item_id"), F.col("content").alias("alone"))
+    return every.join(F.broadcast(alone), "item_id", "left")  # one row
+
+
+def rejected_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts and responses that give nothing, with the reason."""
+    kind = F.col("doc_id") % 10
+    text = F.when(kind == 1, F.lit(" \n ")).when(kind != 0, F.col("content"))
+    texts = chunking.rejected(_texts(spark, sf).withColumn("content", text)).select(F.lit("text").alias("kind"), F.col("doc_id").alias("id"), "reason")
+    responses = _revision_responses(spark, sf)
+    place = F.col("event_id") % 10
+    spoiled = F.when(place == 0, F.lit("<html>")).when(place == 1, F.lit('{"query":{"pages":{}}}')).otherwise(F.col("response"))
+    other = readers.rejected_responses(responses.withColumn("response", spoiled), "response")
+    return texts.unionByName(other.select(F.lit("response").alias("kind"), F.col("event_id").alias("id"), "reason"))
+
+
+def row_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Single rows and single cells by key."""
+    held = tables.table(spark, sf, "documents")
+    row = held.where(F.col("doc_id") == 7).select("doc_id", "source", "lang")
+    cell = held.where(F.col("doc_id") == 42).select("doc_id", F.lit(None).cast("string").alias("source"), "lang")
+    return row.unionByName(cell)
+
+
+def metadata_variant(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata whose fields differ from row to row, stored as a variant; only the asked fields are taken out."""
+    joined = tables.documents(spark, sf).join(tables.table(spark, sf, "labels"), "doc_id", "left")
+    built = embedding.open_metadata(joined, ["source", "lang", "quality", "toxic", "text"]).select("doc_id", "metadata")
+    held = materialize(built, "variants")
+    return held.select(
+        "doc_id", embedding.variant_field("source").alias("source"), embedding.variant_field("quality", "int").alias("quality"),
+        embedding.variant_field("toxic", "int").alias("toxic"), embedding.variant_field("absent").alias("absent"),
+    )
+
+
+def _text_lengths():
+    """A stand-in for a model: three numbers of a text."""
+    return lambda texts: [[float(len(t)), float(t.count("a")), float(t.count("e"))] for t in texts]
+
+
+def _quarters():
+    return lambda texts: [len(t) // 4 for t in texts]
+
+
+def _by_length():
+    return lambda texts: ["long" if len(t) > 300 else "short" for t in texts]
+
+
+def _first_characters():
+    return lambda prompts, max_tokens, top_k, **rest: [f"{p[:max_tokens]}|{top_k}" for p in prompts]
+
+
+def model_hooks(spark: SparkSession, sf: str) -> DataFrame:
+    """All four hooks with models of their own, each loaded once for each worker."""
+    text = F.col("text")
+    values = F.array_join(F.transform(model_embed(_text_lengths)(text), lambda x: x.cast("int").cast("string")), ",")
+    generate = model_generate(_first_characters, Sampling(max_tokens=12, top_k=7))
+    return tables.table(spark, sf, "conversations").select(
+        "conv_id", "turn", values.alias("embedding"), model_tokens(_quarters)(text).alias("tokens"),
+        model_classify(_by_length)(text).alias("label"), generate(text, F.lit("")).alias("generated"),
+    )
+
+
 def vector_append_plain(spark: SparkSession, sf: str) -> DataFrame:
     """Without a key a second run adds the rows again."""
     path = scratch_path(spark, "vectors")
@@ -401,6 +541,12 @@ def evaluation_run(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate_bank(tables.questions(spark, sf), found, TOPIC)
 
 
+def evaluation_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The best chunk alone as context, under the prompt that asks for help."""
+    template = answers.instruction_prompt("helpful")
+    return evaluate_bank(tables.questions(spark, sf), _retrieved(spark, sf), TOPIC, best_only=True, template=template)
+
+
 def prompt_build(spark: SparkSession, sf: str) -> DataFrame:
     pairs = tables.turn_pairs(spark, sf).withColumn("context", F.col("reply"))
     first = answers.with_prompt(pairs, TOPIC)
@@ -462,8 +608,9 @@ def question_label(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pair_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """User turn, reply, and the turn after the reply, as vectors."""
-    talk = embedding.embed(tables.table(spark, sf, "conversations"), "text").select("conv_id", "turn", "role", "embedding")
+    """User turn, reply, and the turn after the reply, as vectors. Turns are embedded once and stored for the joins."""
+    talk = embedding.embed(spread(tables.table(spark, sf, "conversations")), "text").select("conv_id", "turn", "role", "embedding")
+    talk = materialize(talk, "turn-vectors")
     asked = talk.where("role = 'user'").select("conv_id", "turn", F.col("embedding").alias("q"))
     a = talk.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("embedding").alias("a"))
     b = talk.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("embedding").alias("b"))
@@ -502,15 +649,16 @@ def row_counts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_top2, vector_top2_blocks, vector_top1_offset, vector_top2_l2, vector_top2_by_cells, vector_topk_cells, vector_distances,
+        vector_top2, vector_top2_blocks, vector_top1_offset, vector_top2_l2, vector_top2_by_cells, vector_topk_cells, vector_probe_recall, vector_distances,
         vector_predicate_scan, text_vectors, chunk_documents, chunk_documents_no_limit, chunk_words, numeric_lines,
         chunk_rows, token_histogram, chunk_size_histogram, token_density,
         token_density_by_rule, sections_from_markup,
         sections_from_web_pages, revision_bounds, revision_json, revision_row_bounds, concept_search_id,
-        concept_search_label, concept_options, stop_word_filter, narrower, expand,
+        concept_search_label, concept_search_rare, empty_term, concept_options, stop_word_filter, narrower, inline_narrower, expand,
         expand_all_paths, category_pages, category_pages_batched, category_batches, sparql_bindings,
-        stopword_add_delete, corpus_build, metadata_fill, csv_roundtrip, json_roundtrip, vector_append,
-        vector_append_plain, chunk_top2, retrieve_context, retrieve_best, retrieve_answers, evaluation_run,
+        stopword_add_delete, corpus_build, metadata_fill, metadata_variant, csv_roundtrip, json_roundtrip,
+        json_array_roundtrip, text_files, rejected_rows, row_lookup, model_hooks, vector_append, vector_append_chunks,
+        vector_table_lifecycle, vector_append_plain, chunk_top2, retrieve_context, retrieve_best, retrieve_answers, evaluation_run, evaluation_best,
         prompt_build, answer_extract, answer_display, legacy_metadata, question_label, pair_eval, score_stats,
         cosine_histogram, row_counts,
     )

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from corpusq.operators import graph
 from corpusq.operators.chunking import chunk
 from corpusq.operators.embedding import embed
-from corpusq.session import join_small, spread
+from corpusq.operators.triple_store import GraphStore, build_store
+from corpusq.session import join_small, scratch_path, spread
 from corpusq.sources.readers import stop_words
 
 SITE = "https://corpus.example/wiki/"
@@ -91,6 +92,25 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_TRIPLES, **{name: table(spark, sf_dir, name) for name in names})
 
 
+# Stores built so far in this process: (session, data folder) to store.
+_STORES: dict[tuple[str, str], GraphStore] = {}
+
+
+def graph_store(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The category graph as a stored graph, built once for a session and its data."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        _STORES[key] = build_store(triples(spark, sf_dir), scratch_path(spark, "graph"))
+    return _STORES[key]
+
+
+def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`(page_id, ts)`: a page changes when its order is placed and when its items are sent, so every page has revisions."""
+    placed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.col("o_orderdate").alias("ts"))
+    sent = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_shipdate").alias("ts"))
+    return placed.unionByName(sent)
+
+
 def _category(name: Column | str) -> Column:
     return F.concat(F.lit("Category:"), name)
 
@@ -132,6 +152,17 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`(page_id, title, content)` with the text as it lies; `marked` turns it into markup."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("page_id"), F.concat("source", F.lit(" "), "lang").alias("title"), F.col("text").alias("content")
+    )
+
+
+def marked(pages: DataFrame) -> DataFrame:
+    return spread(pages).withColumn("content", markup(F.col("content")))
+
+
 def web_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`(page_id, url, content)`: web pages turned into the same markup."""
     text = F.col("html")

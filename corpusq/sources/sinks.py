@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.operators.embedding import check_dimension
@@ -28,6 +28,19 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_records(df: DataFrame, path: str, group: Column) -> None:
+    """JSON record arrays: one file for each value of `group`, which holds as many rows as an array should."""
+    record = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    arrays = df.select(group.alias("_g"), record.alias("_r")).groupBy("_g").agg(F.sort_array(F.collect_list("_r")).alias("_r"))
+    text = F.concat(F.lit("["), F.array_join("_r", ",\n"), F.lit("]"))
+    arrays.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
+def write_texts(df: DataFrame, path: str, name: str, text: str) -> None:
+    """One file for each row, in a folder `name=value`."""
+    df.select(name, F.col(text).alias("value")).write.partitionBy(name).text(path)
+
+
 def create_vector_table(spark: SparkSession, name: str, metadata: str = "string") -> None:
     """Make the vector table if it is not there: key, vector, metadata."""
     spark.sql(

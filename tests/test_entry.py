@@ -16,7 +16,7 @@ CHECKED = (
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     core = {q for q in entry.queries() if q != "pipeline" and not re.match(r"op\d+_", q)}
-    assert core - set(entry.oracle_sql()) == {"vector_topk_cells"}
+    assert core - set(entry.oracle_sql()) == set()
 
 
 def plain(v):
