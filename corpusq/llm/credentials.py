@@ -18,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusq.llm.common import let
 from corpusq.session import join_small, materialize
 
 SCOPE = 200
 MARK = "[removed]"
+_PIECE = 1_024  # characters of the pieces that a text is cut into before stretches are taken out
 
 # The three strong kinds, in the order of results.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -107,9 +109,12 @@ def _linked(rows: DataFrame, scope: int) -> DataFrame:
 
 
 def _spans(rows: DataFrame, scope: int, *carried: str) -> DataFrame:
-    """One row per document row: its reported spans `(start, kind, end)` in order."""
-    span = F.struct(F.col("start").alias("start"), F.col("kind").alias("kind"), F.col("end").alias("end"))
-    return _linked(rows, scope).groupBy("_row").agg(
+    """One row per document row: its reported spans `(start, kind, end, reach)` in order, `reach` being the end of all text
+    that earlier spans cover."""
+    earlier = Window.partitionBy("_row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max(F.when(F.col("reported"), F.col("end"))).over(earlier), F.lit(0))
+    span = F.struct("start", "kind", "end", "reach")
+    return _linked(rows, scope).withColumn("reach", reach).groupBy("_row").agg(
         *[F.first(c).alias(c) for c in carried], F.sort_array(F.collect_list(F.when(F.col("reported"), span))).alias("spans")
     )
 
@@ -137,6 +142,26 @@ def find(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     return spans.select("doc_id", *counts, F.sha2(_named(strong), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"))
 
 
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """The text with its spans replaced by `mark`; spans that overlap give one mark. The text is first cut into pieces of equal
+    length in one pass, so that taking out a stretch costs its own length, not its place."""
+
+    def cut(pieces: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / F.lit(_PIECE)).cast("int")
+        last = F.floor((b - 1) / F.lit(_PIECE)).cast("int")
+        some = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+        return F.when(b > a, F.substring(some, (a - first * _PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+    def rebuilt(pieces: Column) -> Column:
+        kept = F.transform(
+            spans, lambda s: F.when(s["start"] >= s["reach"], F.concat(cut(pieces, s["reach"], s["start"]), F.lit(mark))).otherwise("")
+        )
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(kept, ""), cut(pieces, end, F.char_length(text).cast("long")))
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), rebuilt)
+
+
 def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE, mark: str = MARK, length: str | None = "n_chars") -> DataFrame:
     """All rows of `docs` with their columns; reported spans of the text are replaced by `mark`.
 
@@ -150,14 +175,7 @@ def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE, mark: str =
     some = held.where(F.size("_parts") > 0).select("_row", F.inline("_parts"))
     spans = _spans(some, scope).where(F.size("spans") > 0)
     back = join_small(held.select("_row", "_r"), materialize(spans, "spans"), "_row", "left")
-    ends = F.transform("spans", lambda s: s["end"])
-    # the end of all text covered by earlier spans
-    reach = F.transform("spans", lambda s, i: F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), F.lit(0)))
-    kept = F.zip_with(
-        "spans", reach, lambda s, r: F.when(s["start"] >= r, F.concat(F.substring(own, (r + 1).cast("int"), (s["start"] - r).cast("int")), F.lit(mark))).otherwise("")
-    )
-    tail = F.substring(own, (F.array_max(ends) + 1).cast("int"), F.char_length(own))
-    changed = F.when(F.col("spans").isNull(), F.col(f"_r.{text}")).otherwise(F.concat(F.array_join(kept, ""), tail))
+    changed = F.when(F.col("spans").isNull(), F.col(f"_r.{text}")).otherwise(_without(own, F.col("spans"), mark))
     out = back.withColumn("_new", changed)
     columns = []
     for c in names:

@@ -75,26 +75,32 @@ def quantised(values: DataFrame, dim: str, bits: int, rows: int) -> DataFrame:
 
 
 def place(docs: DataFrame, dims: Mapping[str, Column], ties: Sequence[Column], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """All columns of `docs` (pass narrow ones where texts are not needed) with `curve`, `shard` and `slot`.
+    """`_row` (all columns of `docs`; pass narrow ones where texts are not needed), `curve`, `shard` and `slot`.
 
-    `dims` names the dimensions, `ties` order rows of one cell.
+    `dims` names the dimensions, `ties` order rows of one cell. Rows are kept as one value, so their columns may have any names; equal
+    rows are numbered in the stored copy, so a task that runs again gives them the same places.
     """
-    own = docs.columns
-    held = materialize(docs.withColumns({f"_d_{k}": c for k, c in dims.items()}), "dims")
+    names = {k: f"_d{n}" for n, k in enumerate(dims)}
+    order = {f"_t{n}": c for n, c in enumerate(ties)}
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    held = materialize(docs.select(
+        row, *[c.alias(names[k]) for k, c in dims.items()], *[c.alias(t) for t, c in order.items()],
+        F.monotonically_increasing_id().alias("_tie"),
+    ), "dims")
     rows = held.count()
     out = held
-    for k in dims:  # one small join for each dimension
-        bins = materialize(quantised(held.select(f"_d_{k}"), f"_d_{k}", bits, rows), "bins").withColumnRenamed(f"_d_{k}", "_v")
-        out = join_small(out, bins, F.col(f"_d_{k}").eqNullSafe(F.col("_v"))).drop("_v", f"_d_{k}")
-    names = [f"_bin__d_{k}" for k in dims]
-    cells = out.select(*names).distinct().withColumn("curve", curve_index(F.array(*names), len(names), bits))
+    for d in names.values():  # one small join for each dimension
+        bins = materialize(quantised(held.select(d), d, bits, rows), "bins").withColumnRenamed(d, "_v")
+        out = join_small(out, bins, F.col(d).eqNullSafe(F.col("_v"))).drop("_v", d)
+    binned = [f"_bin_{d}" for d in names.values()]
+    cells = out.select(*binned).distinct().withColumn("_curve", curve_index(F.array(*binned), len(binned), bits))
     cells = materialize(cells, "cells")  # at most 2**(bits * dims) rows
-    curved = join_small(out, cells, names)
-    order = [F.col("curve"), *ties, F.col("_tie")]
-    ranked = with_order_number(curved.select(*own, "curve", F.monotonically_increasing_id().alias("_tie")), order, {}, "curve")
+    curved = join_small(out, cells, binned).select("_row", "_curve", *order, "_tie")
+    keys = [F.col("_curve"), *[F.col(t).asc_nulls_first() for t in order], F.col("_tie")]
+    ranked = with_order_number(curved, keys, {}, "curve")
     shard = F.floor(F.col("rank") * shards / F.lit(max(rows, 1))).cast("int")
     first = F.floor((shard.cast("long") * rows + shards - 1) / F.lit(shards)).cast("long")
-    return ranked.select(*own, "curve", shard.alias("shard"), (F.col("rank") - first).alias("slot"))
+    return ranked.select("_row", F.col("_curve").alias("curve"), shard.alias("shard"), (F.col("rank") - first).alias("slot"))
 
 
 def document_dims(text: str = "text") -> dict[str, Column]:
@@ -111,16 +117,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, tex
     t = F.coalesce(F.col(text), F.lit(""))
     narrow = docs.select("doc_id", F.col("source"), F.col("lang"), size(text).alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"))
     dims = {"source": F.col("source"), "lang": F.col("lang"), "size": F.col("size")}
-    placed = place(narrow, dims, [F.col("doc_id").asc_nulls_first(), F.col("text_crc32")], shards, bits)
+    placed = place(narrow, dims, [F.col("doc_id"), F.col("text_crc32")], shards, bits)
     return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        "_row.doc_id", "_row.size", "_row.text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "curve",
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS, text: str = "text") -> None:
-    """Write whole documents as Parquet, one folder for each shard, rows in curve order, so that the files' column
-    statistics prune by source, language and size."""
-    placed = place(docs, document_dims(text), [F.col("doc_id").asc_nulls_first()], shards, bits)
+    """Write whole documents as Parquet, one folder `_shard=n` for each shard, rows in curve order, so that the files' column
+    statistics prune by source, language and size. All columns of the documents are written, whatever their names."""
+    placed = place(docs, document_dims(text), [F.col("doc_id")], shards, bits)
     ordered = placed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
-    ordered.drop("curve").write.partitionBy("shard").parquet(path)
+    ordered.select("_row.*", F.col("shard").alias("_shard")).write.partitionBy("_shard").parquet(path)

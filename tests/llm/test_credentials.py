@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from corpusq.llm import credentials as c
 
@@ -21,14 +22,14 @@ def brute(text, scope=200):
             if kind != "weak_secret" or all(re.search(x, m[0]) for x in ("[0-9]", "[a-z]", "[A-Z]")):
                 found.append((kind, *m.span()))
 
-    def beside(s, *roles):
-        return any(ROLE[k] in roles and abs(a - s) <= scope for k, a, _ in found)
+    def beside(s, e, *roles):  # at most `scope` characters between the end of one part and the start of the other
+        return any(ROLE[k] in roles and (s - scope <= b if a <= s else a - e <= scope) for k, a, b in found)
 
     out = list(base)
     for k, a, b in found:
         if k in WEAK and not any(s <= a < e for _, s, e in base):
-            ok = {"weak_id": lambda: beside(a, "secret"), "weak_secret": lambda: beside(a, "id", "endpoint"),
-                  "endpoint": lambda: beside(a, "id") and beside(a, "secret")}[k]()
+            ok = {"weak_id": lambda: beside(a, b, "secret"), "weak_secret": lambda: beside(a, b, "id", "endpoint"),
+                  "endpoint": lambda: beside(a, b, "id") and beside(a, b, "secret")}[k]()
             if ok:
                 out.append((k, a, b))
     out.sort(key=lambda x: (x[1], ORDER.index(x[0])))
@@ -100,3 +101,15 @@ def test_scope_counts_from_end_to_start(make):
     assert "weak_id" in spans[4] and "weak_secret" in spans[4]
     redacted = {r["doc_id"]: r["text"] for r in c.redact(make(list(enumerate(texts)))).collect()}
     assert KEY not in redacted[0] and KEY not in redacted[1] and redacted[3] == texts[3]
+
+
+def test_many_spans_cost_time_in_proportion(make):
+    def seconds(n):
+        text = "é" + " ".join(f"token=abcdefgh{i:06d} word" for i in range(n))
+        start = time.perf_counter()
+        row = c.redact(make([(1, text)])).first()
+        assert row["text"] == "é" + " ".join([f"{c.MARK} word"] * n) and row["n_chars"] == len(row["text"])
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(50_000) < 20 * max(0.5, seconds(6_250))  # eight times as many spans
