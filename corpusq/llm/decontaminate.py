@@ -7,8 +7,9 @@ document's, and the diagonal is an overlap if some `WINDOW` consecutive words (o
 at most `SUBSTITUTED` places.
 
 Words are runs of letters and digits in lower case, so changed case, punctuation and marks between words hide nothing.
-Items with fewer than `SPAN` words have the whole item as their only seed and are reported where all their words stand in
-order: two replaced words would leave too little of them. Null and empty texts match nothing. Null ids
+The tolerance shrinks with the item: of `SHORT` to `SPAN - 1` words one may be replaced (their masks each ignore a third of the
+item), of fewer none (the whole item is their seed, and its first place in a text stands for all). A word that is missing at an
+edge of the text counts as replaced. Null and empty texts match nothing. Null ids
 are reported like others. Rows with the same id and item give one result row, the best. Empty tables give an empty result.
 Extra columns are passed over.
 """
@@ -23,6 +24,7 @@ from corpusq.session import join_small, materialize
 # Fixed values, found by enumeration: however `SUBSTITUTED` words are replaced in `WINDOW` words, some shift of the first mask
 # looks at none of them; so does the second for items of `SPAN` to `WINDOW - 1` words. The tests enumerate all cases.
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 2, 4))
+SHORT = 5
 SPAN = 11
 WINDOW = 13
 SUBSTITUTED = 2
@@ -34,41 +36,56 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(plain, " "), ""), lambda w: F.xxhash64(w))
 
 
-def _mask_of(size: Column) -> Column:
-    """Number of the mask of items of so many words; below zero for a whole item."""
-    return F.when(size >= WINDOW, 0).when(size >= SPAN, 1).otherwise(-size)
+def masks_of(size: int) -> dict[int, tuple[int, ...]]:
+    """The masks of items of so many words, by number: one for long items, three for short ones, the whole of the shortest."""
+    if size >= WINDOW:
+        return {0: MASKS[0]}
+    if size >= SPAN:
+        return {1: MASKS[1]}
+    if size >= SHORT:
+        return {10 * size + third: tuple(i for i in range(size) if 3 * i // size != third) for third in range(3)}
+    return {-size: tuple(range(size))}
 
 
-def _seed_rows(df: DataFrame, masks: list[int], *keys: str, only: Column | None = None) -> DataFrame:
-    """`keys`, `at` (word place) and `seed`, one row for each of `masks` and place; with `only`, for the mask of that number."""
+def _seed_rows(df: DataFrame, masks: dict[int, tuple[int, ...]], *keys: str, only: dict[int, Column] | None = None) -> DataFrame:
+    """`keys`, `at` (word place) and `seed`, one row for each of `masks` and place; with `only`, where a mask's condition holds."""
     h = F.col("h")
 
-    def masked(n: int) -> Column:
-        mask = MASKS[n] if n >= 0 else range(-n)
+    def masked(n: int, mask: tuple[int, ...]) -> Column:
         places = F.size(h) - mask[-1]
         seeds = F.transform(
             F.sequence(F.lit(0), places - 1),
             lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(n), *[F.get(h, i + k) for k in mask]).alias("seed")),
         )
-        wanted = places > 0 if only is None else (places > 0) & (only == n)
+        wanted = places > 0 if only is None else (places > 0) & only[n]
         return F.when(wanted, seeds).otherwise(F.array().cast("array<struct<at:int,seed:bigint>>"))
 
     if not masks:
         return df.select(*keys, F.lit(0).alias("at"), F.lit(0).cast("long").alias("seed")).limit(0)
-    return df.select(*keys, F.inline(F.concat(*[masked(n) for n in masks])))
+    return df.select(*keys, F.inline(F.concat(*[masked(n, mask) for n, mask in masks.items()])))
 
 
 def diagonals(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct `(_n, item, diagonal, size)` of rows numbered `_n` and items with at least one seed in common.
+    """Distinct `(_n, item, diagonal, size)` of rows numbered `_n` and items with at least one seed in common; of items
+    without tolerance the first place in a row only.
 
     The benchmark's seeds are broadcast if they are few enough; else the join shuffles seeds, and AQE splits
     frequent ones. Hits are made distinct per task before they are shuffled.
     """
-    kind = _mask_of(F.col("size"))
-    masks = sorted(r["n"] for r in items.select(kind.alias("n")).distinct().collect())  # documents need no others
-    asked = _seed_rows(items, masks, "item", "size", only=kind).withColumnRenamed("at", "item_at").distinct()
+    size = F.col("size")
+    sizes = items.select(F.least(size, F.lit(WINDOW)).alias("n")).distinct().collect()  # at most WINDOW numbers
+    masks: dict[int, tuple[int, ...]] = {}
+    only: dict[int, Column] = {}
+    for row in sorted(sizes):  # documents need no other masks
+        for n, mask in masks_of(row["n"]).items():
+            masks[n] = mask
+            here = size >= WINDOW if row["n"] >= WINDOW else size == row["n"]
+            only[n] = only[n] | here if n in only else here
+    asked = _seed_rows(items, masks, "item", "size", only=only).withColumnRenamed("at", "item_at").distinct()
     hits = join_small(_seed_rows(docs, masks, "_n"), materialize(asked, "seeds"), "seed")
-    return hits.select("_n", "item", (F.col("at") - F.col("item_at")).alias("diagonal"), "size").distinct()
+    place = F.col("at") - F.col("item_at")
+    kept = F.when(size >= SHORT, place)  # whole items: one place for each row
+    return hits.groupBy("_n", "item", "size", kept.alias("kept")).agg(F.min(place).alias("diagonal")).drop("kept")
 
 
 def _found(texts: DataFrame, benchmark: DataFrame, item_text: str) -> DataFrame:
@@ -98,7 +115,7 @@ def _found(texts: DataFrame, benchmark: DataFrame, item_text: str) -> DataFrame:
         "_n", "doc_id", "item_id", "doc_at", "item_words", wide.alias("wide"),
         F.aggregate("equal", F.lit(0), lambda a, x: a + x).alias("matched"), F.array_max(sums).alias("longest"),
     )
-    replaced = F.when(F.col("item_words") >= SPAN, SUBSTITUTED).otherwise(0)
+    replaced = F.when(F.col("item_words") >= SPAN, SUBSTITUTED).when(F.col("item_words") >= SHORT, 1).otherwise(0)
     return scored.where(F.col("longest") >= F.col("wide") - replaced)
 
 
