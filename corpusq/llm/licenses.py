@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusq.llm.common import let
+
 # Every known sentence, in every opening, holds one of these (tests/llm/test_licenses.py checks it), so a text without them has
 # none. Each is part of one word, or has what may stand between words: line breaks and marks.
 TRIGGERS = r"(?i)licen[sc]e|copyright|spdx|permission|redistribut|warrant|domain|reserved|software"
@@ -84,11 +86,20 @@ OPENING = (
 )
 BARE = (
     (OPENING, "licensed under "),
+    # clauses that only say where the licence stands, and choices without another name
+    (r" (?:please )?(?:see|refer to|as (?:found|stated|described|included) in|which can be found|a copy of which) .*$", ""),
+    (r" at your (?:option|choice)$", ""),
     (r"(?: only| or later| or (?:at your option )?any later version)$", ""),
     (r"(?<= )(?:version |v ?)(?=[0-9])", ""),
     (r"(?: international)?(?: public)? licen[sc]e$", ""),
     (r"( 4 0) international$", "$1"),
 )
+# Names in one grant, and licences in one SPDX expression, stand between these; `or later` belongs to its name.
+EITHER = r"^licensed under (?:either|any|one|both)(?: of)?(?: the following)? (?:the )?"
+BETWEEN = r" (?:and or|or|and)(?: under)?(?: the| an?)? (?!later\b|any later\b|at your\b)"
+SPDX_TAG = "spdx license identifier "
+SPDX_REST = r" with .*$"  # exceptions
+SPDX_LAST = r"(?: only| or later)$"
 # The GNU notices go on behind a colon.
 FREE = r"^this \p{L}+ is free software (?=you can redistribute it )"
 
@@ -116,6 +127,9 @@ def _gnu_names(short: str, name: str, version: str) -> tuple[str, ...]:
 NAMES: dict[str, tuple[str, ...]] = {
     "MIT": ("mit",), "ISC": ("isc",), "Unlicense": ("unlicense",), "CC0-1.0": ("cc0 1 0", "cc0 1 0 universal"),
     "Apache-2.0": ("apache license 2 0", "apache 2 0", "apache license 2", "apache 2", "apache software license 2 0"),
+    "BSL-1.0": ("boost software license 1 0", "boost software license", "boost 1 0"), "Zlib": ("zlib", "zlib libpng", "zlib png"),
+    "EPL-1.0": ("eclipse public license 1 0", "epl 1 0"), "EPL-2.0": ("eclipse public license 2 0", "epl 2 0"),
+    "Artistic-2.0": ("artistic license 2 0", "artistic 2 0"), "WTFPL": ("wtfpl",), "OFL-1.1": ("sil open font license 1 1", "open font license 1 1", "ofl 1 1"),
     "BSD": ("bsd",), "BSD-2-Clause": ("bsd 2 clause", "2 clause bsd"), "BSD-3-Clause": ("bsd 3 clause", "3 clause bsd"),
     **{_license_id(k, v): _gnu_names(k, name, v) for k, (name, versions) in GNU.items() for v in versions},
     "MPL-2.0": ("mozilla public license 2 0", "mpl 2 0"),
@@ -124,6 +138,14 @@ NAMES: dict[str, tuple[str, ...]] = {
         for k, v in CC.items()
     },
 }
+# Licences of SPDX tags.
+SPDX = (
+    "0BSD", "AFL-3.0", "AGPL-3.0", "Apache-1.1", "Apache-2.0", "Artistic-1.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause",
+    "BSD-4-Clause", "BSL-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0",
+    "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0",
+    "LGPL-2.1", "LGPL-3.0", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "NCSA", "OFL-1.1", "OpenSSL", "PHP-3.01", "PostgreSQL",
+    "Python-2.0", "Ruby", "Unlicense", "Vim", "W3C", "WTFPL", "X11", "Zlib", "ZPL-2.1",
+)
 GRANTS = {f"{licence}_{n}": licence for licence, names in NAMES.items() for n in range(len(names))}
 NOTICES = {f"notice_{k}_{v}".replace(" ", "_"): _license_id(k, v) for k, (_, versions) in GNU.items() for v in versions}
 
@@ -138,24 +160,25 @@ for _k, (_name, _versions) in GNU.items():
 
 # Sentences with a variable part: the pattern of the normalised sentence and the sentence's identifier.
 PATTERNS: dict[str, str] = {
-    "spdx_mit": "spdx license identifier mit",
-    "spdx_apache": "spdx license identifier apache 2 0",
-    "spdx_gpl3": "spdx license identifier gpl 3 0( only| or later)?",
-    "spdx_gpl2": "spdx license identifier gpl 2 0( only| or later)?",
-    "spdx_bsd": "spdx license identifier bsd [23] clause",
+    "bsd_endorse": (
+        "neither the names? of .{1,160} nor the names of (its|the|their) contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission"
+    ),
     "copyright": r"(\p{L}+ )?copyright( c)? [0-9]{4}( [0-9]{4})*( .*)?",
 }
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A licence and the sentence identifiers that, one after another, mean it."""
+    """A licence and the sentence identifiers that, one after another, mean it. A rule that was added later and is more specific than
+    others is tried `first` and keeps its number at the end."""
 
     license: str
     sentences: tuple[str, ...]
+    first: bool = False
 
 
-# Rules in the order in which they are tried.
+# Rules in the order in which they are tried, those marked `first` before all others.
 RULES: tuple[Rule, ...] = (
     Rule("Apache-2.0", ("apache_licensed_the", "apache_use", "apache_copy", "apache_as_is")),
     Rule("Apache-2.0", ("apache_licensed_the", "apache_use")),
@@ -168,20 +191,17 @@ RULES: tuple[Rule, ...] = (
     Rule("MIT", ("mit_grant",)),
     Rule("MIT", ("mit_title",)),
     Rule("MIT", ("mit_title_short",)),
-    Rule("MIT", ("spdx_mit",)),
     Rule("Apache-2.0", ("apache_licensed_the",)),
     Rule("Apache-2.0", ("apache_title",)),
-    Rule("Apache-2.0", ("spdx_apache",)),
     Rule("BSD", ("bsd_grant",)),
-    Rule("BSD", ("spdx_bsd",)),
-    Rule("GPL-3.0", ("spdx_gpl3",)),
-    Rule("GPL-2.0", ("spdx_gpl2",)),
     Rule("MPL-2.0", ("mpl2_subject",)),
     Rule("Unlicense", ("unlicense",)),
     Rule("CC0-1.0", ("cc0",)),
     *[Rule(licence, (name,)) for name, licence in (GRANTS | NOTICES).items()],
+    *[Rule(licence, (f"spdx_{licence}",)) for licence in SPDX],
     Rule("Proprietary", ("copyright", "all_rights")),
     Rule("Proprietary", ("all_rights",)),
+    Rule("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"), first=True),
 )
 
 # A full stop, question or exclamation mark or semicolon ends a sentence before white space, a colon at the end of a line;
@@ -194,31 +214,57 @@ LINE_END = STOP + r"|\n"
 def identifiers(text: Column, end: str, sentences: dict[str, str] = SENTENCES, patterns: dict[str, str] = PATTERNS) -> Column:
     """Array of the sentences' identifiers in order; `-` stands for an unknown sentence."""
     known = F.create_map(*[F.lit(x) for name, value in sentences.items() for x in (value, name)])
+    tags = F.create_map(*[F.lit(x) for licence in SPDX for x in (licence.lower().replace("-", " ").replace(".", " "), f"spdx_{licence}")])
 
     def plain(s: Column) -> Column:
         return F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
 
+    def shortened(s: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+        for pattern, by in rules:
+            s = F.regexp_replace(s, F.lit(pattern), F.lit(by))
+        return s
+
     def bare(s: Column) -> Column:
-        out = s
-        for pattern, by in BARE:
-            out = F.regexp_replace(out, F.lit(pattern), F.lit(by))
-        opened = F.contains(s, F.lit(" under ")) & F.regexp_like(s, F.lit(OPENING))
-        return F.when(opened, out).when(F.contains(s, F.lit("free software you")), F.regexp_replace(s, FREE, "")).otherwise(s)
+        return F.when(opened(s), shortened(s, BARE)).when(
+            F.contains(s, F.lit("free software you")), F.regexp_replace(s, FREE, "")
+        ).otherwise(s)
 
-    def named(s: Column) -> Column:
+    def opened(s: Column) -> Column:
+        return F.contains(s, F.lit(" under ")) & F.regexp_like(s, F.lit(OPENING))
+
+    def looked_up(s: Column) -> Column:
         found = F.try_element_at(known, bare(s))
         for name, pattern in patterns.items():
             found = F.coalesce(found, F.when(F.regexp_like(s, F.lit(f"^{pattern}$")), F.lit(name)))
-        return F.coalesce(found, F.lit("-"))
+        return found
+
+    def several(s: Column) -> Column:
+        """Identifiers of the names that one grant gives the choice of."""
+        grant = shortened(s, (*BARE[:3], (EITHER, "licensed under ")))
+        names = F.split(F.regexp_replace(grant, "^licensed under ", ""), BETWEEN)
+        return F.transform(names, lambda n: F.try_element_at(known, shortened(F.concat(F.lit("licensed under "), n), BARE)))
+
+    def tagged(s: Column) -> Column:
+        expression = F.regexp_replace(F.substring(s, len(SPDX_TAG) + 1, 10_000), SPDX_REST, "")
+        parts = F.split(expression, BETWEEN)
+        return F.transform(parts, lambda p: F.try_element_at(tags, F.regexp_replace(F.trim(p), SPDX_LAST, "")))
+
+    def named(s: Column) -> Column:
+        one = F.array(looked_up(s))
+        ids = F.when(F.startswith(s, F.lit(SPDX_TAG)), tagged(s)).when(
+            opened(s) & F.regexp_like(s, F.lit(BETWEEN)) & looked_up(s).isNull(), several(s)
+        ).otherwise(one)
+        return let(F.filter(ids, lambda x: x.isNotNull()), lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(F.lit("-"))))
 
     cut = F.filter(F.transform(F.split(text, end), plain), lambda s: (s != "") & ~F.regexp_like(s, F.lit("^[0-9]{1,2}$")))
-    return F.transform(cut, named)
+    return F.flatten(F.transform(cut, named))
 
 
 def apply_rules(ids: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Array of the numbers of all rules that match, in rule order, from an array of identifiers."""
     keyed = F.array(*[
-        F.struct(F.lit(n).alias("n"), F.lit(" " + "  ".join(r.sentences) + " ").alias("key")) for n, r in enumerate(rules)
+        F.struct(F.lit(n).alias("n"), F.lit(" " + "  ".join(r.sentences) + " ").alias("key"))
+        for n, r in sorted(enumerate(rules), key=lambda x: not x[1].first)
     ])
     start = F.struct(
         F.concat(F.lit(" "), F.array_join(ids, "  "), F.lit(" ")).alias("rest"), F.array().cast("array<int>").alias("found")

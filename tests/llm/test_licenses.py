@@ -44,7 +44,7 @@ def test_specific_rules_come_first_and_use_their_sentences(make):
 
 def test_rule_sentences_exist():
     for r in li.RULES:
-        assert set(r.sentences) <= set(li.SENTENCES) | set(li.PATTERNS)
+        assert set(r.sentences) <= set(li.SENTENCES) | set(li.PATTERNS) | {f"spdx_{x}" for x in li.SPDX}
 
 
 def test_empty_table(make):
@@ -131,3 +131,33 @@ def test_every_opening_with_every_name(make):
     assert not wrong
     bare = ["Licensed under no license.", "Released under water.", "Licensed under the GNU General Public License.", "See v. 2 of it."]
     assert {r["licenses"] for r in li.scan(make(list(enumerate(bare)))).collect()} == {""}
+
+
+COMMON = [
+    ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"),
+    ("This software is licensed under the MIT license, see LICENSE.", "MIT"),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "Apache-2.0,MIT"),
+    ("Dual work. Licensed under the MIT License or the GNU General Public License, version 3 or later.", "GPL-3.0,MIT"),
+    ("SPDX-License-Identifier: Apache-2.0 OR MIT", "Apache-2.0,MIT"), ("SPDX-License-Identifier: MPL-2.0", "MPL-2.0"),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"), ("// SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0)", "GPL-2.0"),
+    ("SPDX-License-Identifier: BSD-3-Clause AND (ISC OR Zlib)", "BSD-3-Clause,ISC,Zlib"), ("SPDX-License-Identifier: Nothing-1.0", ""),
+    ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("Released under the zlib license.", "Zlib"),
+    ("This program is made available under the terms of the Eclipse Public License 2.0", "EPL-2.0"),
+    ("Distributed under the Artistic License 2.0.", "Artistic-2.0"), ("Licensed under the GNU General Public License v3 or any later version.", "GPL-3.0"),
+    (BSD + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products\n"
+     "derived from this software without specific prior written permission.", "BSD-3-Clause"),
+    ("Released under pressure or under water.", ""), ("Licensed under state law and see the rules.", ""),
+]
+
+
+def test_common_notices(make):
+    found = li.scan(make([(i, t) for i, (t, _) in enumerate(COMMON)])).orderBy("doc_id").collect()
+    wrong = [(t, r["licenses"]) for (t, x), r in zip(COMMON, found) if r["licenses"] != x]
+    assert not wrong
+
+
+def test_nulls_beside_clashing_names(spark):
+    schema = "doc_id long, text string, licenses int, rules string, sentences string, status long"
+    rows = [(None, None, 1, "r", "s", 2), (1, "MIT License", None, None, None, None), (1, None, 1, "r", None, 3)]
+    found = li.scan(spark.createDataFrame(rows, schema)).collect()
+    assert Counter((r["doc_id"], r["licenses"], r["status"]) for r in found) == Counter([(None, "", "none"), (1, "MIT", "known"), (1, "", "none")])
