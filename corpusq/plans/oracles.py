@@ -681,6 +681,9 @@ SELECT question_id, question, coalesce(array_to_string(splits, '. '), '') AS con
     "retrieve_best": _HITS + "SELECT question_id, splits[1] AS best FROM asked",
     "retrieve_answers": _HITS + f"""
 SELECT question_id, {_record("' ' || coalesce(splits[1], '')")} AS record FROM asked
+""",
+    "retrieve_stored": _HITS + f"""
+SELECT question_id, {_record("' ' || coalesce(splits[1], '')")} AS record FROM asked
 """,
     "evaluation_run": _HITS + """
 SELECT question_id, question, coalesce(array_to_string(splits, '. '), '') AS answer_retreiver,

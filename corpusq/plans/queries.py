@@ -14,7 +14,7 @@ from corpusq.operators.rowid import with_batches, with_row_id
 from corpusq.plans import corpus, tables
 from corpusq.plans.evaluation import evaluate_bank
 from corpusq.session import materialize, scratch_path, spread
-from corpusq.sources import readers, sinks, vector_table
+from corpusq.sources import chunk_store, readers, sinks, vector_table
 
 TOPIC = "Contamination"
 CELLS = 16
@@ -536,6 +536,16 @@ def retrieve_answers(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.answer_records(answers.answer(_retrieved(spark, sf), TOPIC))
 
 
+def retrieve_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same answers from chunks at rest, vectors and texts in tables of equal buckets."""
+    path = scratch_path(spark, "chunk-store")
+    rows = embedding.embed(tables.document_chunks(spark, sf))
+    store = chunk_store.write_chunk_store(rows, "corpusq_" + path.rpartition("-")[2], path, DOC_KEYS)
+    found = materialize(chunk_store.retrieve_stored(tables.questions(spark, sf), store), "stored-answers")
+    chunk_store.drop_chunk_store(spark, store)
+    return sinks.answer_records(answers.answer(found, TOPIC))
+
+
 def evaluation_run(spark: SparkSession, sf: str) -> DataFrame:
     found = _retrieved(spark, sf, answers.EVALUATION_SEPARATOR)
     return evaluate_bank(tables.questions(spark, sf), found, TOPIC)
@@ -658,7 +668,7 @@ QUERIES = {
         expand_all_paths, category_pages, category_pages_batched, category_batches, sparql_bindings,
         stopword_add_delete, corpus_build, metadata_fill, metadata_variant, csv_roundtrip, json_roundtrip,
         json_array_roundtrip, text_files, rejected_rows, row_lookup, model_hooks, vector_append, vector_append_chunks,
-        vector_table_lifecycle, vector_append_plain, chunk_top2, retrieve_context, retrieve_best, retrieve_answers, evaluation_run, evaluation_best,
+        vector_table_lifecycle, vector_append_plain, chunk_top2, retrieve_context, retrieve_best, retrieve_answers, retrieve_stored, evaluation_run, evaluation_best,
         prompt_build, answer_extract, answer_display, legacy_metadata, question_label, pair_eval, score_stats,
         cosine_histogram, row_counts,
     )
