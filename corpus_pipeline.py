@@ -1,8 +1,9 @@
 """The training-data pipeline: quality rules, near duplicates, benchmark leaks, secrets, tokens.
 
 Every stage takes the rows its predecessor kept. The first three drop documents, the fourth replaces secrets in the
-texts, the last encodes what is left. A stage's scratch folders are released when the next stage begins, for by then its result has been
-written and reread.
+texts, the last encodes what is left. A stage's scratch folders are released when the next stage of the same run begins, for by then its
+result has been written and reread; a folder that the next stage's input still reads is kept. `run` has a list of its own, so runs
+beside each other do not meet.
 """
 
 from __future__ import annotations
@@ -17,22 +18,34 @@ from corpusq.llm.common import read
 from corpusq.session import materialize, release, scratch_scope, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_FINISHED: list[str] = []  # scratch of the stage before
+# Scratch of the stage before, where stages are called one by one: by session and data folder.
+_FINISHED: dict[tuple[str, str], list[str]] = {}
 
 
 def _stage(function: Stage) -> Stage:
     @wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, finished: list[str] | None = None) -> DataFrame:
         ship_package(spark)
-        release(_FINISHED)
+        if finished is None:
+            finished = _FINISHED.setdefault((spark.sparkContext.applicationId, sf_dir), [])
+        _release_unread(finished, docs)
         with scratch_scope() as paths:
             out = function(spark, docs, sf_dir)
-        _FINISHED.extend(paths)
+        finished.extend(paths)
         return out
 
     return run_stage
 
 
+def _release_unread(paths: list[str], docs: DataFrame) -> None:
+    """Release the folders that `docs` does not read; the others stay in the list."""
+    read = "\n".join(docs.inputFiles()) if paths else ""
+    names = {p: p.rpartition("/")[2] for p in paths}
+    kept = [p for p in paths if names[p] in read]
+    release([p for p in paths if names[p] not in read])
+    paths[:] = kept
+
+
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the strict policy keeps."""
@@ -78,9 +91,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held: list[str] = []
+    finished: list[str] = []  # of this run
     for name, stage in STAGES:
         with scratch_scope() as paths:
-            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            docs = materialize(stage(spark, docs, sf_dir, finished), f"pipeline-{name}")
         release(held)  # the copy that this stage has read
         held = [p for p in paths if f"/pipeline-{name}-" in p]
+    release(finished)
     return docs
