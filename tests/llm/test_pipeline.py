@@ -121,3 +121,17 @@ def test_no_documents(spark, tmp_path):
 def test_stages_follow_the_rules():
     assert quality_rules.STRICT.mask() & quality_rules.BASE.mask() == quality_rules.BASE.mask()
     assert [n for n, _ in cp.STAGES][0] == "quality_rules" and len(cp.STAGES) == 5
+
+
+def test_chained_stages_keep_what_is_still_read(spark, tmp_path):
+    """Two stages before any action, and a second run beside them: nobody's scratch is deleted while it is read."""
+    rows = [(i, f"plain words number {i} " + " ".join(f"w{i}x{k}" for k in range(30)), "en", "s", 9) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stored = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    first = cp.near_duplicates(spark, stored, str(tmp_path))
+    second = cp.leaks(spark, first, str(tmp_path))
+    third = cp.secrets(spark, second, str(tmp_path))
+    assert cp.run(spark, str(tmp_path)).count() == 6
+    assert third.count() == 6
