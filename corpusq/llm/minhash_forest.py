@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.llm.common import components
@@ -116,27 +116,30 @@ def _with_sets(docs: DataFrame, text: str, size: int, work, fields: str) -> Data
 
 def regions(entries: DataFrame, size: int = REGION) -> tuple[DataFrame, DataFrame]:
     """`(tree, region, e)` of entries that share a region with others, and the same at depth `FROM` where regions went deeper."""
-    rows = entries.select("e", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
-    path = F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
-    rows = rows.select("e", "tree", path.alias("path"))
+    def prefix(depth: int) -> Column:
+        """A region's key: the tree and the first values of the entry's order."""
+        return F.xxhash64("tree", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * depth))).alias("region")
+
+    every = entries.select("e", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
+    rows = every.select("e", "tree", prefix(FROM))  # only keys and numbers are moved
     found, wide = [], None
     for depth in range(FROM, DEPTH + 1, 2):
-        here = rows.withColumn("region", F.xxhash64("tree", F.substring("path", 1, 2 * depth)))
-        shared = here.groupBy("region").agg(F.count("*").alias("held")).where("held > 1")
-        here = materialize(here.join(shared, "region").select("tree", "region", "e", "path", "held"), "regions")
+        shared = rows.groupBy("region").agg(F.count("*").alias("held")).where("held > 1")
+        here = materialize(rows.join(shared, "region").select("tree", "region", "e", "held"), "regions")
         if wide is None:
-            wide = here.where(F.col("held") > size).select("tree", "region", "e", "held")
+            wide = here.where(F.col("held") > size)
         found.append(here.where(F.col("held") <= size).select("tree", "region", "e"))
-        rows = here.where(F.col("held") > size).select("e", "tree", "path")
-        if at_most(rows, 0):
+        large = here.where(F.col("held") > size)
+        if at_most(large, 0):
             break
+        rows = large.select("e", "tree").join(entries.select("e", "sig"), "e").select("e", "tree", prefix(depth + 2))
     else:  # equal in all values: any division will do
         part = F.pmod(F.xxhash64("e"), F.ceil(F.col("held") / size))
-        found.append(here.where(F.col("held") > size).select("tree", F.xxhash64("region", part).alias("region"), "e"))
-    every = found[0]
+        found.append(large.select("tree", F.xxhash64("region", part).alias("region"), "e"))
+    result = found[0]
     for more in found[1:]:
-        every = every.unionByName(more)
-    return every, wide
+        result = result.unionByName(more)
+    return result, wide
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -240,8 +243,9 @@ def _confirmed(near: DataFrame, rows: DataFrame, docs: DataFrame, text: str, siz
     dealt = rows.join(info, "e").repartition("group").sortWithinPartitions("group", "e")
     asked = materialize(dealt.mapInPandas(find, kept), "candidates")
     wanted = materialize(near.join(asked.select("e").distinct(), "e").select("e", "k1", "k2", "doc"), "wanted")
-    # whole sets are made anew for the candidates' documents only
-    some = docs.join(wanted.select(F.col("doc").alias("_doc")).distinct(), docs["doc_id"].cast("string").eqNullSafe(F.col("_doc")), "left_semi")
+    # whole sets are made anew for the candidates' documents only; texts stay where they lie if the ids are few enough
+    ids = materialize(wanted.select(F.col("doc").alias("_doc")).distinct(), "candidate-ids")
+    some = join_small(docs, ids, docs["doc_id"].cast("string").eqNullSafe(F.col("_doc")), "left_semi")
     sets = _with_sets(some, text, size, lambda i, s: (*_key(s), s.astype("<u8").tobytes()), "k1 long, k2 long, held binary")
     sets = sets.join(wanted.select("e", "k1", "k2"), ["k1", "k2"]).groupBy("e").agg(F.first("held").alias("held"))
     sets = materialize(sets, "sets")
