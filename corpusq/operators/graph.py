@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.operators.grams import GramIndex, candidates, texts_with_words
+from corpusq.operators.grams import Q, GramIndex, candidates, texts_with_words
 from corpusq.operators.rowid import with_batches
 from corpusq.session import at_most, join_small, materialize
 
@@ -166,7 +166,8 @@ def concept_search(
     else:
         floor = MIN_CHILDREN_BY_LABEL if min_children is None else min_children
         if term:
-            near = candidates(g.grams, g.spark, term) if g.grams else None  # ids whose labels hold the term's rarest grams
+            # ids whose labels hold the term's rarest grams
+            near = candidates(g.grams, g.spark, term) if len(term) >= Q and g.grams else None
             if near is not None:
                 named = join_small(named, near, "id")
             named = without_stop_words(named.where(F.contains(F.col("label"), F.lit(term))), "label", stop_words)

@@ -2,18 +2,20 @@
 
 A store is a folder with `terms (id, term)`, numbered in the order of the names, so that the one sorted table finds
 names by id and ids by name; `broader` and `subject` once sorted by subject and once by object; `labels`, `concepts` and
-page tables sorted by id; and the q-grams of the labels. Joins along the graph move longs; names are joined to results only.
+page tables sorted by id. Joins along the graph move longs; names are joined to results only.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.operators.grams import GramIndex, create_gram_index
 from corpusq.operators.graph import BROADER, CONCEPT, LABEL, PAGE_ID, SUBJECT, TOPIC_OF, TYPE, Triples
 from corpusq.operators.rowid import with_row_id
-from corpusq.session import join_small, materialize
+from corpusq.session import join_small, materialize, scratch_path
 
 # Keys that are put into the file filter as literals, so that files and row groups without them are not read.
 LITERAL_KEYS = 500
@@ -24,10 +26,10 @@ def _sorted(df: DataFrame, path: str, *by: str) -> None:
     df.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
 
 
-def build_store(triples: DataFrame, path: str) -> GraphStore:
+def build_store(triples: DataFrame, path: str, by_subject: bool = True) -> GraphStore:
     """Write a store of `triples (s, p, o, lang)` to the folder `path`.
 
-    The dictionary is numbered by one range sort of the distinct names. All subjects are encoded in one join, the objects
+    `by_subject=False` leaves out the second sort order of the edges, which only `parents` and `categories` read. The dictionary is numbered by one range sort of the distinct names. All subjects are encoded in one join, the objects
     of edges in a second one.
     """
     spark = triples.sparkSession
@@ -42,14 +44,14 @@ def build_store(triples: DataFrame, path: str) -> GraphStore:
     edges = materialize(numbered.where(edge).join(objects, "o").select("p", "sid", "oid"), "edges")
     for name, predicate in (("broader", BROADER), ("subject", SUBJECT)):
         own = edges.where(F.col("p") == predicate).select("sid", "oid")
-        _sorted(own, f"{path}/{name}/by_subject", "sid", "oid")
         _sorted(own, f"{path}/{name}/by_object", "oid", "sid")
+        if by_subject:
+            _sorted(own, f"{path}/{name}/by_subject", "sid", "oid")
     _sorted(numbered.where((F.col("p") == TYPE) & (F.col("o") == CONCEPT)).select("sid"), f"{path}/concepts", "sid")
     _sorted(numbered.where(F.col("p") == LABEL).select("sid", F.col("o").alias("label"), "lang"), f"{path}/labels", "sid")
     _sorted(numbered.where(F.col("p") == TOPIC_OF).select("sid", F.col("o").alias("url")), f"{path}/urls", "sid")
     pages = numbered.where(F.col("p") == PAGE_ID).select("sid", F.col("o").try_cast("bigint").alias("page_id"))
     _sorted(pages, f"{path}/page_ids", "sid")
-    create_gram_index(spark.read.parquet(f"{path}/labels").select(F.col("sid").alias("id"), "label"), f"{path}/grams")
     return GraphStore(spark, path)
 
 
@@ -58,7 +60,11 @@ class GraphStore(Triples):
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.grams = GramIndex(f"{path}/grams")
+
+    @cached_property
+    def grams(self) -> GramIndex:
+        """Postings of the labels' q-grams, written when a search first asks for them."""
+        return create_gram_index(self.labels(), scratch_path(self.spark, "grams"))
 
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")

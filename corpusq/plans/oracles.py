@@ -567,6 +567,14 @@ FROM events GROUP BY user_id
 SELECT user_id AS page_id, min(date_trunc('day', ts))::TIMESTAMP AS creation_date,
   max(date_trunc('second', ts)) AS last_modified
 FROM events GROUP BY user_id
+""",
+    "graph_store": f"""
+WITH {_GRAPH}
+SELECT 'terms' AS name, count(*) AS n FROM (SELECT id FROM concept UNION SELECT 'Order_' || page_id FROM page)
+UNION ALL SELECT 'concepts', count(*) FROM concept
+UNION ALL SELECT 'labels', (SELECT count(*) FROM label) + (SELECT count(*) FROM nation)
+UNION ALL SELECT 'broader', count(*) FROM broader UNION ALL SELECT 'subject', count(*) FROM subject
+UNION ALL SELECT 'urls', count(*) FROM page UNION ALL SELECT 'page_ids', count(*) FROM page
 """,
     "concept_search_id": f"""
 WITH {_GRAPH}

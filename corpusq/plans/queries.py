@@ -220,6 +220,20 @@ def revision_row_bounds(spark: SparkSession, sf: str) -> DataFrame:
 # --- graph ------------------------------------------------------------------
 
 
+def graph_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored graph: rows of its tables. The other graph queries read the store that is there."""
+    store = tables.graph_store(spark, sf)
+    parts = {
+        "terms": store.terms(), "concepts": store.concepts(), "labels": store.labels(), "broader": store.broader(),
+        "subject": store.subjects(), "urls": store.page_urls(), "page_ids": store.page_ids(),
+    }
+    counted = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in parts.items()]
+    result = counted[0]
+    for more in counted[1:]:
+        result = result.unionByName(more)
+    return result
+
+
 def concept_search_id(spark: SparkSession, sf: str) -> DataFrame:
     return graph.concept_search(tables.graph_store(spark, sf), "Category:")
 
@@ -663,7 +677,7 @@ QUERIES = {
         vector_predicate_scan, text_vectors, chunk_documents, chunk_documents_no_limit, chunk_words, numeric_lines,
         chunk_rows, token_histogram, chunk_size_histogram, token_density,
         token_density_by_rule, sections_from_markup,
-        sections_from_web_pages, revision_bounds, revision_json, revision_row_bounds, concept_search_id,
+        sections_from_web_pages, revision_bounds, revision_json, revision_row_bounds, graph_store, concept_search_id,
         concept_search_label, concept_search_rare, empty_term, concept_options, stop_word_filter, narrower, inline_narrower, expand,
         expand_all_paths, category_pages, category_pages_batched, category_batches, sparql_bindings,
         stopword_add_delete, corpus_build, metadata_fill, metadata_variant, csv_roundtrip, json_roundtrip,

@@ -100,7 +100,7 @@ def graph_store(spark: SparkSession, sf_dir: str) -> GraphStore:
     """The category graph as a stored graph, built once for a session and its data."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
-        _STORES[key] = build_store(triples(spark, sf_dir), scratch_path(spark, "graph"))
+        _STORES[key] = build_store(triples(spark, sf_dir), scratch_path(spark, "graph"), by_subject=False)
     return _STORES[key]
 
 
