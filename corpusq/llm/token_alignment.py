@@ -5,7 +5,7 @@ space itself. Where tokens of both end, the bytes are cut into groups; every A t
 token of it. The count of an id pair is the number of documents that hold it linked.
 
 1. Each task encodes its documents. A text is cut at places where both tokenizers split whatever stands around, and each different
-   part is aligned once and remembered. Records (pair, document, links) gather until a run is full, are
+   part is encoded once and remembered. Records (pair, document, links) gather until a run is full, are
    radix-partitioned by the A id, sorted side-major (by A id, then B id) and spilled as zstd runs to the shared folder.
 2. The directories of the runs (pairs and how many documents of the run hold them) are merged by a k-way heap merge, `FAN_IN`
    runs at a time, until each radix part has one sorted list of pairs with their counts. All pairs of an A id lie side
@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +43,11 @@ RUN_DOCS = 65_535  # and its documents: their numbers take 16 bits
 PARTS = 64  # radix parts
 FAN_IN = 64  # runs merged at once
 GROUP = 128  # runs that share one copy of a part's counts when contributions are sent back
-CACHE = 200_000  # parts of texts that a worker remembers
+CACHE = 400_000  # parts of texts whose tokens a worker remembers
 _CACHED_LENGTH = 64
+_TOGETHER = 2_000  # parts encoded in one call
+_LARGE = 1 << 20  # links of a group that are not laid out one by one
+_DOC_BITS = 40  # of a pair; the number of the text in its batch stands above
 _BLOCK = 8_192  # pairs of a run that the merge holds at once
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 _ODD = re.compile(r"[^\S \n][ \n]")  # other white space before a space: no place to cut
@@ -68,8 +71,29 @@ def piece_model(path: str | None = None) -> bytes:
         return f.read()
 
 
+_TOOLS: dict[tuple[int, int, int], Aligner] = {}
+
+
+def aligner(config: str, model: bytes, cache: int = CACHE) -> Aligner:
+    """One aligner for each worker process."""
+    key = (hash(config), hash(model), cache)
+    if key not in _TOOLS:
+        _TOOLS[key] = Aligner(config, model, cache)
+    return _TOOLS[key]
+
+
+class Aligned:
+    """What a text gives: numbers of tokens, groups and links, the digest of the groups, distinct pairs and links of each."""
+
+    __slots__ = ("digest", "links", "n_a", "n_b", "n_groups", "n_links", "pairs")
+
+    def __init__(self, n_a: int, n_b: int, n_groups: int, n_links: int, digest: str, pairs: np.ndarray, links: np.ndarray):
+        self.n_a, self.n_b, self.n_groups, self.n_links = n_a, n_b, n_groups, n_links
+        self.digest, self.pairs, self.links = digest, pairs, links
+
+
 class Aligner:
-    """Both tokenizers with the byte lengths of their tokens, and the parts of texts aligned so far."""
+    """Both tokenizers with the bytes of their tokens, and the tokens of parts met so far."""
 
     def __init__(self, config: str, model: bytes, cache: int = CACHE):
         import os
@@ -91,73 +115,118 @@ class Aligner:
         self.b_bytes = [
             bytes([int(m[1], 16)]) if (m := _BYTE.match(p)) else p.replace("▁", " ").encode() for p in pieces
         ]
+        self.a_length = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
+        self.b_length = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
         # places to cut: no piece goes from a visible character to a space or holds a line break
         self.cuts = not any(re.search(r"[^▁]▁|\n", p) for p in pieces)
-        self.cache: dict[str, tuple | None] = {}
+        # how a token is shown inside its side of a group and at the side's end
+        ends = (("", len(names)), ("", len(names)), ("", self.width), ("", self.width))
+        marks = (",", "|", ",", ";")
+        self.shown = [f"{i}{mark}" for (_, n), mark in zip(ends, marks) for i in range(n)]
+        self.cache: dict[str, tuple[bytes, bytes]] = {}
         self.room = cache
 
     def units(self, text: str) -> list[str]:
         """Parts between places where both tokenizers split: a visible character before a space or line break."""
         return [text] if not self.cuts or _ODD.search(text) else _UNIT.findall(text)
 
-    def align(self, a: list[int], b: list[int], raw: bytes) -> tuple | None:
-        """`(n_a, n_b, n_groups, n_links, groups as text, pairs, links of each pair)`; None if the bytes differ."""
-        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-            return None
-        links: Counter[int] = Counter()
-        shown, i, j, first, other, end_a, end_b = [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            if end_a <= end_b:
-                end_a += len(self.a_bytes[a[i]])
-                i += 1
-            while end_b < end_a:
-                end_b += len(self.b_bytes[b[j]])
-                j += 1
-            if end_a == end_b:
-                left, right = a[first:i], b[other:j]
-                if len(left) == len(right) == 1:
-                    links[left[0] * self.width + right[0]] += 1
-                else:
-                    n_right = Counter(right)
-                    for x, n in Counter(left).items():
-                        for y, m in n_right.items():
-                            links[x * self.width + y] += n * m
-                shown.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-                first, other = i, j
-        pairs = np.fromiter(links, dtype=np.uint64, count=len(links))
-        sizes = np.fromiter(links.values(), dtype=np.int64, count=len(links))
-        return len(a), len(b), len(shown), int(sizes.sum()), ";".join(shown), pairs, sizes
-
-    def documents(self, texts: list[str | None]) -> Iterator[tuple | None]:
-        """For each text what `align` gives for the whole of it; None for texts without tokens."""
+    def _tokens(self, parts: list[str]) -> Iterator[tuple[str, tuple[bytes, bytes]]]:
+        """New parts with their ids of both sides. Parts that start with a space and end visibly are encoded together: both
+        tokenizers split between them, and byte lengths tell which tokens are whose."""
+        joined = [p for p in parts if p[0] == " " and not p[-1].isspace() and "▁" not in p] if self.cuts else []
+        for at in range(0, len(joined), _TOGETHER):
+            some = joined[at : at + _TOGETHER]
+            text = "".join(some)
+            edges = np.cumsum(np.fromiter((len(p.encode()) for p in some), dtype=np.int64, count=len(some)))
+            sides = []
+            ids_of = (self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:], num_threads=1))
+            for ids, length in zip(ids_of, (self.a_length, self.b_length)):
+                held = np.array(ids, dtype="<u4")
+                places = (4 * np.searchsorted(np.cumsum(length[held]), edges, "right")).tolist()
+                raw = held.tobytes()
+                sides.append([raw[a:b] for a, b in zip([0, *places], places)])
+            yield from zip(some, zip(*sides))
+        together = set(joined)
+        alone = [p for p in parts if p not in together]
+        a = [e.ids for e in self.a.encode_batch_fast(alone, add_special_tokens=False)]
+        # B adds a space: it stands for the part's own first space, or is the first token before a line break
+        b = self.b.encode([p[1:] if p[0] == " " else p for p in alone], num_threads=1)
+        for p, x, y in zip(alone, a, b):
+            yield p, (array("I", x).tobytes(), array("I", y if p[0] == " " else y[1:]).tobytes())
+
+    def documents(self, texts: list[str | None]) -> list[Aligned | None]:
+        """What each whole text gives; None for texts without tokens."""
         cut = [self.units(f" {t}") if t else [] for t in texts]
         new = list({u for units in cut for u in units}.difference(self.cache))
-        a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        # B adds a space: it stands for the part's own first space, or is the first token before a line break
-        b = self.b.encode([u[1:] if u[0] == " " else u for u in new], num_threads=1)
-        found = {
-            u: self.align(x, y if u[0] == " " else y[1:], u.encode()) for u, x, y in zip(new, a, b)
-        }
-        if len(self.cache) + len(found) > self.room:
-            self.cache = {}
-        self.cache.update((u, v) for u, v in found.items() if len(u) <= _CACHED_LENGTH)
-        for units in cut:
-            parts = [found[u] if u in found else self.cache[u] if u in self.cache else self._again(u) for u in units]
-            yield None if not parts or any(p is None for p in parts) else _joined(parts)
-
-    def _again(self, unit: str) -> tuple | None:
-        """A part that was dropped from the full cache just now."""
-        ids = self.a.encode(unit, add_special_tokens=False).ids
-        other = self.b.encode(unit[1:] if unit[0] == " " else unit)
-        return self.align(ids, other if unit[0] == " " else other[1:], unit.encode())
-
-
-def _joined(parts: list[tuple]) -> tuple:
-    n_a, n_b, n_groups, n_links, shown, pairs, sizes = zip(*parts)
-    keys, place = np.unique(np.concatenate(pairs), return_inverse=True)
-    held = np.zeros(len(keys), dtype=np.int64)
-    np.add.at(held, place, np.concatenate(sizes))
-    return sum(n_a), sum(n_b), sum(n_groups), sum(n_links), ";".join(shown), keys, held
+        found = dict(self._tokens(new))
+        cache = self.cache
+        room = self.room - len(cache)
+        keep = [u for u in new if len(u) <= _CACHED_LENGTH][: max(0, room)]
+        held = found | cache if len(cache) < len(found) else None
+        get = held.__getitem__ if held is not None else lambda u: cache[u] if u in cache else found[u]
+        sides, kept = [], []
+        for n, (text, units) in enumerate(zip(texts, cut)):
+            if not units:
+                continue
+            parts = [get(u) for u in units]
+            a, b = (np.frombuffer(b"".join([p[k] for p in parts]), dtype="<u4") for k in range(2))
+            raw = f" {text}".encode()
+            if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, b.tolist())):
+                sides.append((a, b))
+                kept.append(n)
+        cache.update((u, found[u]) for u in keep)
+        out: list[Aligned | None] = [None] * len(texts)
+        if kept:
+            for n, aligned in zip(kept, self.align(sides)):
+                out[n] = aligned
+        return out
+
+    def align(self, sides: list[tuple[np.ndarray, np.ndarray]]) -> list[Aligned]:
+        """Groups and links of texts given as ids of both sides. Texts are laid end to end: a text's end is an end of both."""
+        a, b = (np.concatenate([s[k] for s in sides]).astype(np.int64) for k in range(2))
+        n_a, n_b = (np.array([len(s[k]) for s in sides], dtype=np.int64) for k in range(2))
+        ends_a, ends_b = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
+        size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        first_b = last_b + 1 - size_b
+        doc = np.searchsorted(np.cumsum(n_a) - 1, last_a)  # the text of each group
+        groups = np.bincount(doc, minlength=len(sides))
+        n_links = np.zeros(len(sides), dtype=np.int64)
+        np.add.at(n_links, doc, size_a * size_b)
+        # the groups as text: tokens of both sides in the order of groups, each with the mark that follows it
+        of_a, of_b = np.repeat(np.arange(len(common)), size_a), np.repeat(np.arange(len(common)), size_b)
+        codes = np.empty(len(a) + len(b), dtype=np.int64)
+        index_a, index_b = np.arange(len(a)), np.arange(len(b))
+        codes[index_a + first_b[of_a]] = a + len(self.a_bytes) * (index_a == last_a[of_a])
+        codes[index_b + last_a[of_b] + 1] = b + 2 * len(self.a_bytes) + self.width * (index_b == last_b[of_b])
+        shown, ends = list(map(self.shown.__getitem__, codes.tolist())), np.cumsum(n_a + n_b).tolist()
+        digests = [hashlib.sha256("".join(shown[x:y])[:-1].encode()).hexdigest() for x, y in zip([0, *ends], ends)]
+        # links: each A token with every B token of its group; very large groups by how often each id is in them
+        large = size_a * size_b > _LARGE
+        some = ~large[of_a]
+        times = size_b[of_a][some]
+        start = np.cumsum(times) - times
+        place = np.arange(int(times.sum())) - np.repeat(start, times) + np.repeat(first_b[of_a][some], times)
+        keys = [(np.repeat(doc[of_a][some], times) << _DOC_BITS) | (np.repeat(a[some], times) * self.width + b[place])]
+        weights = [np.ones(len(keys[0]), dtype=np.int64)]
+        for g in np.flatnonzero(large):
+            x, n = np.unique(a[last_a[g] + 1 - size_a[g] : last_a[g] + 1], return_counts=True)
+            y, m = np.unique(b[first_b[g] : last_b[g] + 1], return_counts=True)
+            keys.append((int(doc[g]) << _DOC_BITS) | (x[:, None] * self.width + y[None, :]).ravel())
+            weights.append((n[:, None] * m[None, :]).ravel())
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        if len(keys) == 1:
+            links = np.bincount(place, minlength=len(distinct))
+        else:
+            links = np.zeros(len(distinct), dtype=np.int64)
+            np.add.at(links, place, np.concatenate(weights))
+        edges = np.searchsorted(distinct, np.arange(len(sides) + 1) << _DOC_BITS).tolist()
+        pairs = (distinct & ((1 << _DOC_BITS) - 1)).astype(np.uint64)
+        return [
+            Aligned(int(n_a[n]), int(n_b[n]), int(groups[n]), int(n_links[n]), digests[n], pairs[x:y], links[x:y])
+            for n, (x, y) in enumerate(zip(edges, edges[1:]))
+        ]
 
 
 # --- runs -------------------------------------------------------------------
@@ -183,17 +252,13 @@ class Run:
         self.pairs: list[np.ndarray] = []
         self.links: list[np.ndarray] = []
 
-    def add(self, doc_id: str | None, found: tuple | None) -> None:
-        at = len(self.rows)
-        if found is None:
-            self.rows.append((self.number, -1, at, doc_id, 0, 0, 0, 0, "", None, None, None))
-            found = (0, 0, 0, 0, "", np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
-        else:
-            digest = hashlib.sha256(found[4].encode()).hexdigest()
-            self.rows.append((self.number, -1, at, doc_id, *found[:4], digest, None, None, None))
-        self.pairs.append(found[5])
-        self.links.append(found[6])
-        self.size += len(found[5])
+    def add(self, doc_id: str | None, found: Aligned | None) -> None:
+        found = found or _NOTHING
+        values = (found.n_a, found.n_b, found.n_groups, found.n_links, found.digest)
+        self.rows.append((self.number, -1, len(self.rows), doc_id, *values, None, None, None))
+        self.pairs.append(found.pairs)
+        self.links.append(found.links)
+        self.size += len(found.pairs)
 
     def spilled(self, parts: int, width: int) -> Iterator[tuple]:
         """One row for each radix part: its pairs in side-major order, how many documents hold each, and their records."""
@@ -211,6 +276,9 @@ class Run:
                 yield (self.number, n, None, None, None, None, None, None, None, _packed(own, "<u8"), _packed(counts, "<i8"), body)
 
 
+_NOTHING = Aligned(0, 0, 0, 0, "", np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
+
+
 def _records(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     size = int.from_bytes(body[:8], "little")
     return _unpacked(body[8 : 8 + size], "<u2"), _unpacked(body[8 + size :], "<i8")
@@ -260,7 +328,7 @@ def spill(
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in _SPILLED.split(", ")]
-        tool = Aligner(config, model)
+        tool = aligner(config, model)
         base = TaskContext.get().partitionId() << 32
         run = Run(base)
 

@@ -81,14 +81,30 @@ def test_empty_table_and_ids_of_other_types(make):
     assert sorted((r["doc_id"], r["n_a"]) for r in ta.align(named).collect()) == [("x1", 2), ("x2", 0)]
 
 
-def test_no_cut_changes_the_tokens():
-    tool = ta.Aligner(bpe_tree.tokenizer_json(), ta.piece_model(), cache=40)
+@pytest.mark.parametrize("cache,together", [(40, 3), (10_000, 2_000)])
+def test_no_cut_changes_the_tokens(monkeypatch, cache, together):
+    monkeypatch.setattr(ta, "_TOGETHER", together)
+    tool = ta.Aligner(bpe_tree.tokenizer_json(), ta.piece_model(), cache=cache)
     assert tool.cuts
     texts = [t for _, t in rows() if t and "▁" not in t]
-    for text, found in zip(texts, tool.documents(texts)):
-        whole = tool.align(tool.a.encode(" " + text, add_special_tokens=False).ids, tool.b.encode(text), (" " + text).encode())
-        assert found[:5] == whole[:5]
-        assert dict(zip(found[5].tolist(), found[6].tolist())) == dict(zip(whole[5].tolist(), whole[6].tolist()))
+    for again in range(2):
+        for text, found in zip(texts, tool.documents(texts)):
+            ids = tool.a.encode(" " + text, add_special_tokens=False).ids, tool.b.encode(text)
+            whole = tool.align([tuple(np.array(x, dtype="<u4") for x in ids)])[0]
+            assert (found.n_a, found.n_b, found.n_groups, found.n_links, found.digest) == (whole.n_a, whole.n_b, whole.n_groups, whole.n_links, whole.digest)
+            assert found.pairs.tolist() == whole.pairs.tolist() and found.links.tolist() == whole.links.tolist()
+    assert len(tool.cache) <= cache
+
+
+def test_large_groups_are_counted_alike(monkeypatch):
+    tool = ta.Aligner(bpe_tree.tokenizer_json(), ta.piece_model())
+    texts = [t for _, t in rows() if t]
+    plain = tool.documents(texts)
+    monkeypatch.setattr(ta, "_LARGE", 1)
+    for one, two in zip(plain, tool.documents(texts)):
+        assert (one is None) == (two is None)
+        if one:
+            assert one.pairs.tolist() == two.pairs.tolist() and one.links.tolist() == two.links.tolist() and one.digest == two.digest
 
 
 def test_merge_equals_counting():
