@@ -83,3 +83,25 @@ def test_quantiles_count_every_value_as_often_as_it_occurs(spark):
     counts = spark.createDataFrame(rows, "value double, n bigint").repartition(3)
     shares = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
     assert np.allclose(ev.weighted_quantiles(counts, shares), np.quantile(values, shares))
+
+
+def test_density_on_a_grid_keeps_its_bound(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    values = rnd.normal(size=500).round(6).tolist()
+    points, h = [-2.0, -0.5, 0.0, 1.3], 0.4
+    exact = {p: float(np.exp(-(((p - np.array(values)) / h) ** 2) / 2).sum() / (len(values) * h * math.sqrt(2 * math.pi))) for p in points}
+    sizes = []
+    real = ev.materialize
+    monkeypatch.setattr(ev, "materialize", lambda df, name: sizes.append(real(df, name)) or sizes[-1])
+    for grid in (64, 1_024):
+        found = {r["point"]: r["density"] for r in ev.density(column(spark, values), "v", points, h, grid).collect()}
+        step = (max(values) - min(values)) / grid
+        assert max(abs(found[p] - exact[p]) for p in points) <= step**2 / (20 * h**3)
+    assert all(s.count() <= len(values) for s in sizes)  # no row for each value and point
+
+
+def test_variance_does_not_cancel(spark):
+    far = [1e9 + x for x in (0.0, 1.0, 2.0, 3.0)]
+    near = ev.density(column(spark, [0.0, 1.0, 2.0, 3.0]), "v", 3).collect()
+    moved = ev.density(column(spark, far), "v", 3).collect()
+    assert [r["density"] for r in moved] == pytest.approx([r["density"] for r in near], rel=1e-4)
