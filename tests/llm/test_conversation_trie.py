@@ -77,3 +77,8 @@ def test_long_end_lists_are_streamed(spark, monkeypatch):
     ended = spark.range(5_000).selectExpr("cast(id % 2 as bigint) as k", "9000 - id as conv_id")
     expected = {k: hashlib.sha256(",".join(str(i) for i in range(4_001, 9_001) if (9000 - i) % 2 == k).encode()).hexdigest() for k in (0, 1)}
     assert {r["k"]: r["ends_sha256"] for r in ct.end_lists(ended, ["k"]).collect()} == expected
+
+
+def test_whole_table(spark):
+    talk = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    check(spark, [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in talk.collect()])
