@@ -1,7 +1,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from corpusq.operators import embedding as emb
 from corpusq.plans import corpus
 from corpusq.sources import readers, sinks
 from corpusq.streaming.ingest import ingest_pages
@@ -116,3 +118,33 @@ def test_corpus_rows_have_the_stated_fields(spark):
     pages = spark.createDataFrame([(1, "u", "t", "a", None, None)], "page_id bigint, page_url string, title string, content string, creation_date timestamp_ntz, last_modified timestamp_ntz")
     row = corpus.vectors(corpus.chunks(corpus.sections(pages))).first()
     assert tuple(row["metadata"].asDict()) == corpus.METADATA and len(row["embedding"]) == 64
+
+
+def test_record_arrays_one_file_for_each_group(spark, tmp_path):
+    path = str(tmp_path / "arrays")
+    rows = [(i, None if i == 3 else f'text "{i}"\n, [x]') for i in range(7)]
+    df = spark.createDataFrame(rows, "id bigint, answer string")
+    sinks.write_records(df, path, F.floor(F.col("id") / 3))
+    files = [f for f in (tmp_path / "arrays").glob("part-*") if f.stat().st_size]
+    assert len(files) == 3 and all(isinstance(json.loads(f.read_text()), list) for f in files)
+    back = readers.read_records(spark, path, "id bigint, answer string")
+    assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_texts_as_files(spark, tmp_path):
+    path = str(tmp_path / "texts")
+    df = spark.createDataFrame([(1, "one\ntwo"), (2, "")], "id bigint, body string")
+    sinks.write_texts(df, path, "id", "body")
+    found = {r["path"].split("id=")[1].split("/")[0]: r["content"] for r in readers.read_texts(spark, path).collect()}
+    assert found["1"] == "one\ntwo\n"
+
+
+def test_metadata_with_fields_of_its_own_for_each_row(spark, tmp_path):
+    df = spark.createDataFrame([(1, "s", 5), (2, None, None), (3, "t", None)], "id bigint, source string, quality int")
+    path = str(tmp_path / "variant")
+    emb.open_metadata(df, ["source", "quality"]).select("id", "metadata").write.parquet(path)
+    held = spark.read.parquet(path)
+    fields = held.select("id", emb.variant_field("source").alias("s"), emb.variant_field("quality", "int").alias("q"), emb.variant_field("source", "int").alias("wrong"))
+    assert sorted(map(tuple, fields.collect())) == [(1, "s", 5, None), (2, None, None, None), (3, "t", None, None)]
+    plan = fields._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
