@@ -279,16 +279,29 @@ def top_k(
     blocks = 1 if small else max(1, -(-matrix_bytes(questions, embedding) // broadcast_bytes))
     if blocks == 1:
         return top_k_scan(questions, vectors, k, offset, metric, question_id, keys, embedding)
-    block = F.pmod(F.xxhash64(question_id), F.lit(2 * blocks))  # twice as many, so that an uneven one still fits
+    blocks = _fitting_blocks(questions, blocks, broadcast_bytes, question_id, embedding)
+    block = F.pmod(F.xxhash64(question_id), F.lit(blocks))
     hits = [
         materialize(
             top_k_scan(questions.where(block == n), vectors, k, offset, metric, question_id, keys, embedding), "block-hits"
         )
-        for n in range(2 * blocks)
+        for n in range(blocks)
     ]
     return reduce(DataFrame.union, hits)
 
 
+def _fitting_blocks(questions: DataFrame, blocks: int, limit: int, question_id: str, embedding: str) -> int:
+    """A number of blocks of which the largest, measured, stays within `limit` bytes. An id's rows stay together, so where
+    repeated ids alone are larger the search is refused."""
+    rows = questions.where(F.col(embedding).isNotNull()).select(question_id, F.size(embedding).alias("d"))
+    for _ in range(8):
+        blocks *= 2
+        sizes = rows.groupBy(F.pmod(F.xxhash64(question_id), F.lit(blocks))).agg((8 * F.count("*") * F.max("d")).alias("bytes"))
+        if (sizes.agg(F.max("bytes")).first()[0] or 0) <= limit:
+            return blocks
+    raise ValueError("one question id has more vectors than a block may hold")
+
+
 def recall(found: DataFrame, exact: DataFrame, question_id: str = "question_id", keys: Sequence[str] = ("id",)) -> DataFrame:
     """Share of the exact hits that an approximate search found, one row."""
     on = [question_id, *keys]

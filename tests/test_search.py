@@ -175,3 +175,13 @@ def test_metadata(spark):
     assert [tuple(r) for r in found] == [("", "x"), ("5", "")]
     variant = emb.metadata_variant(built).select(F.variant_get("metadata", "$.t", "string")).collect()
     assert sorted(r[0] for r in variant) == ["", "x"]
+
+
+def test_blocks_are_measured_after_the_cut(spark):
+    asked = frame(spark, np.ones((64, 4)), "question_id")
+    blocks = search._fitting_blocks(asked, 2, 8 * 4 * 20, "question_id", "embedding")
+    sizes = asked.groupBy(F.pmod(F.xxhash64("question_id"), F.lit(blocks))).count().collect()
+    assert max(r["count"] for r in sizes) <= 20
+    one = asked.withColumn("question_id", F.lit(1).cast("bigint"))
+    with pytest.raises(ValueError):
+        search._fitting_blocks(one, 2, 8 * 4 * 20, "question_id", "embedding")
