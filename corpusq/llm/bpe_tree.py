@@ -237,7 +237,7 @@ def concatenate(encoder: Encoder, parts: list[tuple[str, np.ndarray]]) -> np.nda
 
 def encoded(
     docs: DataFrame, text: str = "text", path: str | None = None, piece: int = PIECE,
-    fields: str = "ids binary", work: Callable[[Encoder, bytes], tuple] = lambda tool, ids: (ids,),
+    fields: str = "ids binary", work: Callable[[Encoder, bytes], tuple] = lambda tool, ids: (ids,), cache: int = CACHE,
 ) -> DataFrame:
     """`doc_id` and `fields` of every whole text. `work` makes the fields from the document's ids (little-endian unsigned 32-bit
     integers) in the worker that encoded them; without it the ids are returned."""
@@ -250,19 +250,19 @@ def encoded(
         return pd.DataFrame({"doc_id": doc_id, **{n: [v[k] for v in values] for k, n in enumerate(names)}})
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = encoder(config)
+        tool = encoder(config, cache)
         for batch in batches:
             for part in _by_size(batch):
                 yield row(part["doc_id"], [work(tool, ids) for ids in tool.encode(list(part["_t"]))])
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = encoder(config)
+        tool = encoder(config, cache)
         for batch in batches:
             for part in _by_size(batch):
                 yield part.assign(ids=tool.encode(list(part["_t"])))
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
-        tool, group = encoder(config), group.sort_values("leaf")
+        tool, group = encoder(config, cache), group.sort_values("leaf")
         parts = [(t, np.frombuffer(i, dtype="<u4")) for t, i in zip(group["_t"], group["ids"])]
         return row(group["doc_id"].iloc[:1], [work(tool, concatenate(tool, parts).astype("<u4").tobytes())])
 
@@ -300,6 +300,8 @@ def digest(tool: Encoder, ids: bytes) -> tuple[int, str, str]:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(tool.decode(ids).encode()).hexdigest()
 
 
-def digests(docs: DataFrame, text: str = "text", path: str | None = None, piece: int = PIECE) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return encoded(docs, text, path, piece, "n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
+def digests(
+    docs: DataFrame, text: str = "text", path: str | None = None, piece: int = PIECE, cache: int = CACHE
+) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256. `cache` is the number of words that a worker remembers."""
+    return encoded(docs, text, path, piece, "n_tokens long, ids_sha256 string, decoded_sha256 string", digest, cache)
