@@ -18,6 +18,8 @@ from corpusq.llm.common import read
 from corpusq.session import materialize, release, scratch_scope, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+# Words a worker of the token stage remembers: workers outlive their stage, and their memory adds to that of the next ones.
+REMEMBERED = 100_000
 # Scratch of the stage before, where stages are called one by one: by session and data folder.
 _FINISHED: dict[tuple[str, str], list[str]] = {}
 
@@ -73,7 +75,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document left."""
-    return bpe_tree.digests(docs)
+    return bpe_tree.digests(docs, cache=REMEMBERED)
 
 
 STAGES = [
