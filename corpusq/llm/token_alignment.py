@@ -119,6 +119,7 @@ class Aligner:
         self.b_length = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
         # places to cut: no piece goes from a visible character to a space or holds a line break
         self.cuts = not any(re.search(r"[^▁]▁|\n", p) for p in pieces)
+        self.space = [self.b.piece_to_id("▁")]
         # how a token is shown inside its side of a group and at the side's end
         ends = (("", len(names)), ("", len(names)), ("", self.width), ("", self.width))
         marks = (",", "|", ",", ";")
@@ -149,10 +150,12 @@ class Aligner:
         together = set(joined)
         alone = [p for p in parts if p not in together]
         a = [e.ids for e in self.a.encode_batch_fast(alone, add_special_tokens=False)]
-        # B adds a space: it stands for the part's own first space, or is the first token before a line break
+        # B adds a space: it stands for the part's own first space, or is the first token before a line break. To an empty
+        # text it adds none, so the one space at the end of a text is that token by itself
         b = self.b.encode([p[1:] if p[0] == " " else p for p in alone], num_threads=1)
         for p, x, y in zip(alone, a, b):
-            yield p, (array("I", x).tobytes(), array("I", y if p[0] == " " else y[1:]).tobytes())
+            own = self.space if p == " " else y if p[0] == " " else y[1:]
+            yield p, (array("I", x).tobytes(), array("I", own).tobytes())
 
     def documents(self, texts: list[str | None]) -> list[Aligned | None]:
         """What each whole text gives; None for texts without tokens."""

@@ -96,6 +96,12 @@ def test_no_cut_changes_the_tokens(monkeypatch, cache, together):
     assert len(tool.cache) <= cache
 
 
+def test_one_space_at_the_end_of_a_text(make):
+    ends = [(1, "the words "), (2, "the "), (3, "é\n "), (4, "the  "), (5, "the words"), (6, "! ")]
+    found = sorted((str(r["doc_id"]), *r[1:]) for r in ta.align(make(ends)).collect())
+    assert found == brute(ends) and all(r[1] and r[2] for r in found)
+
+
 def test_large_groups_are_counted_alike(monkeypatch):
     tool = ta.Aligner(bpe_tree.tokenizer_json(), ta.piece_model())
     texts = [t for _, t in rows() if t]
