@@ -185,3 +185,20 @@ def test_blocks_are_measured_after_the_cut(spark):
     one = asked.withColumn("question_id", F.lit(1).cast("bigint"))
     with pytest.raises(ValueError):
         search._fitting_blocks(one, 2, 8 * 4 * 20, "question_id", "embedding")
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_most_pairs_are_compared_by_one_product(monkeypatch, metric):
+    rnd = np.random.default_rng(4)
+    asked, held = np.float32(rnd.normal(size=(300, 8))).astype(float), np.float32(rnd.normal(size=(4000, 8))).astype(float)
+    held[1000:3000] = held[7]  # equal vectors
+    asked[5] = held[7]
+    scored = []
+    every, some = blocks._scores, blocks._pair_scores
+    monkeypatch.setattr(blocks, "_scores", lambda q, v, m: scored.append(len(q) * len(v)) or every(q, v, m))
+    monkeypatch.setattr(blocks, "_pair_scores", lambda q, v, m: scored.append(len(q)) or some(q, v, m))
+    best = blocks.Best(asked, 3, 1, metric)
+    best.add(np.arange(len(held))[::-1, None], held[::-1])
+    found = sorted((int(q), int(key), round(abs(float(s)), 6)) for q, key, s in zip(best.q, best.keys[:, 0], best.s))
+    assert found == sorted((i, j, abs(s)) for i, _, j, s in brute(asked, held, 3, 0, metric))
+    assert sum(scored) < 0.03 * len(asked) * len(held)
