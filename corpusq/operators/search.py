@@ -1,8 +1,8 @@
 """Top-k vector search for a whole table of questions.
 
 * `top_k`: the exact search, one kernel at every size. The question matrix is broadcast, in
-  blocks of a checked size; the corpus is read once for each block where it lies; each
-  task keeps k hits per question, and only those are shuffled.
+  blocks of a checked size; the corpus is read once for as many blocks as `PASS_BYTES` hold, dealt out to all cores if the
+  questions are many; each task keeps k hits per question, and only those are shuffled.
 * `top_k_cells`: vectors are put in cells around centroids, and a question visits cells near it. Question and
   vector rows meet in an equi-join on (cell, slices); slices split big cells
   on both sides, so no group grows with the data. Without `n_probe` it leaves out only cells that the triangle inequality
@@ -25,14 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusq.functions.blocks import Best, distances, hit_batch, keys_of, nearest, prepared, to_matrix
-from corpusq.session import materialize
+from corpusq.functions.blocks import Best, add_all, distances, hit_batch, keys_of, nearest, prepared, to_matrix
+from corpusq.session import materialize, spread
 
 # Bytes the broadcast question matrix may have (8 bytes per value).
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Bytes of question blocks that one pass over the vectors takes along.
+PASS_BYTES = 64 * 1024 * 1024
+# Bytes of questions from which scoring a vector takes much longer than moving it to another core.
+DEAL_BYTES = 512 * 1024
 # Bytes of vectors on one side of a cell group (8 bytes per value).
 SLICE_BYTES = 32 * 1024 * 1024
 _HIGHER_IS_BETTER = {"cosine": True, "l2": False}
@@ -73,23 +77,28 @@ def _ranked(hits: DataFrame, question_id: str, keys: Sequence[str], k: int, offs
 
 def top_k_scan(
     questions: DataFrame, vectors: DataFrame, k: int, offset: int = 0, metric: str = "cosine",
-    question_id: str = "question_id", keys: Sequence[str] = ("id",), embedding: str = "embedding",
+    question_id: str = "question_id", keys: Sequence[str] = ("id",), embedding: str = "embedding", block: Column | None = None,
 ) -> DataFrame:
-    """Exact search with a broadcast question matrix. The caller has checked its size."""
+    """Exact search with a broadcast question matrix. The caller has checked its size. With `block`, the number of a
+    question's block, every block is a broadcast of its own."""
     keys = list(keys)
     spark = questions.sparkSession
-    table = _narrow(questions, [question_id], embedding).toArrow()
-    ids = np.asarray(table.column(0)).astype(np.int64)
-    shared = spark.sparkContext.broadcast((ids, to_matrix(table.column(1))))
+    numbered = questions.withColumn("_block", F.lit(0) if block is None else block)
+    table = _narrow(numbered, [question_id, "_block"], embedding).toArrow()
+    ids, of = (np.asarray(table.column(n)).astype(np.int64) for n in range(2))
+    matrix = to_matrix(table.column(2))
+    places = [np.flatnonzero(of == n) for n in np.unique(of)] if block is not None else [np.arange(len(ids))]
+    shared = [spark.sparkContext.broadcast((ids[p], matrix[p])) for p in places]
     wanted = k + offset
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        question_ids, matrix = shared.value
-        best = Best(matrix, wanted, len(keys), metric)
+        held = [part.value for part in shared]
+        bests = [Best(asked, wanted, len(keys), metric) for _, asked in held]
         for batch in batches:
-            if batch.num_rows and len(matrix):
-                best.add(keys_of(batch, keys), to_matrix(batch.column(embedding)))
-        yield hit_batch(best, question_ids, question_id, keys)
+            if batch.num_rows:
+                add_all(bests, keys_of(batch, keys), to_matrix(batch.column(embedding)))
+        for (question_ids, _), best in zip(held, bests):
+            yield hit_batch(best, question_ids, question_id, keys)
 
     hits = _narrow(vectors, keys, embedding).mapInArrow(scan, _schema(question_id, keys))
     return _ranked(hits, question_id, keys, k, offset, metric)
@@ -270,22 +279,31 @@ def top_k(
     """The k nearest vectors of every question: `(question_id, rank, keys, score)`.
 
     Exact, ties by key, by one kernel at every size. With `offset` the hits after the first `offset` are
-    given. Questions are cut into blocks whose matrix stays within `broadcast_bytes`; each block scans the
-    vectors once and its hits are stored before the next block is gathered. `small` says that the caller has
+    given. Questions are cut into blocks whose matrix stays within `broadcast_bytes`. One pass over the vectors takes
+    as many blocks along as `PASS_BYTES` hold, one at least, and its hits are stored before the next pass. `small` says that the caller has
     checked that one block is enough.
     """
     if metric not in _HIGHER_IS_BETTER:
         raise ValueError(f"unknown metric {metric!r}")
-    blocks = 1 if small else max(1, -(-matrix_bytes(questions, embedding) // broadcast_bytes))
+    size = 0 if small else matrix_bytes(questions, embedding)
+    if size >= DEAL_BYTES:
+        vectors = spread(_narrow(vectors, keys, embedding))
+    blocks = max(1, -(-size // broadcast_bytes))
     if blocks == 1:
         return top_k_scan(questions, vectors, k, offset, metric, question_id, keys, embedding)
     blocks = _fitting_blocks(questions, blocks, broadcast_bytes, question_id, embedding)
     block = F.pmod(F.xxhash64(question_id), F.lit(blocks))
+    together = max(1, PASS_BYTES // broadcast_bytes)
+    if blocks > together:
+        vectors = materialize(_narrow(vectors, keys, embedding), "searched")
     hits = [
         materialize(
-            top_k_scan(questions.where(block == n), vectors, k, offset, metric, question_id, keys, embedding), "block-hits"
+            top_k_scan(
+                questions.where((block >= n) & (block < n + together)), vectors, k, offset, metric, question_id, keys, embedding, block
+            ),
+            "block-hits",
         )
-        for n in range(blocks)
+        for n in range(0, blocks, together)
     ]
     return reduce(DataFrame.union, hits)
 

@@ -5,6 +5,7 @@ from corpusq.functions import blocks
 from corpusq.functions import vectors as vx
 from corpusq.operators import embedding as emb
 from corpusq.operators import search
+from corpusq.session import materialize
 from pyspark.sql import functions as F
 
 
@@ -202,3 +203,21 @@ def test_most_pairs_are_compared_by_one_product(monkeypatch, metric):
     found = sorted((int(q), int(key), round(abs(float(s)), 6)) for q, key, s in zip(best.q, best.keys[:, 0], best.s))
     assert found == sorted((i, j, abs(s)) for i, _, j, s in brute(asked, held, 3, 0, metric))
     assert sum(scored) < 0.03 * len(asked) * len(held)
+
+
+def test_one_pass_takes_many_blocks_and_many_questions_spread_the_vectors(spark, monkeypatch):
+    asked, held = data(5)
+    seen, scan = [], search.top_k_scan
+
+    def counted(questions, vectors, *rest):
+        seen.append(vectors.rdd.getNumPartitions())
+        return scan(questions, vectors, *rest)
+
+    monkeypatch.setattr(search, "top_k_scan", counted)
+    monkeypatch.setattr(search, "DEAL_BYTES", 1)
+    questions, vectors = frame(spark, asked, "question_id"), materialize(frame(spark, held).coalesce(1), "held")
+    assert rows(search.top_k(questions, vectors, 2, broadcast_bytes=5 * 48)) == brute(asked, held, 2)
+    assert seen == [4]
+    monkeypatch.setattr(search, "PASS_BYTES", 3 * 5 * 48)
+    assert rows(search.top_k(questions, vectors, 2, broadcast_bytes=5 * 48)) == brute(asked, held, 2)
+    assert 2 < len(seen) < 9 and min(seen[1:]) > 1
