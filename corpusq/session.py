@@ -101,10 +101,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` as Parquet in the shared folder, read it back.
 
     Lost executors cannot take the rows with them, later passes read the same
-    rows, and the copy is still columnar, so pruning works on it.
+    rows, and the copy is still columnar, so pruning works on it. Copies are read a few times only: zstd
+    keeps them small.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -111,3 +111,18 @@ def test_rows_are_linear_in_the_text(spark, monkeypatch):
     list_ = [text[10 : 10 + n] for n in range(3, 60)] + ["zq", "a long word that is not there"]
     assert grams.texts_with_words(df, words(spark, *list_)).count() == 1
     assert kept["held"].count() <= 2 * len(text)
+
+
+def test_edges_are_stored_as_numbers_only(spark, tmp_path, monkeypatch):
+    from corpusq.operators import triple_store
+
+    kept = {}
+    keep = triple_store.materialize
+    monkeypatch.setattr(triple_store, "materialize", lambda df, name: kept.setdefault(name, keep(df, name)))
+    g = random_graph(spark, 3)
+    store = build_store(g, str(tmp_path / "store"))
+    monkeypatch.undo()
+    assert dict(kept["edges"].dtypes) == {"up": "boolean", "sid": "bigint", "oid": "bigint"}
+    assert kept["subjects"].where(F.col("p").isin(graph.BROADER, graph.SUBJECT)).count() == 0
+    for one, two in ((store.broader(), graph.view(g).broader()), (store.subjects(), graph.view(g).subjects())):
+        assert found(store.decode(one, *one.columns)) == found(two.select(*one.columns))
