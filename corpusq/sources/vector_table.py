@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -18,6 +18,7 @@ from corpusq.session import materialize
 from corpusq.sources.sinks import CHUNK_KEY
 
 BUCKETS = 64
+PARTS = 64  # tasks that share a bucket of a load at most
 _COMMITS = "batch_id string, buckets array<int>, given bigint, added bigint"
 
 
@@ -55,30 +56,33 @@ def load_batch(
     names = [c for c in rows.columns if c not in key]
     if {"bucket", "batch_id"} & set(rows.columns):
         raise ValueError("`bucket` and `batch_id` are columns of the table itself")
-    first = rows.groupBy(*key).agg(F.min(F.struct(*[F.col(c) for c in names])).alias("_row"), F.count("*").alias("_given"))
-    batch = first.select(*key, "_row.*", "_given", bucket_of(key, buckets).alias("bucket"))
-    batch = materialize(batch, "batch")
-    touched = batch.groupBy("bucket").agg(F.sum("_given").alias("given")).collect()  # at most one row for each bucket
+    # rows are computed once; after that they move once, to where their key's rows and bucket are
+    batch = materialize(rows.withColumn("bucket", bucket_of(key, buckets)), "batch")
+    touched = batch.groupBy("bucket").agg(F.count("*").alias("given")).collect()  # at most one row for each bucket
     own = sorted(r["bucket"] for r in touched)
-    new = batch.drop("_given")
+    given = batch.select(*key, "bucket", F.struct(*[F.col(c) for c in names]).alias("_row"), F.lit(False).alias("_held"))
     others = commits(spark, path).where((F.col("batch_id") != batch_id) & (F.col("added") > 0)).select("batch_id").distinct()
     if own and not others.isEmpty():
+        schema = batch.withColumn("batch_id", F.lit("")).schema
         held = (
-            spark.read.schema(new.withColumn("batch_id", F.lit("")).schema).parquet(f"{path}/rows")  # no footer is read for it
+            spark.read.schema(schema).parquet(f"{path}/rows")  # no footer is read for it
             .where(F.col("bucket").isin(own))
-            .join(F.broadcast(others), "batch_id", "left_semi").select("bucket", *key)
+            .join(F.broadcast(others), "batch_id", "left_semi")
         )
-        held = held.select(F.col("bucket").alias("_bucket"), *[F.col(c).alias(f"_{c}") for c in key])
-        on = F.col("bucket") == F.col("_bucket")  # rows that may meet lie in the same bucket
-        for c in key:
-            on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-        new = new.join(held, on, "left_anti")
-    new = materialize(new.withColumn("batch_id", F.lit(batch_id)), "new")
+        none = F.lit(None).cast(given.schema["_row"].dataType)
+        given = given.unionByName(held.select(*key, "bucket", none.alias("_row"), F.lit(True).alias("_held")))
+    # a bucket is dealt to a few tasks by a part of its key, so that a task writes few buckets
+    part = F.pmod(F.hash(*key), F.lit(PARTS))
+    moved = given.withColumn("_part", part).repartition("bucket", "_part")
+    first = moved.groupBy("bucket", "_part", *key).agg(F.min("_row").alias("_row"), F.max("_held").alias("_held"))
+    counted = Observation()
+    new = first.where(~F.col("_held")).select(*key, "_row.*", "bucket", F.lit(batch_id).alias("batch_id"))
     (
-        new.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        new.observe(counted, F.count(F.lit(1)).alias("added")).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
         .partitionBy("bucket", "batch_id").parquet(f"{path}/rows")
     )
-    record = [(batch_id, own, sum(r["given"] for r in touched), new.count())]
+    record = [(batch_id, own, sum(r["given"] for r in touched), counted.get["added"] if own else 0)]
     spark.createDataFrame(record, _COMMITS).coalesce(1).write.mode("append").parquet(f"{path}/commits")
 
 

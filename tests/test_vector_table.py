@@ -61,3 +61,22 @@ def test_a_rerun_reads_only_its_own_buckets(spark, tmp_path):
 def test_columns_of_the_table_are_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         vt.load_batch(rows(spark, FIRST).withColumn("bucket", F.lit(1)), str(tmp_path / "t"), "one")
+
+
+def test_a_load_stores_its_rows_once_and_moves_them_once(spark, tmp_path, monkeypatch):
+    stored, plans = [], []
+    keep = vt.materialize
+    monkeypatch.setattr(vt, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or stored.append(name) or keep(df, name))
+    for name in ("one", "two"):
+        vt.load_batch(rows(spark, FIRST + SECOND), str(tmp_path / "t"), name, buckets=8)
+    assert stored == ["batch", "batch"] and not any("Exchange" in p for p in plans)
+    assert {(r["batch_id"], r["given"], r["added"]) for r in vt.commits(spark, str(tmp_path / "t")).collect()} == {("one", 9, 6), ("two", 9, 0)}
+
+
+def test_a_load_without_rows_is_committed(spark, tmp_path):
+    path = str(tmp_path / "t")
+    vt.load_batch(rows(spark, FIRST).where("false"), path, "none", buckets=8)
+    vt.load_batch(rows(spark, FIRST), path, "one", buckets=8)
+    vt.load_batch(rows(spark, FIRST).where("false"), path, "last", buckets=8)
+    assert {(r["batch_id"], r["added"]) for r in vt.commits(spark, path).collect()} == {("none", 0), ("one", 4), ("last", 0)}
+    assert len(held(spark, path)) == 4
