@@ -10,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Bytes of texts whose words are counted at once; a longer text is counted by itself.
+TOGETHER = 4_000_000
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
@@ -46,17 +49,24 @@ def hashed_vector(text: Column, dim: int = 64) -> Column:
 
     The bucket of a word is the first 32 bits of its MD5, modulo `dim`. Counting
     words into buckets row by row with array functions takes `dim` passes over
-    the words; here a whole Arrow batch is counted at once and each distinct
-    word of it is hashed once.
+    the words; here the texts of an Arrow batch are counted `TOGETHER` bytes at a time and each distinct
+    word of them is hashed once.
     """
 
     @F.arrow_udf("array<float>")
     def run(texts: pa.Array) -> pa.Array:
-        return _count_words(texts, dim)
+        return _in_parts(texts, dim)
 
     return run(F.coalesce(F.lower(text), F.lit("")))
 
 
+def _in_parts(texts: pa.Array, dim: int, together: int = TOGETHER) -> pa.Array:
+    """Words take many times the room of their text while they are counted, so only some of a batch's texts are split at once."""
+    part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // together
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return pa.concat_arrays([_count_words(texts.slice(a, b - a), dim) for a, b in zip(edges, edges[1:])])
+
+
 def _count_words(texts: pa.Array, dim: int) -> pa.Array:
     parts = pc.split_pattern_regex(texts, r"[ \t\n\r\f]+")
     row = pc.list_parent_indices(parts).to_numpy()

@@ -100,3 +100,16 @@ def test_legacy_record(spark):
 def test_text_class(spark):
     values = ["What is CO2", "water is wet.", "really ?", "Is it", "Island life."]
     assert apply(spark, values, tx.text_class) == ["question", "statement", "question", "question", "statement"]
+
+
+def test_texts_of_a_batch_are_counted_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    from corpusq.functions import vectors as vx
+
+    texts = pa.array(["a b", "", "b" * 90, *(["c d c"] * 40), "d"])
+    whole, sizes, count = vx._count_words(texts, 8), [], vx._count_words
+    monkeypatch.setattr(vx, "_count_words", lambda part, dim: sizes.append(sum(map(len, part.to_pylist()))) or count(part, dim))
+    assert vx._in_parts(texts, 8, 50).equals(whole)
+    assert len(sizes) > 3 and max(sizes) < 150
+    assert len(vx._in_parts(texts.slice(0, 0), 8)) == 0
