@@ -23,7 +23,7 @@ LITERAL_KEYS = 500
 
 def _sorted(df: DataFrame, path: str, *by: str) -> None:
     """Written in ranges of `by`, so that file statistics tell which files hold a key."""
-    df.repartitionByRange(*by).sortWithinPartitions(*by).write.option("compression", "zstd").parquet(path)
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
 
 
 def build_store(triples: DataFrame, path: str, by_subject: bool = True) -> GraphStore:
@@ -33,23 +33,23 @@ def build_store(triples: DataFrame, path: str, by_subject: bool = True) -> Graph
     their way to one table of pairs of numbers, without their names being stored in between; the other triples by their subject only.
     """
     spark = triples.sparkSession
-    held = materialize(triples, "triples")
+    held = materialize(triples, "triples", "zstd")
     edge = F.col("p").isin(BROADER, SUBJECT)
     names = held.select(F.col("s").alias("term")).union(held.where(edge).select("o")).where("term is not null").distinct()
-    with_row_id(names, ["term"]).select("id", "term").write.option("compression", "zstd").parquet(f"{path}/terms")
+    with_row_id(names, ["term"]).select("id", "term").write.parquet(f"{path}/terms")
     terms = spark.read.parquet(f"{path}/terms")
     subject = terms.select(F.col("id").alias("sid"), F.col("term").alias("s"))
     objects = terms.select(F.col("id").alias("oid"), F.col("term").alias("o"))
     # a mark instead of the predicate's name, so that edges are narrow while they move
     pairs = held.where(edge).select("s", "o", (F.col("p") == BROADER).alias("up"))
-    edges = materialize(pairs.join(subject, "s").drop("s").join(objects, "o").select("up", "sid", "oid"), "edges")
+    edges = materialize(pairs.join(subject, "s").drop("s").join(objects, "o").select("up", "sid", "oid"), "edges", "zstd")
     for name, up in (("broader", True), ("subject", False)):
         own = edges.where(F.col("up") == up).select("sid", "oid")
         _sorted(own, f"{path}/{name}/by_object", "oid", "sid")
         if by_subject:
             _sorted(own, f"{path}/{name}/by_subject", "sid", "oid")
     rest = held.where(F.col("p").isin(TYPE, LABEL, TOPIC_OF, PAGE_ID))
-    numbered = materialize(rest.join(subject, "s").select("sid", "p", "o", "lang"), "subjects")
+    numbered = materialize(rest.join(subject, "s").select("sid", "p", "o", "lang"), "subjects", "zstd")
     _sorted(numbered.where((F.col("p") == TYPE) & (F.col("o") == CONCEPT)).select("sid"), f"{path}/concepts", "sid")
     _sorted(numbered.where(F.col("p") == LABEL).select("sid", F.col("o").alias("label"), "lang"), f"{path}/labels", "sid")
     _sorted(numbered.where(F.col("p") == TOPIC_OF).select("sid", F.col("o").alias("url")), f"{path}/urls", "sid")

@@ -57,7 +57,7 @@ def load_batch(
     if {"bucket", "batch_id"} & set(rows.columns):
         raise ValueError("`bucket` and `batch_id` are columns of the table itself")
     # rows are computed once; after that they move once, to where their key's rows and bucket are
-    batch = materialize(rows.withColumn("bucket", bucket_of(key, buckets)), "batch")
+    batch = materialize(rows.withColumn("bucket", bucket_of(key, buckets)), "batch", "zstd")
     touched = batch.groupBy("bucket").agg(F.count("*").alias("given")).collect()  # at most one row for each bucket
     own = sorted(r["bucket"] for r in touched)
     given = batch.select(*key, "bucket", F.struct(*[F.col(c) for c in names]).alias("_row"), F.lit(False).alias("_held"))

@@ -118,7 +118,7 @@ def test_edges_are_stored_as_numbers_only(spark, tmp_path, monkeypatch):
 
     kept = {}
     keep = triple_store.materialize
-    monkeypatch.setattr(triple_store, "materialize", lambda df, name: kept.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(triple_store, "materialize", lambda df, name, *rest: kept.setdefault(name, keep(df, name, *rest)))
     g = random_graph(spark, 3)
     store = build_store(g, str(tmp_path / "store"))
     monkeypatch.undo()

@@ -66,7 +66,7 @@ def test_columns_of_the_table_are_refused(spark, tmp_path):
 def test_a_load_stores_its_rows_once_and_moves_them_once(spark, tmp_path, monkeypatch):
     stored, plans = [], []
     keep = vt.materialize
-    monkeypatch.setattr(vt, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or stored.append(name) or keep(df, name))
+    monkeypatch.setattr(vt, "materialize", lambda df, name, *rest: plans.append(df._jdf.queryExecution().toString()) or stored.append(name) or keep(df, name, *rest))
     for name in ("one", "two"):
         vt.load_batch(rows(spark, FIRST + SECOND), str(tmp_path / "t"), name, buckets=8)
     assert stored == ["batch", "batch"] and not any("Exchange" in p for p in plans)
