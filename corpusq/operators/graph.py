@@ -207,9 +207,10 @@ def narrower(
     """Children of a table of categories: `(level, parent, child)`, distinct. Parents come first: only their edges and only their
     children's labels are read further."""
     g = view(triples)
-    wanted = g.encode(parents.select(F.col(parents.columns[0]).alias("parent")).distinct(), "parent")
+    wanted = materialize(parents.select(F.col(parents.columns[0]).alias("parent")).distinct(), "parents")
+    wanted = materialize(g.encode(wanted, "parent"), "wanted")
     edges = materialize(g.restrict(g.broader(), "parent", wanted).select("parent", "child"), "narrower")
-    allowed = _allowed(g, edges.select("child").distinct(), stop_word_filter(stop_words), lang)
+    allowed = _allowed(g, materialize(edges.select("child").distinct(), "children"), stop_word_filter(stop_words), lang)
     found = edges.join(allowed, "child").select(F.lit(level).alias("level"), "parent", "child")
     return g.decode(found, "parent", "child").select("level", "parent", "child")
 
@@ -293,6 +294,7 @@ def category_pages(
     if per_batch:
         wanted = with_batches(wanted, order_by or ["category"], batch_size)
         batch = ["batch_id"]
-    wanted = g.encode(wanted.distinct(), "category")
+    # stored before and after: sizes are asked for first, and the keys are read more than once
+    wanted = materialize(g.encode(materialize(wanted.distinct(), "categories"), "category"), "wanted")
     found = g.restrict(g.subjects(), "category", wanted).select(*batch, "page").distinct()
     return found.join(g.page_urls(), "page").join(g.page_ids(), "page").select(*batch, "page_url", "page_id").distinct().drop(*batch)

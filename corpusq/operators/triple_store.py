@@ -7,15 +7,17 @@ page tables sorted by id. Joins along the graph move longs; names are joined to
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.operators.grams import GramIndex, create_gram_index
 from corpusq.operators.graph import BROADER, CONCEPT, LABEL, PAGE_ID, SUBJECT, TOPIC_OF, TYPE, Triples
 from corpusq.operators.rowid import with_row_id
-from corpusq.session import join_small, materialize, scratch_path
+from corpusq.session import BROADCAST_ROWS, join_small, join_unique, materialize, scratch_path
 
 # Keys that are put into the file filter as literals, so that files and row groups without them are not read.
 LITERAL_KEYS = 500
@@ -26,6 +28,11 @@ def _sorted(df: DataFrame, path: str, *by: str) -> None:
     df.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
 
 
+def _numbered(rows: DataFrame, terms: DataFrame, count: int, name: str, key: str) -> DataFrame:
+    """`rows` with the number of the name as `key` instead of `name`."""
+    return join_unique(rows, terms.select(F.col("id").alias(key), F.col("term").alias(name)), name, count).drop(name)
+
+
 def build_store(triples: DataFrame, path: str, by_subject: bool = True) -> GraphStore:
     """Write a store of `triples (s, p, o, lang)` to the folder `path`.
 
@@ -36,25 +43,36 @@ def build_store(triples: DataFrame, path: str, by_subject: bool = True) -> Graph
     held = materialize(triples, "triples", "zstd")
     edge = F.col("p").isin(BROADER, SUBJECT)
     names = held.select(F.col("s").alias("term")).union(held.where(edge).select("o")).where("term is not null").distinct()
-    with_row_id(names, ["term"]).select("id", "term").write.parquet(f"{path}/terms")
-    terms = spark.read.parquet(f"{path}/terms")
-    subject = terms.select(F.col("id").alias("sid"), F.col("term").alias("s"))
-    objects = terms.select(F.col("id").alias("oid"), F.col("term").alias("o"))
-    # a mark instead of the predicate's name, so that edges are narrow while they move
-    pairs = held.where(edge).select("s", "o", (F.col("p") == BROADER).alias("up"))
-    edges = materialize(pairs.join(subject, "s").drop("s").join(objects, "o").select("up", "sid", "oid"), "edges", "zstd")
-    for name, up in (("broader", True), ("subject", False)):
-        own = edges.where(F.col("up") == up).select("sid", "oid")
-        _sorted(own, f"{path}/{name}/by_object", "oid", "sid")
-        if by_subject:
-            _sorted(own, f"{path}/{name}/by_subject", "sid", "oid")
-    rest = held.where(F.col("p").isin(TYPE, LABEL, TOPIC_OF, PAGE_ID))
-    numbered = materialize(rest.join(subject, "s").select("sid", "p", "o", "lang"), "subjects", "zstd")
-    _sorted(numbered.where((F.col("p") == TYPE) & (F.col("o") == CONCEPT)).select("sid"), f"{path}/concepts", "sid")
-    _sorted(numbered.where(F.col("p") == LABEL).select("sid", F.col("o").alias("label"), "lang"), f"{path}/labels", "sid")
-    _sorted(numbered.where(F.col("p") == TOPIC_OF).select("sid", F.col("o").alias("url")), f"{path}/urls", "sid")
-    pages = numbered.where(F.col("p") == PAGE_ID).select("sid", F.col("o").try_cast("bigint").alias("page_id"))
-    _sorted(pages, f"{path}/page_ids", "sid")
+    # stored, because a range sort reads its input twice
+    with_row_id(materialize(names, "names"), ["term"]).select("id", "term").write.parquet(f"{path}/terms")
+    terms = spark.read.schema("id bigint, term string").parquet(f"{path}/terms")
+    count = terms.count()
+
+    def write_edges() -> None:
+        # a mark instead of the predicate's name, so that edges are narrow while they move
+        pairs = held.where(edge).select("s", "o", (F.col("p") == BROADER).alias("up"))
+        encoded = _numbered(_numbered(pairs, terms, count, "s", "sid"), terms, count, "o", "oid")
+        edges = materialize(encoded.select("up", "sid", "oid"), "edges", "zstd")
+        for name, up in (("broader", True), ("subject", False)):
+            own = edges.where(F.col("up") == up).select("sid", "oid")
+            _sorted(own, f"{path}/{name}/by_object", "oid", "sid")
+            if by_subject:
+                _sorted(own, f"{path}/{name}/by_subject", "sid", "oid")
+
+    def write_rest() -> None:
+        rest = held.where(F.col("p").isin(TYPE, LABEL, TOPIC_OF, PAGE_ID))
+        numbered = materialize(_numbered(rest, terms, count, "s", "sid").select("sid", "p", "o", "lang"), "subjects", "zstd")
+        _sorted(numbered.where((F.col("p") == TYPE) & (F.col("o") == CONCEPT)).select("sid"), f"{path}/concepts", "sid")
+        _sorted(numbered.where(F.col("p") == LABEL).select("sid", F.col("o").alias("label"), "lang"), f"{path}/labels", "sid")
+        _sorted(numbered.where(F.col("p") == TOPIC_OF).select("sid", F.col("o").alias("url")), f"{path}/urls", "sid")
+        pages = numbered.where(F.col("p") == PAGE_ID).select("sid", F.col("o").try_cast("bigint").alias("page_id"))
+        _sorted(pages, f"{path}/page_ids", "sid")
+
+    # side by side: the last tasks of one leave cores to the other
+    with ThreadPoolExecutor(2) as pool:
+        runs = [pool.submit(inheritable_thread_target(spark)(write)) for write in (write_edges, write_rest)]
+    for run in runs:
+        run.result()
     return GraphStore(spark, path)
 
 
@@ -117,16 +135,23 @@ class GraphStore(Triples):
         """Names of the keys. The result is stored first, so that the dictionary is read for keys that are in it."""
         held = materialize(df, "found")
         for name in names:
-            keys = held.select(F.col(name).alias("id")).distinct()
-            known = self.restrict(self.terms(), "id", keys).select(F.col("id").alias(name), F.col("term").alias(f"_{name}"))
-            held = join_small(held, known, name).drop(name).withColumnRenamed(f"_{name}", name)
+            keys = materialize(held.select(F.col(name).alias("id")).distinct(), "keys")
+            rows = keys.count()
+            # many keys only bound the dictionary by their range, and it is joined to the rows at once
+            known = self.restrict(self.terms(), "id", keys) if rows <= BROADCAST_ROWS else self._between(self.terms(), "id", keys)
+            known = known.select(F.col("id").alias(name), F.col("term").alias(f"_{name}"))
+            held = join_small(held, known, name, small=rows <= BROADCAST_ROWS).drop(name).withColumnRenamed(f"_{name}", name)
         return held.select(*df.columns)
 
     def restrict(self, edges: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-        """Few keys go into the file filter, and all others bound it by their range."""
-        few = keys.select(column).distinct().limit(LITERAL_KEYS + 1).collect()  # so many numbers at most
-        if len(few) <= LITERAL_KEYS:
-            edges = edges.where(F.col(column).isin([r[0] for r in few]))
-            return join_small(edges, keys, column, small=True if len(keys.columns) == 1 else None)
+        """Few keys go into the file filter, and all others bound it by their range. `keys` is read more than once and best stored."""
+        rows = keys.count()
+        if rows <= BROADCAST_ROWS:
+            few = keys.select(column).distinct().limit(LITERAL_KEYS + 1).collect()  # so many numbers at most
+            if len(few) <= LITERAL_KEYS:
+                return edges.where(F.col(column).isin([r[0] for r in few])).join(F.broadcast(keys), column)
+        return join_unique(self._between(edges, column, keys), keys, column, rows)
+
+    def _between(self, edges: DataFrame, column: str, keys: DataFrame) -> DataFrame:
         low, high = keys.agg(F.min(column), F.max(column)).first()
-        return join_small(edges.where(F.col(column).between(low, high)), keys, column)
+        return edges.where(F.col(column).between(low, high))

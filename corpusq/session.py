@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 # stay in the tens of megabytes.
 BROADCAST_ROWS = 200_000
 
+# Rows of a side with one row for each key that a task may hold in a hash table; beyond that both sides are sorted and merged.
+HASHED_ROWS_PER_TASK = 2_000_000
+
 
 def build_session(app_name: str = "corpusq", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for.
@@ -124,6 +127,18 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", small:
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
+def join_unique(left: DataFrame, right: DataFrame, on: str, rows: int) -> DataFrame:
+    """Join with a stored side of `rows` rows that holds a key about once. It is broadcast within `BROADCAST_ROWS`. Beyond
+    that a task looks keys up in a hash table of its share, so the other side is not sorted (names sort slowly, as most begin
+    alike) and skewed partitions of it are still split. Shares that are too large for this are left to AQE (sort-merge)."""
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows <= BROADCAST_ROWS:
+        right = F.broadcast(right)
+    elif rows <= HASHED_ROWS_PER_TASK * tasks:
+        right = right.hint("shuffle_hash")
+    return left.join(right, on)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal out a small input to all cores before row-local text work.
 

@@ -126,3 +126,58 @@ def test_edges_are_stored_as_numbers_only(spark, tmp_path, monkeypatch):
     assert kept["subjects"].where(F.col("p").isin(graph.BROADER, graph.SUBJECT)).count() == 0
     for one, two in ((store.broader(), graph.view(g).broader()), (store.subjects(), graph.view(g).subjects())):
         assert found(store.decode(one, *one.columns)) == found(two.select(*one.columns))
+
+
+@pytest.mark.parametrize("small, hashed, join", [(200_000, 2_000_000, "BroadcastHashJoin"), (0, 2_000_000, "ShuffledHashJoin"), (0, 0, "SortMergeJoin")])
+def test_large_stores_give_the_same(spark, tmp_path, monkeypatch, small, hashed, join):
+    """Names become numbers, and keys names, without a sort of the long side as long as a task's share of the names is bounded."""
+    from corpusq import session
+    from corpusq.operators import triple_store
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", small)
+    monkeypatch.setattr(triple_store, "BROADCAST_ROWS", small)
+    monkeypatch.setattr(session, "HASHED_ROWS_PER_TASK", hashed)
+    # nulls and rows that come twice: a name beside a null is numbered, the edge is not
+    odd = [("P1", graph.SUBJECT, None, None), (None, graph.SUBJECT, "n1", None), ("P1", graph.SUBJECT, "n1", None), ("only", graph.BROADER, None, None)]
+    g = random_graph(spark, 5).union(spark.createDataFrame(odd * 2, "s string, p string, o string, lang string"))
+    store = build_store(g, str(tmp_path / "store"))
+    edges = graph.view(g).subjects().where("page is not null and category is not null")
+    assert found(store.decode(store.subjects(), "page", "category")) == found(edges)
+    names = {r[0] for r in g.select("s").union(g.where(F.col("p").isin(graph.BROADER, graph.SUBJECT)).select("o")).collect()} - {None}
+    assert [r["term"] for r in store.terms().orderBy("id").collect()] == sorted(names)
+    roots = tables(spark, "n0", "n1", "not there")
+    assert found(graph.narrower(store, roots, 2, words(spark, "song"))) == found(graph.narrower(g, roots, 2, words(spark, "song")))
+    assert found(graph.category_pages(store, roots)) == found(graph.category_pages(g, roots))
+    held = store.terms()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = triple_store._numbered(g.select("s"), held, held.count(), "s", "sid")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert join in plan
+
+
+@pytest.mark.parametrize("query", [graph.narrower, graph.category_pages])
+def test_given_categories_are_read_once(spark, tmp_path, query):
+    store = build_store(random_graph(spark, 3), str(tmp_path / "store"))
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(name):
+        read.add(1)
+        return name
+
+    given = tables(spark, "n0", "n1", "n2").coalesce(1).select(F.udf(seen, "string")("category").alias("category"))
+    query(store, given).collect()
+    assert read.value == 3
+
+
+def test_names_are_put_together_once(spark, tmp_path, monkeypatch):
+    """The range sort of the dictionary reads its input twice: that is the stored names."""
+    from corpusq.operators import triple_store
+
+    given, real = [], triple_store.with_row_id
+    monkeypatch.setattr(triple_store, "with_row_id", lambda df, *rest: given.append(df) or real(df, *rest))
+    build_store(random_graph(spark, 3), str(tmp_path / "store"))
+    assert "Aggregate" not in given[0]._jdf.queryExecution().executedPlan().toString()
