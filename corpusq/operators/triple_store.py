@@ -150,7 +150,7 @@ class GraphStore(Triples):
             few = keys.select(column).distinct().limit(LITERAL_KEYS + 1).collect()  # so many numbers at most
             if len(few) <= LITERAL_KEYS:
                 return edges.where(F.col(column).isin([r[0] for r in few])).join(F.broadcast(keys), column)
-        return join_unique(self._between(edges, column, keys), keys, column, rows)
+        return join_small(self._between(edges, column, keys), keys, column, small=rows <= BROADCAST_ROWS)
 
     def _between(self, edges: DataFrame, column: str, keys: DataFrame) -> DataFrame:
         low, high = keys.agg(F.min(column), F.max(column)).first()
