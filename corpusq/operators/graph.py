@@ -216,7 +216,8 @@ def narrower(
 
 
 def _levels(
-    triples: DataFrame | Triples, roots: DataFrame, depth: int, stop_words: DataFrame | None, dedupe: bool, lang: str
+    triples: DataFrame | Triples, roots: DataFrame, depth: int, stop_words: DataFrame | None, dedupe: bool, lang: str,
+    named: bool = True,
 ) -> DataFrame:
     """`(level, category, paths)`. Each level joins the frontier's edges only, and adds up the ways to each child."""
     g = view(triples)
@@ -237,11 +238,12 @@ def _levels(
         levels.append(frontier.select(F.lit(level).alias("level"), "category", "paths"))
         seen = seen.unionByName(frontier.select("category")) if dedupe else seen
     if not levels:
-        return spark.createDataFrame([], "level int, category string, paths bigint")
+        kind = dict(frontier.dtypes)["category"] if not named else "string"
+        return spark.createDataFrame([], f"level int, category {kind}, paths bigint")
     result = levels[0]
     for more in levels[1:]:
         result = result.unionByName(more)
-    return g.decode(result, "category").select("level", "category", "paths")
+    return (g.decode(result, "category") if named else result).select("level", "category", "paths")
 
 
 def expand_paths(
@@ -254,9 +256,10 @@ def expand_paths(
 
 def expand(
     triples: DataFrame | Triples, roots: DataFrame, depth: int, stop_words: DataFrame | None = None, dedupe: bool = True,
-    lang: str = LANGUAGE,
+    lang: str = LANGUAGE, named: bool = True,
 ) -> DataFrame:
-    """All categories below the roots, level by level: `(level, category)`.
+    """All categories below the roots, level by level: `(level, category)`. With `named=False` the graph's own keys
+    stand for the categories, for an operator that goes on in the same graph.
 
     Level 0 holds the children of the roots. With `dedupe` a category is listed
     once, at its first level, and roots are never listed, so cycles end. Without
@@ -265,7 +268,7 @@ def expand(
     Each level reads the edges of its frontier and the labels of their children, and is written to the shared folder, so the plan
     does not grow and a lost executor costs no earlier level.
     """
-    found = _levels(triples, roots, depth, stop_words, dedupe, lang)
+    found = _levels(triples, roots, depth, stop_words, dedupe, lang, named)
     if dedupe:
         return found.select("level", "category")
     return found.select("level", "category", F.explode(F.sequence(F.lit(1).cast("bigint"), "paths")).alias("_way")).drop("_way")
@@ -276,9 +279,10 @@ def expand(
 
 def category_pages(
     triples: DataFrame | Triples, categories: DataFrame, per_batch: bool = False, batch_size: int = CATEGORIES_PER_BATCH,
-    order_by: Sequence[str | Column] | None = None,
+    order_by: Sequence[str | Column] | None = None, named: bool = True, only: DataFrame | None = None,
 ) -> DataFrame:
-    """Pages of a table of categories: `(page_url, page_id)`.
+    """Pages of a table of categories: `(page_url, page_id)`. With `named=False` the categories are the graph's own keys.
+    `only` is a stored table of distinct `page_id`s that are wanted; other pages go before urls are joined.
 
     Distinct over all categories. With `per_batch` the categories are taken in
     batches in a stated order and pages are distinct inside a batch only, so a
@@ -295,6 +299,8 @@ def category_pages(
         wanted = with_batches(wanted, order_by or ["category"], batch_size)
         batch = ["batch_id"]
     # stored before and after: sizes are asked for first, and the keys are read more than once
-    wanted = materialize(g.encode(materialize(wanted.distinct(), "categories"), "category"), "wanted")
+    wanted = materialize(wanted.distinct(), "categories")
+    wanted = materialize(g.encode(wanted, "category"), "wanted") if named else wanted
     found = g.restrict(g.subjects(), "category", wanted).select(*batch, "page").distinct()
-    return found.join(g.page_urls(), "page").join(g.page_ids(), "page").select(*batch, "page_url", "page_id").distinct().drop(*batch)
+    numbers = g.page_ids() if only is None else join_small(g.page_ids(), only, "page_id", "left_semi")
+    return found.join(numbers, "page").join(g.page_urls(), "page").select(*batch, "page_url", "page_id").distinct().drop(*batch)

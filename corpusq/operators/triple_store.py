@@ -1,17 +1,18 @@
 """A stored graph of numbers: names are written once, edges are pairs of longs in two sort orders.
 
 A store is a folder with `terms (id, term)`, numbered in the order of the names, so that the one sorted table finds
-names by id and ids by name; `broader` and `subject` once sorted by subject and once by object; `labels`, `concepts` and
-page tables sorted by id. Joins along the graph move longs; names are joined to results only.
+names by id and ids by name; `edges`, parted into broader and subject ones, once sorted by subject and once by object; `labels`,
+`concepts` and page tables sorted by id. Joins along the graph move longs; names are joined to results only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.operators.grams import GramIndex, create_gram_index
@@ -23,9 +24,10 @@ from corpusq.session import BROADCAST_ROWS, join_small, join_unique, materialize
 LITERAL_KEYS = 500
 
 
-def _sorted(df: DataFrame, path: str, *by: str) -> None:
-    """Written in ranges of `by`, so that file statistics tell which files hold a key."""
-    df.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
+def _sorted(df: DataFrame, path: str, *by: str, parts: Sequence[str] = ()) -> None:
+    """Written in ranges of `by`, so that file statistics tell which files hold a key. `parts` become folders."""
+    order = [*parts, *by]
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(*parts).parquet(path)
 
 
 def _numbered(rows: DataFrame, terms: DataFrame, count: int, name: str, key: str) -> DataFrame:
@@ -33,34 +35,52 @@ def _numbered(rows: DataFrame, terms: DataFrame, count: int, name: str, key: str
     return join_unique(rows, terms.select(F.col("id").alias(key), F.col("term").alias(name)), name, count).drop(name)
 
 
+def _hash(name: str) -> Column:
+    return F.xxhash64(name)
+
+
+def _hashed(name: str, wanted: bool) -> Column:
+    """What names are looked up by: their hash where it is `wanted`, else the name itself. Nulls stay null."""
+    return (F.when(F.col(name).isNotNull(), _hash(name)) if wanted else F.col(name)).alias(name)
+
+
+def _hashes_differ(names: DataFrame) -> bool:
+    """Whether no two of the distinct `names (term)` have the same hash, so that a hash stands for one name."""
+    rows, hashes = names.agg(F.count("*"), F.count_distinct(_hash("term"))).first()
+    return rows == hashes
+
+
 def build_store(triples: DataFrame, path: str, by_subject: bool = True) -> GraphStore:
     """Write a store of `triples (s, p, o, lang)` to the folder `path`.
 
     `by_subject=False` leaves out the second sort order of the edges, which only `parents` and `categories` read. The dictionary is numbered by one range sort of the distinct names. Edges are encoded on
     their way to one table of pairs of numbers, without their names being stored in between; the other triples by their subject only.
+    Hashes of the names move and are looked up instead of the names if no two names of the dictionary share one, which is counted.
     """
     spark = triples.sparkSession
     held = materialize(triples, "triples", "zstd")
     edge = F.col("p").isin(BROADER, SUBJECT)
     names = held.select(F.col("s").alias("term")).union(held.where(edge).select("o")).where("term is not null").distinct()
-    # stored, because a range sort reads its input twice
-    with_row_id(materialize(names, "names"), ["term"]).select("id", "term").write.parquet(f"{path}/terms")
+    names = materialize(names, "names")  # a range sort reads its input twice
+    with ThreadPoolExecutor(1) as pool:
+        differ = pool.submit(inheritable_thread_target(spark)(_hashes_differ), names)
+        with_row_id(names, ["term"]).select("id", "term").write.parquet(f"{path}/terms")
+    short = differ.result()
     terms = spark.read.schema("id bigint, term string").parquet(f"{path}/terms")
     count = terms.count()
+    terms = terms.select("id", _hashed("term", short))
 
     def write_edges() -> None:
         # a mark instead of the predicate's name, so that edges are narrow while they move
-        pairs = held.where(edge).select("s", "o", (F.col("p") == BROADER).alias("up"))
+        pairs = held.where(edge).select(_hashed("s", short), _hashed("o", short), (F.col("p") == BROADER).alias("up"))
         encoded = _numbered(_numbered(pairs, terms, count, "s", "sid"), terms, count, "o", "oid")
         edges = materialize(encoded.select("up", "sid", "oid"), "edges", "zstd")
-        for name, up in (("broader", True), ("subject", False)):
-            own = edges.where(F.col("up") == up).select("sid", "oid")
-            _sorted(own, f"{path}/{name}/by_object", "oid", "sid")
-            if by_subject:
-                _sorted(own, f"{path}/{name}/by_subject", "sid", "oid")
+        _sorted(edges, f"{path}/edges/by_object", "oid", "sid", parts=["up"])
+        if by_subject:
+            _sorted(edges, f"{path}/edges/by_subject", "sid", "oid", parts=["up"])
 
     def write_rest() -> None:
-        rest = held.where(F.col("p").isin(TYPE, LABEL, TOPIC_OF, PAGE_ID))
+        rest = held.where(F.col("p").isin(TYPE, LABEL, TOPIC_OF, PAGE_ID)).select(_hashed("s", short), "p", "o", "lang")
         numbered = materialize(_numbered(rest, terms, count, "s", "sid").select("sid", "p", "o", "lang"), "subjects", "zstd")
         _sorted(numbered.where((F.col("p") == TYPE) & (F.col("o") == CONCEPT)).select("sid"), f"{path}/concepts", "sid")
         _sorted(numbered.where(F.col("p") == LABEL).select("sid", F.col("o").alias("label"), "lang"), f"{path}/labels", "sid")
@@ -90,6 +110,9 @@ class GraphStore(Triples):
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
+    def _edges(self, order: str, up: bool) -> DataFrame:
+        return self._read(f"edges/{order}", "sid bigint, oid bigint, up boolean").where(F.col("up") == up)
+
     def terms(self) -> DataFrame:
         return self._read("terms", "id bigint, term string")
 
@@ -101,19 +124,19 @@ class GraphStore(Triples):
 
     def broader(self) -> DataFrame:
         """Sorted by parent, the side that expansion and search come from."""
-        return self._read("broader/by_object", "oid bigint, sid bigint").select(F.col("sid").alias("child"), F.col("oid").alias("parent"))
+        return self._edges("by_object", True).select(F.col("sid").alias("child"), F.col("oid").alias("parent"))
 
     def parents(self) -> DataFrame:
         """The same edges sorted by child."""
-        return self._read("broader/by_subject", "sid bigint, oid bigint").select(F.col("sid").alias("child"), F.col("oid").alias("parent"))
+        return self._edges("by_subject", True).select(F.col("sid").alias("child"), F.col("oid").alias("parent"))
 
     def subjects(self) -> DataFrame:
         """Sorted by category."""
-        return self._read("subject/by_object", "oid bigint, sid bigint").select(F.col("sid").alias("page"), F.col("oid").alias("category"))
+        return self._edges("by_object", False).select(F.col("sid").alias("page"), F.col("oid").alias("category"))
 
     def categories(self) -> DataFrame:
         """The same pairs sorted by page."""
-        return self._read("subject/by_subject", "sid bigint, oid bigint").select(F.col("sid").alias("page"), F.col("oid").alias("category"))
+        return self._edges("by_subject", False).select(F.col("sid").alias("page"), F.col("oid").alias("category"))
 
     def page_urls(self) -> DataFrame:
         return self._read("urls", "sid bigint, url string").select(F.col("sid").alias("page"), F.col("url").alias("page_url"))

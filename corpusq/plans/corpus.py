@@ -25,10 +25,12 @@ def selected_pages(
     """Pages under the roots with text and revision times:
     `(page_id, page_url, creation_date, last_modified, title, content)`.
 
-    Page ids are known and stored before any text is touched. Texts meet them as they lie, and what has to be
-    done to a text (`prepare`) is done for pages that stay."""
-    categories = expand(triples, roots, depth, stop_words).select("category")
-    pages = materialize(with_revision_times(category_pages(triples, categories), bounds), "page-ids")
+    Page ids are known and stored before any text is touched; only those that have a text meet urls and times. Texts
+    meet them as they lie, and what has to be done to a text (`prepare`) is done for pages that stay."""
+    with_text = materialize(texts.select("page_id").where("page_id is not null").distinct(), "text-ids")
+    categories = expand(triples, roots, depth, stop_words, named=False).select("category")
+    found = category_pages(triples, categories, named=False, only=with_text)
+    pages = materialize(with_revision_times(found, bounds), "page-ids")
     return prepare(join_small(texts, pages, "page_id"))
 
 

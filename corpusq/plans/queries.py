@@ -301,8 +301,9 @@ def _customers(spark: SparkSession, sf: str) -> DataFrame:
 
 def category_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of all categories two and three levels below the roots."""
-    found = graph.expand(tables.graph_store(spark, sf), tables.roots(spark, sf), depth=3)
-    return graph.category_pages(tables.graph_store(spark, sf), found.select("category"))
+    store = tables.graph_store(spark, sf)
+    found = graph.expand(store, tables.roots(spark, sf), depth=3, named=False)
+    return graph.category_pages(store, found.select("category"), named=False)
 
 
 def category_pages_batched(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 from urllib.parse import quote
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusq.functions import text as tx
@@ -113,3 +114,21 @@ def test_texts_of_a_batch_are_counted_in_parts(monkeypatch):
     assert vx._in_parts(texts, 8, 50).equals(whole)
     assert len(sizes) > 3 and max(sizes) < 150
     assert len(vx._in_parts(texts.slice(0, 0), 8)) == 0
+
+
+def test_vector_words_end_at_any_of_five_spaces():
+    from hashlib import md5
+
+    import pyarrow as pa
+
+    from corpusq.functions import vectors as vx
+
+    texts = ["a b\tc\nd\re\ff", "  two   words \n", "one\x0bword still", "", " \t\r\n\f", "é é ü"]
+    found = vx._count_words(pa.array(texts), 16).to_pylist()
+    for text, vector in zip(texts, found):
+        counts = [0] * 16
+        for word in text.translate(str.maketrans("\t\n\r\f", "    ")).split(" "):
+            if word:
+                counts[int(md5(word.encode()).hexdigest()[:8], 16) % 16] += 1
+        size = sum(c * c for c in counts) ** 0.5
+        assert vector == pytest.approx([c / size if size else 0.0 for c in counts])

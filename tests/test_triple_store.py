@@ -181,3 +181,59 @@ def test_names_are_put_together_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(triple_store, "with_row_id", lambda df, *rest: given.append(df) or real(df, *rest))
     build_store(random_graph(spark, 3), str(tmp_path / "store"))
     assert "Aggregate" not in given[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashes_of_names_move_unless_two_names_share_one(spark, tmp_path, monkeypatch):
+    from corpusq.operators import triple_store
+
+    g = random_graph(spark, 4)
+    moved, numbered = [], triple_store._numbered
+    monkeypatch.setattr(triple_store, "_numbered", lambda rows, *rest: moved.append(dict(rows.dtypes)) or numbered(rows, *rest))
+    for name, kind in (("apart", "bigint"), ("shared", "string")):
+        if name == "shared":
+            monkeypatch.setattr(triple_store, "_hash", lambda name: F.length(name).cast("bigint"))
+        moved.clear()
+        store = build_store(g, str(tmp_path / name))
+        assert {row[c] for row in moved for c in ("s", "o") if c in row and not (c == "o" and "p" in row)} == {kind}
+        for one, two in ((store.broader(), graph.view(g).broader()), (store.subjects(), graph.view(g).subjects())):
+            assert found(store.decode(one, *one.columns)) == found(two.select(*one.columns))
+
+
+@pytest.mark.parametrize("kinds", [(graph.BROADER,), (graph.SUBJECT,), ()])
+def test_a_store_without_one_kind_of_edges(spark, tmp_path, kinds):
+    g = random_graph(spark, 4).where(F.col("p").isin(graph.LABEL, *kinds))
+    store = build_store(g, str(tmp_path / "store"))
+    for kind, views in ((graph.BROADER, (store.broader(), store.parents())), (graph.SUBJECT, (store.subjects(), store.categories()))):
+        rows = g.where(F.col("p") == kind).count()
+        assert [v.count() for v in views] == [rows, rows] and (rows > 0) == (kind in kinds)
+
+
+def test_selected_pages_go_by_keys(spark, tmp_path, monkeypatch):
+    """Categories are not turned into names and back, and only pages with a text meet their urls and times."""
+    from corpusq.operators import triple_store
+    from corpusq.plans import corpus
+
+    g = random_graph(spark, 6).union(spark.createDataFrame([("P1", graph.TOPIC_OF, "again", None), ("P2", graph.PAGE_ID, None, None)], "s string, p string, o string, lang string"))
+    store, roots = build_store(g, str(tmp_path / "store")), tables(spark, "n0", "n1", "n0", "not there")
+    texts = spark.createDataFrame([(i, f"text {i}") for i in (*range(0, 40), 1, 700, None)], "page_id long, content string")
+    bounds = spark.createDataFrame([(i, i, i + 1) for i in range(0, 60, 2)] + [(1, 5, 6)], "page_id long, creation_date int, last_modified int")
+    categories = graph.expand(g, roots, 3).select("category")
+    expected = texts.join(graph.category_pages(g, categories), "page_id").join(bounds, "page_id")
+    plain = corpus.selected_pages(g, roots, 3, texts, bounds)
+    kept, keep = {}, corpus.materialize
+    monkeypatch.setattr(corpus, "materialize", lambda df, name, *rest: kept.setdefault(name, keep(df, name, *rest)))
+    monkeypatch.setattr(triple_store.GraphStore, "decode", None)
+    stored = corpus.selected_pages(store, roots, 3, texts, bounds)
+    assert expected.count() > 5 and found(stored.select(*expected.columns)) == found(plain.select(*expected.columns)) == found(expected)
+    assert {r["page_id"] for r in kept["page-ids"].collect()} <= set(range(40))
+    kept.clear()
+    assert corpus.selected_pages(store, roots, 0, texts, bounds).count() == 0
+
+
+def test_pages_wanted_only(spark, tmp_path):
+    g = random_graph(spark, 7)
+    store, only = build_store(g, str(tmp_path / "store")), spark.createDataFrame([(i,) for i in range(0, 60, 3)], "page_id long")
+    given = tables(spark, "n1", "n2", "n3", "n4")
+    every = graph.category_pages(g, given).collect()
+    for one in (g, store):
+        assert found(graph.category_pages(one, given, only=only)) == sorted((tuple(r) for r in every if r["page_id"] % 3 == 0), key=str)
